@@ -45,9 +45,15 @@ def safe_cut(text: str, at: int) -> bool:
         return False
     if left == "S":
         return False
+    if right == "S" and text[at] not in _SPACES:
+        return left in "LN"
     return right == "S" or left in "LN" and right != left or left == "O" and right == "N"
 
 
+#: Characters that are white space in every Unicode version.
+_SPACES = frozenset(" \t\n\v\f\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
+
+
 def _unassigned(c: str) -> bool:
     import unicodedata
 
