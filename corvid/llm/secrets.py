@@ -137,7 +137,7 @@ def scan(docs: DataFrame, threshold: float = 1.0, sample_docs: int = 2000, text_
 def digest(scanned: DataFrame) -> DataFrame:
     """Counts by kind, the digest of base spans, and all spans as text."""
     base = F.filter(F.col("found"), lambda m: m["kind"] < KINDS.index("markov"))
-    n = {f"n_{k}": F.size(F.filter(F.col("found"), lambda m, i=i: m["kind"] == i)).cast("long") for i, k in enumerate(KINDS)}
+    n = {f"n_{k}": F.size(F.expr(f"filter(found, m -> m.kind = {i})")).cast("long") for i, k in enumerate(KINDS)}
     return scanned.select("doc_id", *[c.alias(k) for k, c in n.items() if k != "n_markov"], F.sha2(_said(base), 256).alias("base_sha256"), _said(F.col("found")).alias("spans"), n["n_markov"].alias("n_markov"))
 
 
