@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Tags whose blocks a client puts into prompts.
 SYNTHETIC_TAGS = (
@@ -101,7 +102,7 @@ def certain_secret(text: Column) -> Column:
     return F.coalesce(*[F.when(text.rlike(p), F.lit(k)) for k, p in CERTAIN_SECRETS])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
