@@ -35,6 +35,19 @@ SECRETS = (
     (r"""((?:export\s+)?[A-Z][A-Z0-9_]*(?:API_KEY|TOKEN|SECRET|PASSWORD|PRIVATE_KEY)\s*=\s*["']?)(?!\[REDACTED_)([^\s"'`]{12,})""", "$1[REDACTED_SECRET]"),
 )
 
+#: For each of SECRETS, lower-case strings one of which any match holds; a text without them is spared that pattern.
+HINTS = (
+    ("-----begin",),
+    ("sk-", "sk_live_"),
+    ("aiza",),
+    ("xox",),
+    ("ghp_", "gho_", "ghs_", "ghr_", "github_pat_"),
+    ("akia",),
+    ("eyj",),
+    ("bearer",),
+    ("api_key", "token", "secret", "password", "private_key"),
+)
+
 # Secrets certain enough to quarantine a whole file.
 CERTAIN_SECRETS = (
     ("private key", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----"),
@@ -89,12 +102,15 @@ def strip_synthetic(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Struct (text, count): secrets replaced pattern by pattern; each counts on what the earlier ones left."""
-    state = F.struct(text.alias("text"), F.lit(0).alias("count"))
-    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(r).alias("r")) for p, r in SECRETS])
-    return F.aggregate(
-        table, state,
-        lambda s, x: F.struct(F.regexp_replace(s["text"], x["p"], x["r"]).alias("text"), (s["count"] + F.coalesce(F.regexp_count(s["text"], x["p"]), F.lit(0))).alias("count")),
-    )
+    state = F.struct(text.alias("text"), F.lower(text).alias("low"), F.lit(0).alias("count"))
+    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(r).alias("r"), F.array(*map(F.lit, h)).alias("hints")) for (p, r), h in zip(SECRETS, HINTS, strict=True)])
+
+    def step(s: Column, x: Column) -> Column:
+        new = F.regexp_replace(s["text"], x["p"], x["r"])
+        done = F.struct(new.alias("text"), F.lower(new).alias("low"), (s["count"] + F.regexp_count(s["text"], x["p"])).alias("count"))
+        return F.when(F.exists(x["hints"], lambda h: F.contains(s["low"], h)), done).otherwise(s)
+
+    return F.aggregate(table, state, step, lambda s: F.struct(s["text"].alias("text"), s["count"].alias("count")))
 
 
 def certain_secret(text: Column) -> Column:

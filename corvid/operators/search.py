@@ -19,9 +19,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, dl): how often each term stands in each text, and the text's length in terms."""
+    """(term, key, tf, dl): how often each term stands in each text, and the text's length in terms.
+
+    The outer explode keeps Spark from inferring a filter that would find the terms of each text twice more.
+    """
     terms = texts.select(key, T.query_terms(F.col(text)).alias("terms"))
-    return terms.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    return terms.select(key, F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, index: DataFrame, n_texts: int, mean_length: float, key: str, every_term: bool = True, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -32,7 +35,8 @@ def bm25(queries: DataFrame, index: DataFrame, n_texts: int, mean_length: float,
     asked = queries.select("query_id", F.explode(F.array_distinct(T.query_terms(F.col("text")))).alias("term"))
     asked = asked.withColumn("n_terms", F.count("*").over(W.partitionBy("query_id")))
     wanted = index.join(small(asked.select("term").distinct()), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    # Reads the columns that the scores read, so that Spark makes the postings once for both.
+    df = wanted.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0) & F.col(key).isNotNull()).alias("df"))
     idf = F.log(1 + (n_texts - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean_length))
     hits = wanted.join(small(asked.join(df, "term")), "term").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))

@@ -264,3 +264,50 @@ def _(t):
     rows = t("orders").select("o_orderkey", c("o_custkey").alias("query_id"), F.unix_timestamp("o_orderdate").cast("double").alias("score"))
     many = F.size(F.collect_set("score").over(W.partitionBy("query_id"))) > 1
     return Q.min_max(rows.withColumn("m", many).where("m")).select("o_orderkey", F.round(c("normal") * 0.02, 8).alias("signal"))
+
+
+@query("a23_cache_entries", "SELECT count(*) AS n, count(*) FILTER (WHERE lang IS NOT DISTINCT FROM 'en') AS invalidated FROM documents")
+def _(t):
+    return t("documents").agg(F.count("*").alias("n"), F.count_if(c("lang").eqNullSafe("en")).alias("invalidated"))
+
+
+@query("a26_index_run", "SELECT count(*) AS scanned, count(*) FILTER (WHERE doc_id % 11 = 1) AS indexed, count(*) FILTER (WHERE doc_id % 11 > 1) AS skipped, count(*) FILTER (WHERE doc_id % 11 = 0) AS removed FROM documents")
+def _(t):
+    from corvid.operators import versions as V
+
+    old = t("documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    new = t("documents").where("doc_id % 11 > 0").select("doc_id", F.sha2(F.concat("text", F.when(c("doc_id") % 11 == 1, "!").otherwise("")), 256).alias("h"))
+    s = V.two_way(old, new, "doc_id", "h")
+    return s.agg(F.count("*").alias("scanned"), F.count_if(c("status") == "changed").alias("indexed"), F.count_if(c("status") == "equal").alias("skipped"), F.count_if(c("status") == "missing").alias("removed"))
+
+
+@query("a27_shadow_comparison", "SELECT count(*) FILTER (WHERE doc_id % 3 = 0) AS only_left, count(*) FILTER (WHERE doc_id % 3 = 1) AS only_right, count(*) FILTER (WHERE doc_id % 3 = 2) AS in_both FROM documents")
+def _(t):
+    from corvid.operators import versions as V
+
+    d = t("documents").select("doc_id", "lang")
+    s = V.two_way(d.where("doc_id % 3 <> 1"), d.where("doc_id % 3 <> 0"), "doc_id", "lang")
+    return s.agg(F.count_if(c("status") == "missing").alias("only_left"), F.count_if(c("status") == "extra").alias("only_right"), F.count_if(c("status") == "equal").alias("in_both"))
+
+
+@query("c22_entity_load", "SELECT DISTINCT 'brand:' || p_brand AS node FROM part UNION SELECT DISTINCT 'type:' || p_type FROM part")
+def _(t):
+    e = t("part").select("p_partkey", c("p_brand").alias("brand"), c("p_type").alias("type"))
+    return N.facts(e, "p_partkey", ["brand", "type"]).select(c("dst").alias("node")).distinct()
+
+
+@query("c23_fact_ranges", "SELECT event_id, value BETWEEN 0 AND 100 AS accepted FROM events")
+def _(t):
+    return t("events").select("event_id", c("value").between(0, 100).alias("accepted"))
+
+
+@query("j21_answer_citations", "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 7 = 0 THEN 'unknown' WHEN n > 1 THEN 'repeated' ELSE 'ok' END AS status FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_suppkey) AS n FROM lineitem)")
+def _(t):
+    held = t("supplier").where("s_suppkey % 7 <> 0").select(c("s_suppkey").alias("l_suppkey"), F.lit(1).alias("held"))
+    rows = t("lineitem").withColumn("n", F.count("*").over(W.partitionBy("l_orderkey", "l_suppkey"))).join(held, "l_suppkey", "left")
+    return rows.select("l_orderkey", "l_linenumber", F.when(c("held").isNull(), "unknown").when(c("n") > 1, "repeated").otherwise("ok").alias("status"))
+
+
+@query("j27_alias_lookup", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
+def _(t):
+    return t("customer").join(Q.small(t("nation")), c("n_nationkey") == c("c_nationkey"), "left").select("c_custkey", "n_name")

@@ -204,3 +204,41 @@ def _(t):
 def _(t):
     path = K.note_path(c("text"), F.lit("1997-01-01").cast("timestamp"))
     return t("documents").select(path.alias("path"), "doc_id").groupBy("path").agg(F.min("doc_id").alias("first_id"))
+
+
+@query("s12_export_conversations", "SELECT DISTINCT conv_id::VARCHAR AS conv_id, 't' || conv_id AS title FROM conversations WHERE conv_id % 4 > 0")
+def _(t):
+    key = c("conv_id").cast("string")
+    rows = t("conversations").select("conv_id").distinct().select(F.parse_json(F.to_json(F.struct(F.when(c("conv_id") % 4 == 1, key).alias("id"), F.when(c("conv_id") % 4 > 1, key).alias("uuid"), F.concat(F.lit(" t"), key).alias("name")))).alias("record"))
+    return R.export_heads(rows).select("conv_id", "title")
+
+
+@query("s24_binary_metadata", "SELECT page_id, 'png' AS format, octet_length(encode(html))::BIGINT AS bytes FROM pages")
+def _(t):
+    return t("pages").select("page_id", F.lower(F.regexp_extract(F.lit("a/b.PNG"), r"\.([^./]+)$", 1)).alias("format"), F.octet_length("html").cast("long").alias("bytes"))
+
+
+@query("s27_snapshot_read", "SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 11 > 0")
+def _(t):
+    pages = t("documents").select(c("doc_id").alias("id"), c("text").alias("content"))
+    manifest = t("documents").select(F.explode(F.array(F.lit("a"), F.when(c("doc_id") % 11 > 0, "b"))).alias("snapshot_id"), c("doc_id").alias("id"))
+    return manifest.where("snapshot_id = 'b'").join(pages, "id").select(c("id").alias("doc_id"), F.sha2("content", 256).alias("h"))
+
+
+@query("k08_snapshot_export", "SELECT doc_id, doc_id % 11 = 5 AS deleted FROM documents WHERE doc_id % 11 <> 0")
+def _(t):
+    rows = t("documents").where("doc_id % 11 <> 0").select("doc_id", F.to_json(F.struct("doc_id", (c("doc_id") % 11 == 5).alias("deleted"))).alias("line"))
+    return rows.select(F.from_json("line", "doc_id long, deleted boolean").alias("x")).select("x.*")
+
+
+@query("c32_header_migration", "SELECT doc_id, '---' || chr(10) || 'new_id: ' || doc_id || chr(10) || '---' || chr(10) || chr(10) || lang AS content FROM documents")
+def _(t):
+    raw = F.concat(F.lit("---\nold_id: "), c("doc_id").cast("string"), F.lit("\n---\n\n"), "lang")
+    return t("documents").select("doc_id", K.rename_key(raw, "old_id", "new_id").alias("content"))
+
+
+@query("c33_legacy_manifest", "SELECT 'd' || doc_id AS id, sha256(text) AS hash FROM documents")
+def _(t):
+    raw = F.concat(F.lit("---\nid: d"), c("doc_id").cast("string"), F.lit("\n---\n\n"), "text")
+    path = F.concat(F.lit("n/"), c("doc_id").cast("string"), F.lit(".md"))
+    return D.archive(t("documents").select(path.alias("path"), raw.alias("value")))[0].select("id", F.sha2("body", 256).alias("hash"))

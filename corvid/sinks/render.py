@@ -81,3 +81,9 @@ def publish(df: DataFrame, root: str, dry_run: bool = False) -> str | None:
 def current(spark: SparkSession, root: str) -> DataFrame:
     version = spark.read.text(f"{root}/CURRENT").first().value
     return spark.read.parquet(f"{root}/versions/{version}")
+
+
+def rename_key(text: Column, old: str, new: str) -> Column:
+    """``text`` with a key of its header renamed; the body and texts without header stay."""
+    head = F.regexp_extract(text, r"(?s)\A(---\n.*?\n---)(?:\n|\z)", 1)
+    return F.when(head != "", F.concat(F.regexp_replace(head, rf"(?m)^{old}:", f"{new}:"), F.substring(text, F.length(head) + 1, F.length(text)))).otherwise(text)

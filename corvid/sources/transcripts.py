@@ -133,3 +133,9 @@ def list_export(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(conv.alias("conv_id"), F.posexplode(list_).alias("ord", "m")).where("conv_id is not null")
     content = F.coalesce(F.when(T.first_text(get("m", "$.text")).isNotNull(), get("m", "$.text", "variant")), get("m", "$.content", "variant"))
     return rows.select("conv_id", "ord", T.role(F.coalesce(get("m", "$.sender"), get("m", "$.role"))).alias("role"), T.message_text(content).alias("text"), get("m", "$.created_at").alias("ts")).where("role is not null")
+
+
+def export_heads(conversations: DataFrame) -> DataFrame:
+    """(conv_id, title, created, updated) of exported conversations(record) that have an id."""
+    pick = lambda *paths: T.first_text(*[get("record", p) for p in paths])
+    return conversations.select(pick("$.id", "$.uuid", "$.conversation_id").alias("conv_id"), pick("$.title", "$.name").alias("title"), pick("$.create_time", "$.created_at").alias("created"), pick("$.update_time", "$.updated_at").alias("updated")).where("conv_id is not null")
