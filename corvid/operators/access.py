@@ -83,3 +83,27 @@ def bad_transitions(events: DataFrame, keys: list[str], order: list[str], state:
     before = F.lag(state).over(W.partitionBy(*keys).orderBy(*order))
     rows = events.withColumn("before", before).where("before is not null")
     return rows.join(allowed, ["before", state], "left_anti")
+
+
+def isolated(rows: DataFrame, memberships: DataFrame, tenant: str, user: str | None) -> DataFrame:
+    """rows(tenant, brain) of one tenant that ``user`` may see: those of a tenant whose member they are, or of a brain whose
+    member they are. Without a user only the tenant binds. Memberships without a brain are the tenant's."""
+    own = rows.where(F.col("tenant") == tenant)
+    if not user:
+        return own
+    held = memberships.where((F.col("user") == user) & (F.col("tenant") == tenant))
+    m, r = held.alias("m"), own.alias("r")
+    return r.join(m, (F.col("m.tenant") == F.col("r.tenant")) & (F.col("m.brain").isNull() | (F.col("m.brain") == F.col("r.brain"))), "left_semi")
+
+
+def stable_hash(docs: DataFrame, leave_out: tuple[str, ...] = ("retrieved_at",)) -> Column:
+    """A hash of a document's columns by name, without those that differ from scan to scan; nulls count as values."""
+    names = sorted(n for n in docs.columns if n not in leave_out)
+    return F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+
+
+def nondeterministic(scan, key: str, leave_out: tuple[str, ...] = ("retrieved_at",)) -> DataFrame:
+    """(key, n): rows in which two scans differ, as often as they do. A deterministic source gives none. ``scan()`` returns a DataFrame."""
+    one, two = (d.select(key, stable_hash(d, leave_out).alias("hash")) for d in (scan(), scan()))
+    both = one.withColumn("n", F.lit(1)).unionByName(two.withColumn("n", F.lit(-1)))
+    return both.groupBy(key, "hash").agg(F.sum("n").alias("n")).where("n <> 0").groupBy(key).agg(F.sum(F.abs("n")).alias("n"))

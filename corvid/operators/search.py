@@ -114,3 +114,75 @@ def traverse(links: DataFrame, start: DataFrame, max_depth: int = 5, max_nodes:
         front = front.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth"))
         seen = seen.unionByName(front)
     return seen.orderBy("depth", "node").limit(max_nodes)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def cover_density(queries: DataFrame, texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(query_id, key, score): texts with all terms of a query, by the sum of 1 / length of their minimal covers.
+
+    A cover is a stretch of words with every term; it is minimal if none lies within it. Postings find the texts with all
+    terms; then one pass over each such text keeps the last place of every term. A query without terms finds nothing.
+    """
+    asked = queries.select("query_id", F.array_distinct(T.query_terms(F.col("text"))).alias("asked")).where("size(asked) > 0")
+    terms = asked.select("query_id", F.size("asked").alias("n_terms"), F.explode("asked").alias("term"))
+    index = postings(texts, key, text)
+    found = index.join(small(terms), "term").groupBy("query_id", key).agg(F.count("*").alias("found"), F.first("n_terms").alias("n_terms")).where("found = n_terms")
+    rows = found.select("query_id", key).join(asked, "query_id").join(texts.select(key, T.query_terms(F.col(text)).alias("words")), key)
+    places = F.transform("words", lambda w, i: F.struct(i.alias("pos"), F.array_position(F.col("asked"), w).alias("term")))
+
+    def step(s, x):
+        last = F.transform(s["last"], lambda p, i: F.when(i + 1 == x["term"], x["pos"]).otherwise(p))
+        cover = lambda low: F.when(low > s["low"], 1.0 / (x["pos"] - low + 1)).otherwise(0.0)
+        return _let(last, lambda l: _let(F.array_min(l), lambda low: F.struct(l.alias("last"), low.alias("low"), (s["score"] + cover(low)).alias("score"))))
+
+    start = F.struct(F.transform("asked", lambda _: F.lit(-1)).alias("last"), F.lit(-1).alias("low"), F.lit(0.0).alias("score"))
+    score = F.aggregate(F.filter(places, lambda x: x["term"] > 0), start, step, lambda s: s["score"])
+    return rows.select("query_id", key, F.round(score, 6).alias("score"))
+
+
+def filtered(hits: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Hits whose key is among ``rows``, which a metadata filter left over; a semi join, so nothing is multiplied."""
+    return hits.join(rows.select(key), key, "left_semi")
+
+
+def hybrid(lexical: DataFrame, semantic: DataFrame, links: DataFrame, signals: DataFrame, key: str, limit: int = 20, seeds: int = 8, boost: float = 0.025, cut: bool = True) -> DataFrame:
+    """(query_id, key, score, rank): fused ranks with what the first ``seeds`` hits link to, signals and autocut.
+
+    ``lexical`` and ``semantic`` are ranked (query_id, key, rank), ``links`` (src, dst), ``signals`` (key, signal). Hits are
+    ordered by ranks and signals, linked pages that no side found come after them, by their first seed; a link adds
+    ``boost`` to the score in both. One join finds the links of all queries' seeds.
+    """
+    sides = [d.select("query_id", key, "rank", F.lit(n).alias("side")) for n, d in enumerate((lexical, semantic))]
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("side", "rank", key))
+    first = sides[0].unionByName(sides[1]).withColumn("place", place).where(F.col("place") <= seeds).select("query_id", "place", F.col(key).alias("src"))
+    linked = first.join(links.select("src", "dst"), "src").groupBy("query_id", F.col("dst").alias(key)).agg(F.min("place").alias("place"))
+    fused = fuse(lexical, semantic, key).select("query_id", key, F.col("score").alias("base"))
+    rows = fused.join(linked, ["query_id", key], "full_outer").join(signals.select(key, "signal"), key, "left")
+    own = F.round(F.coalesce("base", F.lit(0.0)) + F.coalesce("signal", F.lit(0.0)), 6)
+    rows = rows.withColumn("own", own).withColumn("score", F.round(F.col("own") + F.when(F.col("place").isNotNull(), boost).otherwise(0.0), 6))
+    order = W.partitionBy("query_id").orderBy(F.col("base").isNull(), F.when(F.col("base").isNotNull(), -F.col("own")), F.when(F.col("base").isNull(), F.col("place")), key)
+    ranked_ = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", key, "score", "rank")
+    return autocut(ranked_, maximum=limit) if cut else ranked_
+
+
+def resolve(hits: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """Hits with cited(start_off, end_off, text_hash) resolved against held(key, text): ``status`` and, if verified, the slice.
+
+    Status is verified, not found, out of range or hash differs. Nothing is dropped: a caller decides what a failure means.
+    """
+    whole = held.select(key, F.col("text").alias("__whole"))
+    part = F.substring(F.col("__whole"), F.col("start_off") + 1, F.col("end_off") - F.col("start_off"))
+    bad = (F.col("start_off") < 0) | (F.col("end_off") < F.col("start_off")) | (F.col("end_off") > F.length("__whole"))
+    status = F.when(F.col("__whole").isNull(), "not found").when(bad, "out of range").when(F.sha2(part, 256) == F.col("text_hash"), "verified").otherwise("hash differs")
+    rows = hits.join(whole, key, "left").withColumn("status", status)
+    return rows.withColumn("verified_text", F.when(F.col("status") == "verified", part)).drop("__whole")
+
+
+def answer(hits: DataFrame) -> DataFrame:
+    """(query_id, answer): verified texts of ranked hits, best first, a blank line between."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "verified_text"))), lambda x: x["verified_text"])
+    return hits.where("status = 'verified'").groupBy("query_id").agg(F.array_join(texts, "\n\n").alias("answer"))

@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from corvid.functions import scalars as S
 from corvid.functions import text as T
+from corvid.operators import analysis as N
 from corvid.operators import chunks as K
 from corvid.operators import conversations as C
+from corvid.operators import models as M
 from corvid.operators import search as Q
 
 from .joins import _LINKS, links
@@ -161,3 +164,103 @@ def _(t):
     step = lambda a, x: F.when(a["size"] + x + 2 > 1000, F.struct((a["n"] + 1).alias("n"), x.alias("size"))).otherwise(F.struct(a["n"].alias("n"), (a["size"] + x + 2).alias("size")))
     packed = F.aggregate("l", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("size")), step)
     return t("documents").groupBy("source").agg(l.alias("l")).select("source", (packed["n"] + 1).alias("groups"))
+
+
+@query("c03_split_oversized", r"SELECT doc_id::VARCHAR AS doc_id, true AS exact, length(regexp_replace(text, '[\s\p{Z}]+', '', 'g'))::BIGINT AS kept, true AS fits FROM documents")
+def _(t):
+    docs = t("documents").select("doc_id", "text")
+    pieces = K.oversized(docs, 500)
+    fits = pieces.groupBy("doc_id").agg((F.max(c("end_off") - c("start_off")) <= 502).alias("fits"))
+    return _chunk_report(docs, pieces).join(fits, "doc_id").select("doc_id", "exact", "kept", "fits")
+
+
+@query("p02_filtered_hits", f"WITH {_bm25(_DOCS, _ASKED, 'doc_id', False)} SELECT query_id, count(*) AS n FROM hits WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND source <= 'src1') GROUP BY 1")
+def _(t):
+    kept = t("documents").where("lang = 'en' AND source <= 'src1'")
+    return Q.filtered(hits(t, t("documents").select("doc_id", "text"), "doc_id", False), kept, "doc_id").groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+def asked(t):
+    """Queries of benchmark passages: their second to fifth terms, so that many documents match."""
+    return t("benchmark").select(c("item_id").alias("query_id"), F.array_join(F.slice(T.query_terms(c("text")), 2, 4), " ").alias("text"))
+
+
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+')"
+_DENSITY = f"""q AS (SELECT item_id AS query_id, list_distinct({_WORDS}[2:5]) AS ts FROM benchmark), qt AS (SELECT query_id, unnest(ts) AS term, len(ts) AS n FROM q),
+w AS (SELECT doc_id, unnest({_WORDS}) AS term, generate_subscripts({_WORDS}, 1) AS pos FROM documents),
+e AS (SELECT query_id, doc_id, qt.term, pos, n FROM w JOIN qt ON qt.term = w.term), full_ AS (SELECT query_id, doc_id, any_value(n) AS n FROM e GROUP BY 1, 2 HAVING count(DISTINCT term) = any_value(n)),
+g AS (SELECT query_id, doc_id, pos, term AS other FROM (SELECT query_id, doc_id, pos FROM e SEMI JOIN full_ USING (query_id, doc_id)) JOIN qt USING (query_id)),
+x AS (SELECT g.query_id, g.doc_id, g.pos, min(e.pos) AS low, count(*) AS k FROM g ASOF JOIN e ON e.query_id = g.query_id AND e.doc_id = g.doc_id AND e.term = g.other AND g.pos >= e.pos GROUP BY 1, 2, 3),
+y AS (SELECT query_id, doc_id, low, min(pos) AS high FROM x JOIN full_ USING (query_id, doc_id) WHERE k = n GROUP BY 1, 2, 3),
+density AS (SELECT query_id, doc_id, round(sum(1.0 / (high - low + 1)), 6)::DOUBLE AS score FROM y GROUP BY 1, 2),
+lex AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM density QUALIFY rank <= 80)"""
+
+
+def dense(t):
+    return Q.ranked(Q.cover_density(asked(t), t("documents").select("doc_id", "text"), "doc_id"), 80, "doc_id")
+
+
+@query("l02_cover_density", f"WITH {_DENSITY} SELECT query_id, doc_id, score, rank FROM lex")
+def _(t):
+    return dense(t)
+
+
+_VECTORS = f"(SELECT {{key}} AS key, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM (SELECT {{key}}, list_transform({{words}}, lambda w: ('0x' || substr(md5(w), 1, 6))::INT % 64) AS b FROM {{table}}))"
+_DOC_VECTORS = _VECTORS.format(key="doc_id", words=_WORDS, table="documents")
+_ASKED_VECTORS = _VECTORS.format(key="item_id", words=f"{_WORDS}[2:5]", table="benchmark")
+
+
+@query("u01_hashed_vectors", f"SELECT key AS doc_id, list_transform(v, lambda x: x::BIGINT) AS v FROM {_DOC_VECTORS}")
+def _(t):
+    return M.hashed_vectors(t("documents"), "doc_id").select("doc_id", c("v").cast("array<long>").alias("v"))
+
+
+#: Vector search over all documents, the links of each document both ways, and what the source and length of a page add.
+_HYBRID = f"""{_DENSITY}, dv AS MATERIALIZED {_DOC_VECTORS}, qv AS MATERIALIZED {_ASKED_VECTORS},
+sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (SELECT qv.key AS query_id, dv.key AS doc_id, round(list_cosine_similarity(qv.v, dv.v), 6) AS score FROM qv, dv WHERE list_sum(qv.v) > 0 AND list_sum(dv.v) > 0) QUALIFY rank <= 80),
+ln AS (SELECT doc_id AS src, (doc_id * 7 + 3) % 1200 AS dst FROM documents WHERE (doc_id * 7 + 3) % 1200 IN (SELECT doc_id FROM documents)), both_ AS (FROM ln UNION ALL SELECT dst, src FROM ln),
+seed AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY side, rank, doc_id)::INT AS place FROM (SELECT query_id, doc_id, rank, 0 AS side FROM lex UNION ALL SELECT query_id, doc_id, rank, 1 FROM sem) QUALIFY place <= 8),
+lk AS (SELECT query_id, dst AS doc_id, min(place) AS place FROM seed JOIN both_ ON src = doc_id GROUP BY 1, 2),
+fu AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6)::DOUBLE AS base FROM (SELECT query_id, doc_id, rank FROM lex UNION ALL SELECT query_id, doc_id, rank FROM sem) GROUP BY 1, 2),
+al AS (SELECT query_id, doc_id, base, place, round(coalesce(base, 0) + 0.01 + least(0.01, length(text) / 100000.0::DOUBLE), 6) AS own FROM fu FULL JOIN lk USING (query_id, doc_id) JOIN documents USING (doc_id)),
+ra AS (SELECT *, round(own + CASE WHEN place IS NULL THEN 0 ELSE 0.025 END, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY base IS NULL, CASE WHEN base IS NOT NULL THEN -own END, CASE WHEN base IS NULL THEN place END, doc_id)::INT AS rank FROM al QUALIFY rank <= 20),
+dr AS (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) AS p FROM ra),
+hy AS (SELECT * FROM (SELECT *, sum((coalesce(rank > 1 AND p > 0 AND (p - score) / p >= 0.5, false))::INT) OVER (PARTITION BY query_id ORDER BY rank) AS cut FROM dr) WHERE cut = 0)"""
+
+
+def hybrid(t):
+    docs = t("documents").select("doc_id", "text")
+    near = Q.nearest(M.hashed_vectors(asked(t), "query_id"), M.hashed_vectors(docs, "doc_id"), 80, "doc_id").where("score is not null")
+    out = t("documents").select(c("doc_id").alias("src"), ((c("doc_id") * 7 + 3) % 1200).alias("dst")).join(docs.select(c("doc_id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    both = out.unionByName(out.select(c("dst").alias("src"), c("src").alias("dst")))
+    signals = t("documents").select("doc_id", (S.source_tier(F.lit("web")) + S.page_strength(F.length("text"))).alias("signal"))
+    return Q.hybrid(dense(t), near, both, signals, "doc_id")
+
+
+@query("c08_hybrid_search", f"WITH {_HYBRID} SELECT query_id, doc_id, score, rank FROM hy")
+def _(t):
+    return hybrid(t)
+
+
+def verified(t):
+    """Hits with citations of a text's first 40 characters; for every third document the text has changed since."""
+    cited = t("documents").select("doc_id", F.lit(0).alias("start_off"), F.least(F.lit(40), F.length("text")).alias("end_off"), F.sha2(F.substring("text", 1, 40), 256).alias("text_hash"))
+    held = t("documents").select("doc_id", F.when(c("doc_id") % 3 == 1, F.concat(F.lit("!"), "text")).otherwise(c("text")).alias("text"))
+    return Q.resolve(hybrid(t).join(cited, "doc_id"), held, "doc_id")
+
+
+_VERIFIED = f"{_HYBRID}, ve AS (SELECT query_id, doc_id, rank, CASE WHEN doc_id % 3 = 1 THEN 'hash differs' ELSE 'verified' END AS status, text[1:40] AS t FROM hy JOIN documents USING (doc_id))"
+
+
+@query("c09_verified_search", f"WITH {_VERIFIED} SELECT query_id, doc_id, rank, status FROM ve")
+def _(t):
+    return verified(t).select("query_id", "doc_id", "rank", "status")
+
+
+@query("c19_grounded_answer", f"""WITH {_VERIFIED}, ok AS (SELECT * FROM ve WHERE status = 'verified')
+SELECT query_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY rank)) AS answer, round(0.6 * count(DISTINCT doc_id) / count(*) + 0.4, 6)::DOUBLE AS confidence FROM ok GROUP BY 1""")
+def _(t):
+    found = verified(t)
+    evidence = found.where("status = 'verified'").select(c("query_id").alias("q"), c("doc_id").alias("chunk"), F.lit(None).cast("timestamp").alias("updated"), c("doc_id").alias("key"), F.lit("").alias("value"))
+    sure = N.confidence(evidence, F.lit("2024-01-01").cast("timestamp"), 365).withColumnRenamed("q", "query_id")
+    return Q.answer(found).join(sure, "query_id").select("query_id", F.sha2("answer", 256).alias("answer"), "confidence")

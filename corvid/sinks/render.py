@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,18 +66,52 @@ def manifest_issues(rows: DataFrame, value: str = "value") -> DataFrame:
     return e.withColumn("issues", F.filter(issues, lambda x: x.isNotNull()))
 
 
-def publish(df: DataFrame, root: str, dry_run: bool = False) -> str | None:
-    """Writes a new version under ``root``, then moves the pointer to it; a failed write leaves the old one current."""
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see; a local one only where the session names none (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        root = f"file://{os.path.join(tempfile.gettempdir(), f'corvid-{os.getuid()}')}"
+    return f"{root.rstrip('/')}/corvid-{name}-{uuid.uuid4().hex}"
+
+
+def publish(df: DataFrame, root: str, dry_run: bool = False, check=None) -> str | None:
+    """Writes a new version under ``root``, then moves the pointer to it; a failed write leaves the old one current.
+
+    ``check`` gets the written version before the pointer moves and raises if it must not become current.
+    """
     if dry_run:
         return None
     spark, version = df.sparkSession, uuid.uuid4().hex
     df.write.parquet(f"{root}/versions/{version}")
+    if check is not None:
+        check(spark.read.parquet(f"{root}/versions/{version}"))
+    _point(spark, root, version)
+    return version
+
+
+def _point(spark: SparkSession, root: str, version: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
     out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
     out.write(bytearray(version.encode()))
     out.close()
-    return version
+
+
+def rollback(spark: SparkSession, root: str, version: str) -> None:
+    """Makes a version that was written before current again."""
+    spark.read.parquet(f"{root}/versions/{version}")
+    _point(spark, root, version)
+
+
+def replace_model(chunks: DataFrame, vectors: DataFrame, root: str, key: str) -> str:
+    """Publishes ``vectors(key, v)`` as current only if every one of ``chunks(key)`` has a vector and no other row has."""
+
+    def check(written: DataFrame) -> None:
+        gap = chunks.select(key).join(written.select(key, F.lit(True).alias("__held")), key, "full_outer").agg(F.count("*").alias("n"), F.count("__held").alias("held"), F.count_distinct(key).alias("keys")).first()
+        if not gap.n == gap.held == gap.keys or chunks.count() != gap.n:
+            raise ValueError("not every chunk has one vector")
+
+    return publish(vectors, root, check=check)
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:

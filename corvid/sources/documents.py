@@ -85,3 +85,30 @@ def archive(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     issue = F.when(F.col("header").isNull(), "no header").when(F.col("id").isNull(), "no id").when(F.col("n_id") > 1, "duplicate id").when(F.col("n_source") > 1, "duplicate source")
     rows = rows.withColumn("issue", issue)
     return rows.where("issue is null").select("path", "id", "source", "header", "body"), rows.where("issue is not null").select("path", "issue")
+
+
+def filesystem(files: DataFrame, root: str) -> DataFrame:
+    """Text files(path, modificationTime, content) below ``root``, as ``binaryFile`` reads them, as documents.
+
+    Files of .md, .markdown and .txt count, no others; names that begin with a dot, and folders of such names, don't. The id is a hash of
+    root and relative path; a .txt gets its name as heading and an .md path. Invalid UTF-8 is replaced. Order by path.
+    """
+    base = root.rstrip("/") + "/"
+    at = F.regexp_replace("path", r"^file:/+", "/")
+    rel = F.substring(at, F.lit(len(base) + 1), F.length(at))
+    rows = files.where(F.startswith(at, F.lit(base)) & F.lower("path").rlike(r"\.(md|markdown|txt)$") & ~rel.rlike(r"(^|/)\."))
+    raw, is_text = F.make_valid_utf8(F.col("content").cast("string")), F.lower(rel).rlike(r"\.txt$")
+    content = F.when(is_text, F.concat(F.lit("# "), T.last_segment(rel), F.lit("\n\n"), raw)).otherwise(raw)
+    return rows.select(
+        F.sha2(F.concat(F.lit(root), F.lit("\0"), rel), 256).alias("external_id"), F.concat(F.lit("files/"), F.regexp_replace(rel, r"(?i)\.txt$", ".md")).alias("path"),
+        content.alias("content"), F.sha2(content, 256).alias("content_hash"), F.lit("filesystem").alias("source_type"), F.col("path").alias("source_path"),
+        F.col("modificationTime").alias("updated_at"), F.lit(False).alias("deleted"),
+    )
+
+
+def pick_export(entries: DataFrame, export: str = "export") -> DataFrame:
+    """(export, path, warning): of the entries(export, path, pos) of each export the first named conversation(s).json, else
+    the first; with several entries a warning tells which one was read."""
+    named = F.col("path").rlike(r"(?i)conversations?\.json$")
+    best = entries.groupBy(export).agg(F.min_by("path", F.struct(~named, F.col("pos"))).alias("path"), F.count("*").alias("n"))
+    return best.select(export, "path", F.when(F.col("n") > 1, F.format_string("read %d JSON entries; selected %s", "n", "path")).alias("warning"))
