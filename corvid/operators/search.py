@@ -21,10 +21,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, tf, dl): how often each term stands in each text, and the text's length in terms.
 
-    The outer explode keeps Spark from inferring a filter that would find the terms of each text twice more.
+    The outer explode keeps Spark from inferring a filter that would find the terms of each text twice more. The length is
+    taken before it, so that a row of a term doesn't carry all terms of its text.
     """
-    terms = texts.select(key, T.query_terms(F.col(text)).alias("terms"))
-    return terms.select(key, F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    terms = texts.select(key, T.query_terms(F.col(text)).alias("terms")).withColumn("dl", F.size("terms"))
+    return terms.select(key, "dl", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, index: DataFrame, n_texts: int, mean_length: float, key: str, every_term: bool = True, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -128,7 +129,7 @@ def cover_density(queries: DataFrame, texts: DataFrame, key: str, text: str = "t
     terms; then one pass over each such text keeps the last place of every term. A query without terms finds nothing.
     """
     asked = queries.select("query_id", F.array_distinct(T.query_terms(F.col("text"))).alias("asked")).where("size(asked) > 0")
-    terms = asked.select("query_id", F.size("asked").alias("n_terms"), F.explode("asked").alias("term"))
+    terms = asked.withColumn("n_terms", F.size("asked")).select("query_id", "n_terms", F.explode("asked").alias("term"))
     index = postings(texts, key, text)
     found = index.join(small(terms), "term").groupBy("query_id", key).agg(F.count("*").alias("found"), F.first("n_terms").alias("n_terms")).where("found = n_terms")
     rows = found.select("query_id", key).join(asked, "query_id").join(texts.select(key, T.query_terms(F.col(text)).alias("words")), key)
