@@ -18,10 +18,14 @@ def source_health(docs: DataFrame, covered: DataFrame, key: str, group: str) ->
     return docs.join(hit, key, "left").groupBy(group).agg(n.alias("n"), h.alias("covered"), F.round(h / n, 6).alias("coverage"))
 
 
-def groups(rows: DataFrame, keys: list[str], id_: str, to: str) -> DataFrame:
-    """Keys that more than one row has, with their number and sorted ids. Keys of one row go before any ids are gathered."""
-    many = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(many.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(id_)).alias(to))
+def groups(rows: DataFrame, keys: list[str], id_: str) -> DataFrame:
+    """One row for each member of a group of rows with equal keys: keys, id, the group's size ``n`` and its least id ``first_id``.
+
+    Single rows, and rows with a null key, are in no group. Sizes are summed before the shuffle and no list is gathered, so
+    a group may hold any share of the rows; Spark can split its join.
+    """
+    many = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(id_).alias("first_id")).where("n > 1")
+    return rows.select(*keys, id_).join(many, keys)
 
 
 def contradictions(facts: DataFrame, keys: list[str], value: str, to: str) -> DataFrame:

@@ -34,14 +34,14 @@ def _(t):
     return N.source_health(t("documents").withColumn("all", F.lit(1)), t("labels"), "doc_id", "all").select(c("n").alias("total"), "covered")
 
 
-@query("a05_duplicate_groups", "SELECT sha256(text) AS h, count(*) AS n, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("a05_duplicate_groups", "SELECT sha256(text) AS h, doc_id, count(*) OVER (PARTITION BY text) AS n, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents QUALIFY n > 1")
 def _(t):
-    return N.groups(t("documents").select(F.sha2("text", 256).alias("h"), "doc_id"), ["h"], "doc_id", "ids")
+    return N.groups(t("documents").select(F.sha2("text", 256).alias("h"), "doc_id"), ["h"], "doc_id")
 
 
-@query("a06_fact_consolidation", "SELECT user_id, event_type, count(*) AS n, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+@query("a06_fact_consolidation", "SELECT user_id, event_type, event_id, count(*) OVER w AS n, min(event_id) OVER w AS first_id FROM events WINDOW w AS (PARTITION BY user_id, event_type) QUALIFY n > 1")
 def _(t):
-    return N.groups(t("events"), ["user_id", "event_type"], "event_id", "ids")
+    return N.groups(t("events"), ["user_id", "event_type"], "event_id")
 
 
 @query("a07_contradictions", "SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS statuses FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
@@ -262,7 +262,8 @@ def _(t):
 @query("w06_recency_signal", "SELECT o_orderkey, round(0.02 * (epoch(o_orderdate) - min(epoch(o_orderdate)) OVER w) / (max(epoch(o_orderdate)) OVER w - min(epoch(o_orderdate)) OVER w), 8) AS signal FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderdate) > 1) WINDOW w AS (PARTITION BY o_custkey)")
 def _(t):
     rows = t("orders").select("o_orderkey", c("o_custkey").alias("query_id"), F.unix_timestamp("o_orderdate").cast("double").alias("score"))
-    many = F.size(F.collect_set("score").over(W.partitionBy("query_id"))) > 1
+    w = W.partitionBy("query_id")
+    many = F.min("score").over(w) < F.max("score").over(w)
     return Q.min_max(rows.withColumn("m", many).where("m")).select("o_orderkey", F.round(c("normal") * 0.02, 8).alias("signal"))
 
 

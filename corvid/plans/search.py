@@ -9,6 +9,7 @@ from corvid.operators import chunks as K
 from corvid.operators import conversations as C
 from corvid.operators import models as M
 from corvid.operators import search as Q
+from corvid.streaming import folds as D
 
 from .joins import _LINKS, links
 from .registry import query
@@ -160,10 +161,18 @@ def _(t):
 
 @query("w13_greedy_packing", "WITH g AS (SELECT source, list(length(text) % 400 ORDER BY doc_id) AS l FROM documents GROUP BY 1) SELECT source, list_reduce(l, lambda a, x: CASE WHEN a % 10000 + x + 2 > 1000 THEN (a // 10000 + 1) * 10000 + x ELSE a + x + 2 END, 0::BIGINT) // 10000 + 1 AS groups FROM g")
 def _(t):
-    l = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", (F.length("text") % 400).cast("long").alias("n")))), lambda x: x["n"])
-    step = lambda a, x: F.when(a["size"] + x + 2 > 1000, F.struct((a["n"] + 1).alias("n"), x.alias("size"))).otherwise(F.struct(a["n"].alias("n"), (a["size"] + x + 2).alias("size")))
-    packed = F.aggregate("l", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("size")), step)
-    return t("documents").groupBy("source").agg(l.alias("l")).select("source", (packed["n"] + 1).alias("groups"))
+    pieces = t("documents").select(c("source").alias("key"), c("doc_id").alias("event_id"), c("doc_id").alias("at"), (F.length("text") % 400).alias("units"))
+    return D.batch(pieces, D.packing(1000)).groupBy(c("key").alias("source")).agg((F.count_if("accepted") + 1).alias("groups"))
+
+
+@query("w12_chunk_offsets", "SELECT doc_id::VARCHAR AS doc_id, true AS in_order FROM documents")
+def _(t):
+    """Ordinals count up from 0 and no chunk begins before the end of the one before it."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("doc_id").orderBy("ordinal")
+    pieces = K.oversized(t("documents").select("doc_id", "text"), 500).withColumns({"before": F.lag("end_off", 1, 0).over(w), "n": F.row_number().over(w)})
+    return pieces.groupBy("doc_id").agg(F.bool_and((c("start_off") >= c("before")) & (c("ordinal") == c("n") - 1)).alias("in_order"))
 
 
 @query("c03_split_oversized", r"SELECT doc_id::VARCHAR AS doc_id, true AS exact, length(regexp_replace(text, '[\s\p{Z}]+', '', 'g'))::BIGINT AS kept, true AS fits FROM documents")

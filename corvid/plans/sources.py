@@ -98,6 +98,19 @@ def _(t):
     return D.archive(t("documents").select(path.alias("path"), value.alias("value")))[0].select("path", "id", F.sha2("body", 256).alias("body"))
 
 
+@query("f13_transcript_body", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) || chr(10) AS body FROM conversations GROUP BY conv_id")
+def _(t):
+    return C.bodies(t("conversations").withColumn("ord", c("turn"))).select("conv_id", "body")
+
+
+@query("s08_tree_walk", "SELECT 'k' || conv_id AS conv_id, role, text, turn::INT AS at FROM conversations WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn) = 1")
+def _(t):
+    """Each conversation one record; its messages lie at different depths, with tool calls that are not entered, and authors without text."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["turn"].alias("a_n"), F.struct(m["role"].alias("role"), m["text"].alias("text")).alias("m"), F.struct(F.struct(F.lit("user").alias("role"), F.lit("no").alias("text")).alias("toolCall"), F.lit("user").alias("author")).alias("z")))
+    rec = t("conversations").groupBy("conv_id").agg(turns.alias("bubbles")).select(F.lit(0).alias("store"), F.concat(F.lit("chat:k"), c("conv_id").cast("string")).alias("key"), F.parse_json(F.to_json(F.struct("bubbles"))).alias("record"))
+    return R.key_values(rec).select("conv_id", "role", "text", c("place.at")[2].cast("int").alias("at"))
+
+
 @query("s16_conversation_source", "WITH b AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) || chr(10) AS body FROM conversations GROUP BY conv_id) SELECT 'conversations/' || conv_id || '.md' AS path, sha256(body) AS content_hash, length(body) AS size FROM b")
 def _(t):
     b = C.bodies(t("conversations").withColumn("ord", c("turn")))
@@ -182,7 +195,7 @@ def _(t):
     return t("documents").select("doc_id", K.new_body(F.concat(F.lit("---\nid: x\n---\n\nold "), "text"), c("source")).alias("content"))
 
 
-@query("k04_provider_index", "SELECT source, string_agg('| ' || lang || ' | ' || doc_id || ' |', chr(10) ORDER BY lang, doc_id) AS listing, count(*) AS n FROM documents GROUP BY source")
+@query("k04_provider_index", "SELECT source, row_number() OVER (PARTITION BY source ORDER BY lang, doc_id)::INT AS line_no, '| ' || lang || ' | ' || doc_id || ' |' AS line FROM documents")
 def _(t):
     return K.index(t("documents").select("source", c("lang").alias("title"), c("doc_id").alias("path")), "source")
 

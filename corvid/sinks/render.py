@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvid.functions import text as T
@@ -33,9 +34,10 @@ def archive_path(provider: Column, title: Column, doc_id: Column) -> Column:
 
 
 def index(rows: DataFrame, group: str) -> DataFrame:
-    """(group, listing, n) of rows(group, title, path): table lines by title, then path."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("title", "path"))), lambda x: F.concat(F.lit("| "), T.escape_cell(x["title"]), F.lit(" | "), x["path"].cast("string"), F.lit(" |")))
-    return rows.groupBy(group).agg(F.array_join(lines, "\n").alias("listing"), F.count("*").alias("n"))
+    """(group, line_no, line) of rows(group, title, path): table lines by title, then path. Lines stay rows, so that a
+    group's listing needn't fit in memory."""
+    line = F.concat(F.lit("| "), T.escape_cell(F.col("title")), F.lit(" | "), F.col("path").cast("string"), F.lit(" |"))
+    return rows.select(group, F.row_number().over(W.partitionBy(group).orderBy("title", "path")).alias("line_no"), line.alias("line"))
 
 
 def managed(existing: Column, section: Column, start: str, end: str) -> Column:

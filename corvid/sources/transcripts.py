@@ -95,18 +95,25 @@ def summary_updates(summaries: DataFrame, updates: DataFrame) -> tuple[DataFrame
     return rows.where("role is not null").select("conv_id", F.col("line").alias("ord"), "role", "text", "ts"), lost
 
 
-def key_values(stores: DataFrame, depth: int = 4) -> DataFrame:
-    """stores(store, key, record): every nested object with a role is a message of the record's id, else of the key's
-    last part; tool and thinking parts are not entered; a (role, time, text) seen before is dropped."""
+#: Members of a record that hold no messages.
+NO_MESSAGES = ("toolCall", "toolResult", "toolCalls", "toolResults", "thinking", "reasoning")
+
+
+def key_values(stores: DataFrame, depth: int = 6) -> DataFrame:
+    """stores(store, key, record): every nested object with a role and a text that isn't blank is a message of the record's
+    id, else of the key's last part; NO_MESSAGES are not entered; a (role, time, text) seen before is dropped.
+
+    Objects are looked for down to ``depth`` levels below the record. Members of an object come by name, as VARIANT keeps them.
+    """
     node = stores.select(F.coalesce(get("record", "$.composerId"), get("record", "$.id"), F.regexp_extract("key", r"([^:/]+)$", 1)).alias("conv_id"), "store", F.array(F.lit(0)).alias("at"), F.col("record").alias("v"))
-    levels, skipped = [node], ("thinking", "tool_use", "tool_result")
+    levels, skipped = [node], ", ".join(f"'{k}'" for k in NO_MESSAGES)
     for _ in range(depth):
-        up = levels[-1].where(~F.coalesce(get("v", "$.type").isin(*skipped), F.lit(False)) & get("v", "$.role").isNull())
-        up.createOrReplaceTempView("corvid_walk")
-        down = stores.sparkSession.sql("SELECT conv_id, store, concat(at, array(e.pos)) AS at, e.value AS v FROM corvid_walk, LATERAL variant_explode_outer(v) e WHERE e.value IS NOT NULL")
+        levels[-1].createOrReplaceTempView("corvid_walk")
+        down = stores.sparkSession.sql(f"SELECT conv_id, store, concat(at, array(e.pos)) AS at, e.value AS v FROM corvid_walk, LATERAL variant_explode_outer(v) e WHERE e.value IS NOT NULL AND coalesce(e.key NOT IN ({skipped}), true) AND schema_of_variant(e.value) RLIKE '^(OBJECT|ARRAY)'")
         levels.append(down)
-    found = reduce(DataFrame.unionByName, levels).select("conv_id", "store", "at", T.role(get("v", "$.role")).alias("role"), T.message_text(F.col("v")).alias("text"), get("v", "$.timestamp").alias("ts")).where("role is not null")
-    first = found.groupBy("conv_id", "role", "ts", "text").agg(F.min(F.struct("store", "at")).alias("place"))
+    first_of = lambda kind, *names: F.coalesce(*(get("v", f"$.{n}", kind) for n in names))
+    found = reduce(DataFrame.unionByName, levels).select("conv_id", "store", "at", T.role(first_of("string", "role", "sender", "author")).alias("role"), T.message_text(first_of("variant", "text", "content", "message", "parts")).alias("text"), first_of("string", "timestamp", "createdAt", "created_at").alias("ts"))
+    first = found.where("role is not null").where(T.trim_all(F.col("text")) != "").groupBy("conv_id", "role", "ts", "text").agg(F.min(F.struct("store", "at")).alias("place"))
     return first.select("conv_id", "place", "role", "text", "ts")
 
 

@@ -57,6 +57,17 @@ def session(idle_ms: int, cap_ms: int) -> Step:
     return step
 
 
+def packing(limit: int, gap: int = 2) -> Step:
+    """True where a piece of ``units`` opens a new pack, as it no longer fits in ``limit`` after ``gap``. The time is the piece's place."""
+
+    def step(state, at, units):
+        size = state[1] if state is not None else 0
+        new = size + units + gap > limit
+        return (at, units if new else size + units + gap), new
+
+    return step
+
+
 def batch(events: DataFrame, step: Step) -> DataFrame:
     """VERDICT rows of events(key, event_id, at, units): keys are dealt to tasks and read in time order, a row at a time, so
     a key's events needn't fit in memory."""
