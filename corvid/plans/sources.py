@@ -111,6 +111,14 @@ def _(t):
     return R.key_values(rec).select("conv_id", "role", "text", c("place.at")[2].cast("int").alias("at"))
 
 
+@query("s09_key_value_heads", "SELECT CASE doc_id % 3 WHEN 0 THEN 'c' || doc_id WHEN 1 THEN 'i' || doc_id ELSE 'd' || doc_id END AS conv_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS title, CASE WHEN doc_id % 2 = 0 THEN '/w/' || lang END AS folder FROM documents")
+def _(t):
+    d = c("doc_id")
+    key = lambda p: F.concat(F.lit(p), d.cast("string"))
+    rec = F.struct(F.when(d % 3 == 0, key("c")).alias("composerId"), F.when(d % 3 == 1, key("i")).when(d % 3 == 0, key("x")).alias("id"), F.when(d % 2 == 0, F.col("source")).otherwise(F.lit(" ")).alias("title"), F.col("lang").alias("name"), F.when(d % 2 == 0, F.concat(F.lit(" /w/"), "lang")).alias("cwd"))
+    return R.key_value_heads(t("documents").select(key("chat:d").alias("key"), F.parse_json(F.to_json(rec)).alias("record")))
+
+
 @query("s16_conversation_source", "WITH b AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) || chr(10) AS body FROM conversations GROUP BY conv_id) SELECT 'conversations/' || conv_id || '.md' AS path, sha256(body) AS content_hash, length(body) AS size FROM b")
 def _(t):
     b = C.bodies(t("conversations").withColumn("ord", c("turn")))

@@ -99,13 +99,27 @@ def summary_updates(summaries: DataFrame, updates: DataFrame) -> tuple[DataFrame
 NO_MESSAGES = ("toolCall", "toolResult", "toolCalls", "toolResults", "thinking", "reasoning")
 
 
+def _named(*names: str) -> Column:
+    """The first of a record's members that is a text and not blank."""
+    return T.first_text(*(get("record", f"$.{n}") for n in names))
+
+
+def _key_value_id() -> Column:
+    return F.coalesce(_named("conversationId", "composerId", "sessionId", "agentId", "id"), F.regexp_extract("key", r"([^:/]+)$", 1))
+
+
+def key_value_heads(stores: DataFrame) -> DataFrame:
+    """(conv_id, title, folder) of stores(store, key, record); a record without an id goes by its key's last part."""
+    return stores.select(_key_value_id().alias("conv_id"), _named("title", "name", "conversationTitle").alias("title"), _named("workspacePath", "workspace", "cwd", "projectPath", "folderPath").alias("folder"))
+
+
 def key_values(stores: DataFrame, depth: int = 6) -> DataFrame:
     """stores(store, key, record): every nested object with a role and a text that isn't blank is a message of the record's
     id, else of the key's last part; NO_MESSAGES are not entered; a (role, time, text) seen before is dropped.
 
     Objects are looked for down to ``depth`` levels below the record. Members of an object come by name, as VARIANT keeps them.
     """
-    node = stores.select(F.coalesce(get("record", "$.composerId"), get("record", "$.id"), F.regexp_extract("key", r"([^:/]+)$", 1)).alias("conv_id"), "store", F.array(F.lit(0)).alias("at"), F.col("record").alias("v"))
+    node = stores.select(_key_value_id().alias("conv_id"), "store", F.array(F.lit(0)).alias("at"), F.col("record").alias("v"))
     levels, skipped = [node], ", ".join(f"'{k}'" for k in NO_MESSAGES)
     for _ in range(depth):
         levels[-1].createOrReplaceTempView("corvid_walk")
