@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions import scalars as S
 from corvid.functions import text as T
-from corvid.operators import chunks, versions
+from corvid.operators import chunks, models, search, versions
 from corvid.sinks import render
 from corvid.sources import documents, transcripts
 from corvid.streaming import folds, ingest
@@ -122,3 +122,57 @@ def test_delta_tags(spark):
     before = spark.createDataFrame([("a", "p", "h", "r", "m", None), ("b", "p", "h", "r", "m", None), ("c", "p", "h", "r", "m", None), ("e", "p", "h", "r", "m", True)], schema)
     after = spark.createDataFrame([("a", "q", "h", "r", "m", False), ("b", "p", "H", "r", "m", None), ("c", "p", "h", "r", "M", None), ("d", "p", "h", "r", "m", None), ("e", "p", "h", "r", "m", None)], schema)
     assert {tuple(r) for r in versions.delta(before, after).collect()} == {("a", "moved"), ("b", "updated"), ("c", "metadata_only"), ("d", "created"), ("e", "restored")}
+
+
+def test_cover_density_counts_minimal_covers(spark):
+    texts = spark.createDataFrame([(1, "a x b a"), (2, "a a b"), (3, "b only"), (4, None), (5, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "A b"), (8, "  "), (9, None)], "query_id long, text string")
+    got = {(r.query_id, r.doc_id): r.score for r in search.cover_density(asked, texts, "doc_id").collect()}
+    assert got == {(7, 1): round(1 / 3 + 1 / 2, 6), (7, 2): 0.5}
+    assert search.cover_density(asked, texts.limit(0), "doc_id").count() == 0
+
+
+def test_hybrid_puts_linked_pages_last(spark):
+    ranks = lambda *rows: spark.createDataFrame(list(rows), "query_id long, doc_id long, rank int")
+    links = spark.createDataFrame([(1, 2), (1, 9), (3, 8)], "src long, dst long")
+    signals = spark.createDataFrame([(1, 0.02), (2, 0.01), (8, 0.01)], "doc_id long, signal double")
+    got = search.hybrid(ranks((1, 1, 1), (1, 2, 2)), ranks((1, 2, 1), (1, 3, 2)), links, signals, "doc_id", cut=False).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == [2, 1, 3, 9, 8]
+    assert [r.score for r in got] == [round(1 / 62 + 1 / 61, 6) + 0.035, round(1 / 61, 6) + 0.02, round(1 / 62, 6), 0.025, 0.035]
+
+
+def test_citations_resolve_or_say_why(spark):
+    import hashlib
+
+    h = hashlib.sha256(b"ell").hexdigest()
+    hits = spark.createDataFrame([(1, 1, 4, h), (1, 0, 3, h), (1, 3, 9, h), (2, 1, 4, h)], "doc_id long, start_off int, end_off int, text_hash string")
+    got = search.resolve(hits, spark.createDataFrame([(1, "hello")], "doc_id long, text string"), "doc_id").orderBy("doc_id", "start_off").collect()
+    assert [(r.status, r.verified_text) for r in got] == [("hash differs", None), ("verified", "ell"), ("out of range", None), ("not found", None)]
+
+
+def test_models_are_checked(spark, tmp_path):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "c")], "doc_id long, text string")
+    got = models.embed(docs, "doc_id", lambda texts: [[float(len(t)), 1.0] for t in texts], 2, batch=2).orderBy("doc_id").collect()
+    assert [r.v for r in got] == [[3.0, 1.0], [0.0, 1.0], [1.0, 1.0]]
+    with pytest.raises(PySparkException):
+        models.embed(docs, "doc_id", lambda texts: [[1.0] for _ in texts], 2).collect()
+    assert all(sum(r.v) == n for r, n in zip(models.hashed_vectors(docs, "doc_id", dimensions=8).orderBy("doc_id").collect(), (2, 0, 1), strict=True))
+    root = f"file://{tmp_path}/v"
+    render.replace_model(docs, models.hashed_vectors(docs, "doc_id", dimensions=8), root, "doc_id")
+    for wrong in (docs.where("doc_id < 3"), docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10))):
+        with pytest.raises(ValueError):
+            render.replace_model(docs, models.hashed_vectors(wrong, "doc_id", dimensions=4), root, "doc_id")
+    assert len(render.current(spark, root).first().v) == 8
+
+
+def test_filesystem_documents(spark, tmp_path):
+    for name, text in (("a/n.TXT", "hi"), ("b.markdown", "# B\n"), (".hidden/c.md", "no"), ("d.csv", "no")):
+        at = tmp_path / name
+        at.parent.mkdir(exist_ok=True)
+        at.write_text(text)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    got = {r.path: r.content for r in documents.filesystem(files, str(tmp_path)).collect()}
+    assert got == {"files/a/n.md": "# n.TXT\n\nhi", "files/b.markdown": "# B\n"}
