@@ -44,7 +44,7 @@ def counted(docs: DataFrame, tokenizers: Mapping[str, Callable[[str], int]]) ->
 class TokenRollup:
     """Totals by source, language and tokenizer version under ``path``.
 
-    Each batch writes its signed rows by document and their sums, then a commit file, made only if it isn't there yet;
+    Each batch writes its signed rows by document and their sums, then renames a commit file to a name not taken yet;
     readers see committed batches alone, so a failed, repeated or concurrent attempt at a batch counts once or not at
     all. A delete takes back what the log holds for the document; a revision does so and adds the new counts. All
     totals are sums of deltas, so the order of batches doesn't matter to them.
@@ -97,15 +97,26 @@ class TokenRollup:
         signed.write.parquet(f"{self.path}/log/{attempt}")
         sums = self.spark.read.schema(SIGNED).parquet(f"{self.path}/log/{attempt}").groupBy("source", "lang", "version")
         sums.agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).write.parquet(f"{self.path}/totals/{attempt}")
+        return self._commit(batch_id, attempt)
+
+    def _commit(self, batch_id: str, attempt: str) -> bool:
+        """Names ``attempt`` as the batch's; False if another one is. The file is written whole under another name and
+        then renamed, which fails where the name is taken, so a driver lost on the way leaves no empty commit."""
+        jvm = self.spark._jvm
+        draft, fs = self._fs(f"{self.path}/drafts/{attempt}")
+        out = fs.create(draft, False)
+        out.write(bytearray(attempt.encode()))
+        out.close()
         at, fs = self._fs(self._commit_file(batch_id))
+        fs.mkdirs(at.getParent())
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration())
+        plain = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
-            out = fs.create(at, False)
+            files.rename(draft, at, plain)
         except Exception:
             if self.committed(batch_id):
                 return False
             raise
-        out.write(bytearray(attempt.encode()))
-        out.close()
         return True
 
     def totals(self) -> DataFrame:

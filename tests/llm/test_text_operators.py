@@ -48,6 +48,7 @@ def test_token_rollup_of_nothing_and_failed_attempts(spark, empty, odd, tmp_path
     assert rollup.apply("none", empty.selectExpr("*", "false as deleted"))
     assert rollup.totals().count() == 0
     spark.range(1).write.parquet(f"file://{tmp_path}/r/totals/left-behind")
+    assert not rollup._commit("none", "a-later-attempt") and len(rollup._attempts()) == 1
     assert rollup.apply("odd", odd.selectExpr("*", "false as deleted"))
     assert rollup.totals().selectExpr("sum(n_docs)").first()[0] == odd.where("doc_id is not null").count()
     assert rollup.apply("gone", odd.selectExpr("doc_id", "text", "source", "lang", "true as deleted"))
