@@ -254,6 +254,9 @@ def test_simhash_links_in_dense_buckets(spark, bucket):
     found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), bucket_pairs=bucket).collect()
     assert all(((r.src ^ r.dst) & (1 << 64) - 1).bit_count() <= 4 for r in found)
     assert brute_components(fps, linked) == brute_components(fps, [(r.src, r.dst) for r in found])
+    if bucket == 48:
+        whole = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), halves=False).collect()
+        assert brute_components(fps, linked) == brute_components(fps, [(r.src, r.dst) for r in whole])
 
 
 def test_simhash_of_odd_rows(odd, empty):
