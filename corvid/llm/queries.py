@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import codec, embed, lines, lm, packing, quality, secrets, simhash, tokens, warc
-from .common import scratch_path
+from .common import materialize, scratch_path
 
 
 def vocabulary(name: str) -> str:
@@ -40,7 +40,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     rollup = tokens.TokenRollup(spark, scratch_path(spark, "tokens"), {"words-1": tokens.count_words, "byte_bpe_50k-1": partial(_bpe_tokens, path=vocabulary("byte_bpe_50k.tiktoken"), pattern=split_pattern())})
     rollup.apply("snapshot", docs.withColumn("deleted", F.lit(False)))
-    first = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # A written table: Spark then deals both sides of the join anew, and can split a text with very many copies.
+    first = materialize(docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
     copies = docs.select("doc_id", F.sha2("text", 256).alias("h")).join(first, "h").where("doc_id <> first").select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(True).alias("deleted"))
     held = docs.where(F.col("text").rlike(secrets.ASSIGN)).join(copies.select("doc_id"), "doc_id", "left_anti")
     revised = held.withColumns({"text": F.regexp_replace("text", secrets.ASSIGN, "$1"), "deleted": F.lit(False)})
@@ -80,8 +81,6 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import materialize
-
     cut = materialize(packing.pieces(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), split_pattern()), "pieces")
     return packing.pack(cut)
 
