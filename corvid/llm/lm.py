@@ -101,42 +101,61 @@ class Model:
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
-def expected_counts(model: Model, rows):
-    """Baum-Welch counts (start, transitions, emissions, flat) of class sequences, given as integer arrays."""
+def expected_counts(model: Model, rows, group_tokens: int = 1 << 18):
+    """Baum-Welch counts (start, transitions, emissions, flat) of whole class sequences, given as integer arrays.
+
+    Sequences are taken longest first in groups of about ``group_tokens``, and a group's tokens step by step, so that a
+    step is one product over all sequences still going on. Each position's counts are divided by their own sum, hence
+    columns of both recursions may have any scale; every 16th step brings them back to 1.
+    """
     import numpy as np
 
     s, k = model.emit.shape
-    start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros((s, k))
-    by_class = np.ascontiguousarray(model.emit.T)
+    start, moved, emit = np.zeros(s), np.zeros((s, s)), np.zeros((s, k))
+    relative, move, back_move = model.emit / model.emit.mean(0), np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.move)
     rows = sorted(rows, key=len, reverse=True)
-    for lo in range(0, len(rows), 4096):
-        part = rows[lo : lo + 4096]
-        size = np.array([len(r) for r in part])
-        steps = int(size[0])
-        seen = np.zeros((steps, len(part)), np.int32)
-        for i, r in enumerate(part):
-            seen[: len(r), i] = r
-        alive = [int((size > t).sum()) for t in range(steps)]
-        ahead, scale = np.zeros((steps, len(part), s)), np.ones((steps, len(part)))
-        for t in range(steps):
-            n = alive[t]
-            a = (model.start[None, :] if t == 0 else ahead[t - 1, :n] @ model.move) * by_class[seen[t, :n]]
-            scale[t, :n] = a.sum(1)
-            ahead[t, :n] = a / scale[t, :n, None]
-        back = np.ones((len(part), s))
-        for t in range(steps - 1, -1, -1):
-            n = alive[t]
-            post = ahead[t, :n] * back[:n]
-            post /= post.sum(1, keepdims=True)
-            for i in range(s):
-                emit[i] += np.bincount(seen[t, :n], post[:, i], k)
-            if t == 0:
-                start += post.sum(0)
-            else:
-                fed = by_class[seen[t, :n]] * back[:n] / scale[t, :n, None]
-                move += model.move * (ahead[t - 1, :n].T @ fed)
-                back[:n] = fed @ model.move.T
-    return np.concatenate([start, move.ravel(), emit.ravel()])
+    size = np.array([len(r) for r in rows], np.int64)
+    of_group = (np.cumsum(size) - size) // group_tokens
+    for g in np.unique(of_group):
+        lo, hi = np.searchsorted(of_group, [g, g + 1])
+        part, n_part = size[lo:hi], hi - lo
+        alive = np.searchsorted(-part, -np.arange(1, part[0] + 1), side="right") if part[0] else np.zeros(0, np.int64)
+        if not len(alive):
+            continue
+        at = np.cumsum(alive) - alive
+        step = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
+        seen = np.empty(part.sum(), np.int64)
+        seen[at[step] + np.repeat(np.arange(n_part), part)] = np.concatenate(rows[lo:hi])
+        fits = relative[:, seen]
+        ahead, back = np.empty_like(fits), np.ones_like(fits)
+        places = list(zip(at.tolist(), alive.tolist(), strict=True))
+        ahead[:, : alive[0]] = model.start[:, None] * fits[:, : alive[0]]
+        before = 0
+        for t, (o, n) in enumerate(places[1:], 1):
+            now = ahead[:, o : o + n]
+            np.matmul(move, ahead[:, before : before + n], out=now)
+            now *= fits[:, o : o + n]
+            if t % 16 == 0:
+                now /= now.sum(0)
+            before = o
+        for t in range(len(places) - 1, 0, -1):
+            o, n = places[t]
+            before = places[t - 1][0]
+            now = back[:, before : before + n]
+            np.matmul(back_move, fits[:, o : o + n] * back[:, o : o + n], out=now)
+            if t % 16 == 0:
+                now /= now.sum(0)
+        post = ahead * back
+        post /= post.sum(0)
+        start += post[:, : alive[0]].sum(1)
+        for i in range(s):
+            emit[i] += np.bincount(seen, post[i], k)
+        later = np.arange(alive[0], len(seen))
+        from_ = ahead[:, later - np.repeat(alive[:-1], alive[1:])]
+        fed = fits[:, alive[0] :] * back[:, alive[0] :]
+        fed /= ((move @ from_) * fed).sum(0)
+        moved += model.move * (from_ @ fed.T)
+    return np.concatenate([start, moved.ravel(), emit.ravel()])
 
 
 def forward(model: Model, flat, lengths):
@@ -172,43 +191,25 @@ def _sequences(row, classes: int):
     return np.insert(of[ids] if len(ids) else np.zeros(0, np.int32), ends, classes), lengths + 1
 
 
-def _pieces(row, classes: int, piece: int) -> list:
-    """Training documents' sequences cut into pieces of ``piece`` classes."""
+def _trained(row, classes: int) -> list:
+    """Whole sequences of a block's training documents."""
     import numpy as np
 
     flat, lengths = _sequences(row, classes)
-    out, at = [], 0
-    for n, held in zip(lengths.tolist(), row["held"], strict=True):
-        if not held:
-            out += [flat[i : min(i + piece, at + n)] for i in range(at, at + n, piece)]
-        at += n
-    return out
+    return [x for x, held in zip(np.split(flat, np.cumsum(lengths)[:-1]), row["held"], strict=True) if not held]
 
 
-def train(stored: DataFrame, class_counts, states: int, classes: int, rounds: int, piece: int, sample_pieces: int, sample_rounds: int) -> Model:
-    """Baum-Welch over all training documents, cut into pieces of ``piece`` tokens, for ``rounds`` rounds.
+def train(stored: DataFrame, class_counts, states: int, classes: int, rounds: int) -> Model:
+    """``rounds`` rounds of Baum-Welch, each over all training documents, whole.
 
-    It starts from a model fitted on at most ``sample_pieces`` pieces for ``sample_rounds`` rounds. Each round sums the
-    expected counts over partitions; states * (states + classes + 2) sums come to the driver, however many documents.
+    Each round sums the expected counts over partitions; states * (states + classes + 2) sums come to the driver, however
+    many documents.
     """
     import numpy as np
 
     needed = stored.select("block", "held", "lengths", "ids", "classes")
-
-    def some(batches) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = _pieces(row, classes, piece)
-                found = found[:: max(1, len(found) // 256)]
-                yield pa.RecordBatch.from_arrays([pa.array([p.astype("<i4").tobytes() for p in found], pa.binary())], names=["piece"])
-
-    sample = [np.frombuffer(r.piece, "<i4") for r in needed.mapInArrow(some, "piece binary").limit(sample_pieces).collect()]
     share = (class_counts + 0.5) / (class_counts + 0.5).sum()
     model = Model.initial(class_counts, states)
-    for _ in range(sample_rounds if sample else 0):
-        model = Model.estimated(expected_counts(model, sample), states, share)
     for _ in range(rounds):
 
         def count(batches, model=model) -> Iterator:
@@ -216,8 +217,8 @@ def train(stored: DataFrame, class_counts, states: int, classes: int, rounds: in
 
             total = 0
             for batch in batches:
-                for row in batch.to_pylist():
-                    total = total + expected_counts(model, _pieces(row, classes, piece))
+                for i in range(batch.num_rows):
+                    total = total + expected_counts(model, _trained(batch.slice(i, 1).to_pylist()[0], classes))
             if not np.isscalar(total):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "n"])
 
@@ -229,7 +230,7 @@ def train(stored: DataFrame, class_counts, states: int, classes: int, rounds: in
     return model
 
 
-def score(docs: DataFrame, states: int = 6, classes: int = 1024, rounds: int = 2, piece: int = 128, sample_pieces: int = 2048, sample_rounds: int = 12, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, states: int = 6, classes: int = 1024, rounds: int = 14, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``.
 
     Null and empty texts are the end token alone. An empty table gives an empty result; with no training document all
@@ -245,7 +246,7 @@ def score(docs: DataFrame, states: int = 6, classes: int = 1024, rounds: int = 2
     trained = stored.select(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     in_class[classes], kinds[classes] = trained, 1 if trained else 0
     total, vocabulary = float(in_class.sum()), float(kinds.sum())
-    model = train(stored, in_class, states, classes, rounds, piece, sample_pieces, sample_rounds)
+    model = train(stored, in_class, states, classes, rounds)
     # log10 of what a class's counts, halves added, sum to; the end is alone in its class.
     within = np.log10(in_class[:classes] + 0.5 * (kinds[:classes] + 1))
     base_all, end_count = np.log10(total + 0.5 * (vocabulary + 1)), trained

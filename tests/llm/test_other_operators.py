@@ -116,6 +116,50 @@ def test_more_rounds_raise_the_likelihood():
     assert seen[-1] > seen[0] + 50
 
 
+def brute_round(model, rows):
+    s, k = model.emit.shape
+    start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros((s, k))
+    for r in rows:
+        a, b, scale = np.zeros((len(r), s)), np.ones((len(r), s)), np.ones(len(r))
+        for t, x in enumerate(r):
+            a[t] = (model.start if t == 0 else a[t - 1] @ model.move) * model.emit[:, x]
+            scale[t] = a[t].sum()
+            a[t] /= scale[t]
+        for t in range(len(r) - 2, -1, -1):
+            b[t] = model.move @ (model.emit[:, r[t + 1]] * b[t + 1]) / scale[t + 1]
+        start += a[0] * b[0]
+        for t, x in enumerate(r):
+            emit[:, x] += a[t] * b[t]
+            if t:
+                move += np.outer(a[t - 1], model.emit[:, x] * b[t] / scale[t]) * model.move
+    return np.concatenate([start, move.ravel(), emit.ravel()])
+
+
+@pytest.mark.parametrize("group", [1, 100, 1 << 18])
+def test_expected_counts_of_whole_sequences(group):
+    rng = np.random.default_rng(8)
+    rows = [rng.integers(0, 9, n) for n in (700, 700, 300, 129, 128, 17, 16, 1, 1)]
+    model = lm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.full(9, 0.1), 3) + 1e-9)
+    assert lm.expected_counts(model, rows, group) == pytest.approx(brute_round(model, rows), rel=1e-8, abs=1e-9)
+    assert not lm.expected_counts(model, []).any()
+
+
+def test_every_round_sees_all_documents_whole(spark, monkeypatch):
+    kept, real = {}, lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: kept.setdefault("model", real(*a)))
+    rng = np.random.default_rng(9)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 50, int(n))) or None) for i, n in enumerate(rng.integers(0, 600, 40))]
+    lm.score(spark.createDataFrame(docs, "doc_id long, text string"), states=2, classes=8, block_bytes=4000).count()
+    rows = [np.array([zlib.crc32(w.encode()) % 8 for w in (text or "").split()] + [8]) for i, text in docs if not lm.held_out(i)]
+    counts = np.bincount(np.concatenate(rows), minlength=9).astype(float)
+    share = (counts + 0.5) / (counts + 0.5).sum()
+    model = lm.Model.initial(counts, 2)
+    for _ in range(14):
+        model = lm.Model.estimated(brute_round(model, rows), 2, share)
+    for a, b in ((kept["model"].start, model.start), (kept["model"].move, model.move), (kept["model"].emit, model.emit)):
+        assert a == pytest.approx(b, rel=1e-6)
+
+
 def test_scores_of_nothing(empty):
     assert lm.score(empty).count() == 0
 
