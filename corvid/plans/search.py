@@ -194,6 +194,11 @@ def asked(t):
     return t("benchmark").select(c("item_id").alias("query_id"), F.array_join(F.slice(T.query_terms(c("text")), 2, 4), " ").alias("text"))
 
 
+def passages(t):
+    """Queries of whole benchmark passages."""
+    return t("benchmark").select(c("item_id").alias("query_id"), "text")
+
+
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+')"
 _DENSITY = f"""q AS (SELECT item_id AS query_id, list_distinct({_WORDS}[2:5]) AS ts FROM benchmark), qt AS (SELECT query_id, unnest(ts) AS term, len(ts) AS n FROM q),
 w AS (SELECT doc_id, unnest({_WORDS}) AS term, generate_subscripts({_WORDS}, 1) AS pos FROM documents),
@@ -205,8 +210,8 @@ density AS (SELECT query_id, doc_id, round(sum(1.0 / (high - low + 1)), 6)::DOUB
 lex AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM density QUALIFY rank <= 80)"""
 
 
-def dense(t):
-    return Q.ranked(Q.cover_density(asked(t), t("documents").select("doc_id", "text"), "doc_id"), 80, "doc_id")
+def dense(t, queries=asked):
+    return Q.ranked(Q.cover_density(queries(t), t("documents").select("doc_id", "text"), "doc_id"), 80, "doc_id")
 
 
 @query("l02_cover_density", f"WITH {_DENSITY} SELECT query_id, doc_id, score, rank FROM lex")
@@ -214,6 +219,11 @@ def _(t):
     return dense(t)
 
 
+@query("l02_cover_density_passages")
+def _(t):
+    return dense(t, passages)
+
+
 _VECTORS = f"(SELECT {{key}} AS key, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM (SELECT {{key}}, list_transform({{words}}, lambda w: ('0x' || substr(md5(w), 1, 6))::INT % 64) AS b FROM {{table}}))"
 _DOC_VECTORS = _VECTORS.format(key="doc_id", words=_WORDS, table="documents")
 _ASKED_VECTORS = _VECTORS.format(key="item_id", words=f"{_WORDS}[2:5]", table="benchmark")
@@ -237,13 +247,13 @@ dr AS (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) AS p FROM
 hy AS (SELECT * FROM (SELECT *, sum((coalesce(rank > 1 AND p > 0 AND (p - score) / p >= 0.5, false))::INT) OVER (PARTITION BY query_id ORDER BY rank) AS cut FROM dr) WHERE cut = 0)"""
 
 
-def hybrid(t):
+def hybrid(t, queries=asked):
     docs = t("documents").select("doc_id", "text")
-    near = Q.nearest(M.hashed_vectors(asked(t), "query_id"), M.hashed_vectors(docs, "doc_id"), 80, "doc_id").where("score is not null")
+    near = Q.nearest(M.hashed_vectors(queries(t), "query_id"), M.hashed_vectors(docs, "doc_id"), 80, "doc_id").where("score is not null")
     out = t("documents").select(c("doc_id").alias("src"), ((c("doc_id") * 7 + 3) % 1200).alias("dst")).join(docs.select(c("doc_id").alias("dst")), "dst", "left_semi").select("src", "dst")
     both = out.unionByName(out.select(c("dst").alias("src"), c("src").alias("dst")))
     signals = t("documents").select("doc_id", (S.source_tier(F.lit("web")) + S.page_strength(F.length("text"))).alias("signal"))
-    return Q.hybrid(dense(t), near, both, signals, "doc_id")
+    return Q.hybrid(dense(t, queries), near, both, signals, "doc_id")
 
 
 @query("c08_hybrid_search", f"WITH {_HYBRID} SELECT query_id, doc_id, score, rank FROM hy")
@@ -251,11 +261,16 @@ def _(t):
     return hybrid(t)
 
 
-def verified(t):
+@query("c08_hybrid_search_passages")
+def _(t):
+    return hybrid(t, passages)
+
+
+def verified(t, queries=asked):
     """Hits with citations of a text's first 40 characters; for every third document the text has changed since."""
     cited = t("documents").select("doc_id", F.lit(0).alias("start_off"), F.least(F.lit(40), F.length("text")).alias("end_off"), F.sha2(F.substring("text", 1, 40), 256).alias("text_hash"))
     held = t("documents").select("doc_id", F.when(c("doc_id") % 3 == 1, F.concat(F.lit("!"), "text")).otherwise(c("text")).alias("text"))
-    return Q.resolve(hybrid(t).join(cited, "doc_id"), held, "doc_id")
+    return Q.resolve(hybrid(t, queries).join(cited, "doc_id"), held, "doc_id")
 
 
 _VERIFIED = f"{_HYBRID}, ve AS (SELECT query_id, doc_id, rank, CASE WHEN doc_id % 3 = 1 THEN 'hash differs' ELSE 'verified' END AS status, text[1:40] AS t FROM hy JOIN documents USING (doc_id))"
@@ -266,10 +281,24 @@ def _(t):
     return verified(t).select("query_id", "doc_id", "rank", "status")
 
 
-@query("c19_grounded_answer", f"""WITH {_VERIFIED}, ok AS (SELECT * FROM ve WHERE status = 'verified')
-SELECT query_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY rank)) AS answer, round(0.6 * count(DISTINCT doc_id) / count(*) + 0.4, 6)::DOUBLE AS confidence FROM ok GROUP BY 1""")
+@query("c09_verified_search_passages")
 def _(t):
-    found = verified(t)
+    return verified(t, passages).select("query_id", "doc_id", "rank", "status")
+
+
+def grounded(t, queries=asked):
+    found = verified(t, queries)
     evidence = found.where("status = 'verified'").select(c("query_id").alias("q"), c("doc_id").alias("chunk"), F.lit(None).cast("timestamp").alias("updated"), c("doc_id").alias("key"), F.lit("").alias("value"))
     sure = N.confidence(evidence, F.lit("2024-01-01").cast("timestamp"), 365).withColumnRenamed("q", "query_id")
     return Q.answer(found).join(sure, "query_id").select("query_id", F.sha2("answer", 256).alias("answer"), "confidence")
+
+
+@query("c19_grounded_answer", f"""WITH {_VERIFIED}, ok AS (SELECT * FROM ve WHERE status = 'verified')
+SELECT query_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY rank)) AS answer, round(0.6 * count(DISTINCT doc_id) / count(*) + 0.4, 6)::DOUBLE AS confidence FROM ok GROUP BY 1""")
+def _(t):
+    return grounded(t)
+
+
+@query("c19_grounded_answer_passages")
+def _(t):
+    return grounded(t, passages)
