@@ -101,6 +101,12 @@ def shared_facts(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     return e.join(other, "target").where("doc <> other").select("doc", "other", "target").distinct()
 
 
+def shared_fact_counts(edges: DataFrame) -> DataFrame:
+    """(doc, target, n_others): how many other documents hold each target of a document; no pairs are made."""
+    e = edges.select("doc", "target").distinct()
+    return e.join(e.groupBy("target").agg((F.count("*") - 1).alias("n_others")), "target").select("doc", "target", "n_others")
+
+
 def related(edges: DataFrame, doc, k: int) -> DataFrame:
     """The ``k`` documents with most targets in common with one document."""
     own = edges.where(F.col("doc") == doc).select("target").distinct()

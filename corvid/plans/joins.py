@@ -49,6 +49,11 @@ def _(t):
     return Q.shared_facts(e, e.where("doc % 10 = 0").select("doc"))
 
 
+@query("j04_shared_facts_all", "WITH e AS (SELECT DISTINCT c_custkey AS doc, c_mktsegment || c_nationkey AS target FROM customer) SELECT doc, target, count(*) OVER (PARTITION BY target) - 1 AS n_others FROM e")
+def _(t):
+    return Q.shared_fact_counts(t("customer").select(c("c_custkey").alias("doc"), F.concat("c_mktsegment", c("c_nationkey").cast("string")).alias("target")))
+
+
 @query("j05_related", "SELECT b.l_orderkey AS doc, count(DISTINCT b.l_suppkey) AS n_shared FROM lineitem b WHERE b.l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey = 1) AND b.l_orderkey <> 1 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def _(t):
     return Q.related(t("lineitem").select(c("l_orderkey").alias("doc"), c("l_suppkey").alias("target")), 1, 20)
@@ -116,6 +121,15 @@ def _(t):
     return V.renames(missing, unseen).select("path", "action")
 
 
+@query("j15_renames_all", """WITH m AS (SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS id FROM documents GROUP BY 1), u AS (SELECT 'z/' || doc_id AS path, sha256(text || CASE WHEN doc_id % 4 = 0 THEN '!' ELSE '' END) AS hash FROM documents)
+SELECT path, CASE WHEN n = 1 AND row_number() OVER (PARTITION BY u.hash ORDER BY path) = 1 THEN 'renamed' WHEN n > 1 THEN 'ambiguous' ELSE 'created' END AS action FROM u LEFT JOIN m ON m.hash = u.hash""")
+def _(t):
+    d = t("documents")
+    missing = d.select(F.sha2("text", 256).alias("hash"), c("doc_id").alias("id"))
+    unseen = d.select(F.concat(F.lit("z/"), c("doc_id").cast("string")).alias("path"), F.sha2(F.when(c("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(c("text")), 256).alias("hash"))
+    return V.renames(missing, unseen).select("path", "action")
+
+
 @query("j16_source_sync", "SELECT doc_id AS id, CASE doc_id % 11 WHEN 0 THEN 'stale' WHEN 1 THEN 'updated' WHEN 2 THEN 'moved' WHEN 5 THEN 'stale' ELSE 'unchanged' END AS action FROM documents UNION ALL SELECT doc_id + 1000000, 'created' FROM documents WHERE doc_id % 11 = 4")
 def _(t):
     return V.sync(*snapshots(t))

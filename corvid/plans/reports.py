@@ -158,6 +158,14 @@ def _(t):
     return N.expand(asked, alias, 8).select(c("query_id").alias("item_id"), "text")
 
 
+@query("f21_query_expansion_all", """WITH b AS (SELECT item_id, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS t FROM benchmark), p AS (SELECT item_id, t, unnest(range(len(t))) AS i FROM b),
+v AS (SELECT item_id, -1 AS i, array_to_string(t, ' ') AS text FROM b UNION ALL SELECT item_id, i, array_to_string(list_transform(t, lambda x, k: CASE WHEN k = i + 1 THEN 'der' ELSE x END), ' ') FROM p WHERE t[i + 1] = 'the')
+SELECT item_id, text FROM (SELECT item_id, text, row_number() OVER (PARTITION BY item_id ORDER BY min(i)) AS n FROM v GROUP BY item_id, text) WHERE n <= 8""")
+def _(t):
+    alias = t.spark.createDataFrame([("the", "der")], "token string, replacement string")
+    return N.expand(t("benchmark").select(c("item_id").alias("query_id"), F.lower("text").alias("text")), alias, 8).select(c("query_id").alias("item_id"), "text")
+
+
 @query("a25_schema_upgrade", "SELECT coalesce(a.n_nationkey, b.k) AS k, CASE WHEN b.k IS NULL THEN 'removed' WHEN a.n_nationkey IS NULL THEN 'added' ELSE 'changed' END AS change FROM nation a FULL JOIN (SELECT n_nationkey + 5 AS k, n_name AS v FROM nation) b ON b.k = a.n_nationkey WHERE a.n_name IS DISTINCT FROM b.v")
 def _(t):
     from corvid.operators import versions as V
