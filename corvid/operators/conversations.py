@@ -53,11 +53,36 @@ def build(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def latest_or_longest(candidates: DataFrame, key: str, pos: str, updated: str, size: str) -> DataFrame:
     """(key, pos of the winner): in order, a candidate replaces the held one if it is later or has more messages.
 
-    The rule is a fold, not an order, so each key's candidates are folded in sequence; a key has as many as its sources.
+    The rule is a fold, not an order, so each key's candidates are read in sequence, a row at a time; they needn't fit in memory.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(updated).alias("u"), F.col(size).alias("n"))))
-    fold = F.aggregate(F.slice(F.col("__c"), 2, F.size("__c")), F.element_at("__c", 1), lambda held, x: F.when((F.coalesce(x["u"], F.lit("")) > F.coalesce(held["u"], F.lit(""))) | (x["n"] > held["n"]), x).otherwise(held))
-    return candidates.groupBy(key).agg(rows.alias("__c")).select(key, fold["p"].alias("kept"), F.size("__c").alias("n_candidates"))
+    rows = candidates.select(F.col(key).alias("key"), F.col(pos).alias("p"), F.coalesce(F.col(updated), F.lit("")).alias("u"), F.col(size).alias("n"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, count, kind = None, 0, None
+        for b in batches:
+            kind, out = b.schema, []
+            for k, p, u, n in zip(*(b.column(c).to_pylist() for c in ("key", "p", "u", "n")), strict=True):
+                if held is None or held[0] != k:
+                    if held is not None:
+                        out.append((held[0], held[1], count))
+                    held, count = (k, p, u, n), 0
+                elif u > held[2] or (n is not None and held[3] is not None and n > held[3]):
+                    held = (k, p, u, n)
+                count += 1
+            if out:
+                yield made(pa, kind, out)
+        if held is not None:
+            yield made(pa, kind, [(held[0], held[1], count)])
+
+    def made(pa, kind, out):
+        k, p, n = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(k, kind.field("key").type), pa.array(p, kind.field("p").type), pa.array(n, pa.int32())], names=["key", "kept", "n_candidates"])
+
+    folded = rows.repartition("key").sortWithinPartitions("key", "p", "u", "n").mapInArrow(run, f"key {kinds['key']}, kept {kinds['p']}, n_candidates int")
+    return folded.withColumnRenamed("key", key)
 
 
 def first_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

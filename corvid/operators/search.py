@@ -88,10 +88,18 @@ def autocut(hits: DataFrame, minimum: int = 1, maximum: int = 20, gap: float = 0
 
 
 def budget(hits: DataFrame, characters: int) -> DataFrame:
-    """Texts in rank order until ``characters`` are used; the last one is clipped."""
-    used = F.sum(F.length("text")).over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)) - F.length("text")
+    """Texts in rank order until ``characters`` are used; the last one is clipped.
+
+    What the rows of its own partition before it use up already, a row can't get; so few rows of a query come together.
+    """
+    rows = hits.withColumns({"__size": F.length("text"), "text": F.substring("text", 1, characters), "__part": F.spark_partition_id()})
+
+    def used(*part):
+        return F.sum("__size").over(W.partitionBy("query_id", *part).orderBy("rank").rowsBetween(W.unboundedPreceding, 0)) - F.col("__size")
+
+    some = rows.withColumn("__used", used("__part")).where(F.col("__used") < characters)
     left = F.lit(characters) - F.col("__used")
-    return hits.withColumn("__used", used).where(F.col("__used") < characters).withColumn("text", F.substring(F.col("text"), F.lit(1), left.cast("int"))).drop("__used")
+    return some.withColumn("__used", used()).where(F.col("__used") < characters).withColumn("text", F.substring(F.col("text"), F.lit(1), left.cast("int"))).drop("__used", "__size", "__part")
 
 
 def shared_facts(edges: DataFrame, candidates: DataFrame) -> DataFrame:
