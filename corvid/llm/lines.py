@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .simhash import _runs
+from .simhash import RUN_ROWS, _runs
 
 LINE = "k1 long, k2 long, doc_id long, line int, known boolean, h1 long, h2 long, h3 long, h4 long"
 
@@ -98,7 +98,7 @@ def exact(docs: DataFrame, min_words: int = 5) -> DataFrame:
     return materialize(rows.mapInArrow(run, "doc_id long, line int, first boolean, h1 long, h2 long, h3 long, h4 long"), "lines")
 
 
-def _sharing(lines: DataFrame) -> DataFrame:
+def _sharing(lines: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """(doc_id, line) of the first lines that share a half key with another."""
     keys = lines.where("first and doc_id is not null").select("doc_id", "line", F.explode(F.array("h1", "h2", "h3", "h4")).alias("h")).where("h <> 0")
 
@@ -106,7 +106,7 @@ def _sharing(lines: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for h, doc, line in _runs(batches, ("h", "doc_id", "line")):
+        for h, doc, line in _runs(batches, ("h", "doc_id", "line"), lambda now: [0], run_rows):
             same = np.concatenate([[False], h[1:] == h[:-1]])
             at = np.flatnonzero(same | np.append(same[1:], False))
             pairs = np.unique(np.stack([doc[at], line[at].astype(np.int64)], axis=1), axis=0)
@@ -159,14 +159,27 @@ def _neighbourhood(lines: DataFrame, min_words: int) -> DataFrame:
     return lines.mapInArrow(run, "key long, place int, doc_id long, line int")
 
 
-def _candidates(keys: DataFrame) -> DataFrame:
+def _carried(now) -> list:
+    """Of a split run: its first row, the earliest row of its last place, and its earliest line without a word."""
+    import numpy as np
+
+    _, place, doc, line = now
+    rows = {0, int(np.searchsorted(place, place[-1]))}
+    part = np.flatnonzero(place != -1)
+    if len(part):
+        part = part[doc[part] == doc[part].min()]
+        rows.add(int(part[np.argmin(line[part])]))
+    return sorted(rows)
+
+
+def _candidates(keys: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """(doc_id, line, doc_0, line_0): a later and an earlier line that meet at a key as near lines must."""
 
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for key, place, doc, line in _runs(batches, ("key", "place", "doc_id", "line")):
+        for key, place, doc, line in _runs(batches, ("key", "place", "doc_id", "line"), _carried, run_rows):
             new_key = np.concatenate([[True], key[1:] != key[:-1]])
             first = np.flatnonzero(new_key)
             run_of = np.cumsum(new_key) - 1

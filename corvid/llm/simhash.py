@@ -50,8 +50,16 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42, id
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _runs(batches, keys: tuple[str, ...]) -> Iterator:
-    """Record batches cut anew so that no run of equal ``keys[0]`` is split, unless it is over a million rows."""
+#: A run of more rows is split.
+RUN_ROWS = 1_000_000
+
+
+def _runs(batches, keys: tuple[str, ...], carry, most: int = RUN_ROWS) -> Iterator:
+    """Record batches cut anew so that no run of equal ``keys[0]`` is split, unless it is over ``most`` rows.
+
+    Of a split run, the rows at the ascending places ``carry(columns)`` come again before its rest, which so knows what it needs
+    of the run's beginning; they must be few.
+    """
     import numpy as np
 
     rest = None
@@ -62,8 +70,11 @@ def _runs(batches, keys: tuple[str, ...]) -> Iterator:
         if not len(now[0]):
             continue
         cut = int(np.searchsorted(now[0], now[0][-1]))
-        if cut == 0 and len(now[0]) > 1_000_000:
-            cut = len(now[0]) - 1  # the last row stays, so the run's first rows are known to be of a long run
+        if cut == 0 and len(now[0]) > most:
+            yield now
+            again = carry(now)
+            rest = [x[again] for x in now]
+            continue
         if cut:
             yield [x[:cut] for x in now]
         rest = [x[cut:] for x in now]
@@ -86,7 +97,7 @@ def _popcount(x):
     return np.bitwise_count(x.astype(np.uint64)).astype(np.int64)
 
 
-def links(fps: DataFrame, radius: int = 4, bucket_pairs: int = 48, halves: bool = True) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, bucket_pairs: int = 48, halves: bool = True, run_rows: int = RUN_ROWS) -> DataFrame:
     """Edges (src, dst) over distinct ``fps(fp)`` that connect exactly what links of ``radius`` or fewer bits connect.
 
     Without ``halves`` every fingerprint's whole ball is dealt out: the same components for about 30 times the rows.
@@ -111,7 +122,8 @@ def links(fps: DataFrame, radius: int = 4, bucket_pairs: int = 48, halves: bool
         import numpy as np
         import pyarrow as pa
 
-        for key, fp in _runs(batches, ("key", "fp")):
+        # one row more than a small bucket has: the rest of a long run is known to be of a large one
+        for key, fp in _runs(batches, ("key", "fp"), lambda now: np.arange(len(now[0]))[-bucket_pairs - 1 :], max(run_rows, bucket_pairs + 1)):
             _, start, size = _bounds(key)
             large = np.unique(fp[size > bucket_pairs])
             yield pa.RecordBatch.from_arrays([pa.array(large), pa.array(large)], names=["src", "dst"])
@@ -149,7 +161,7 @@ def links(fps: DataFrame, radius: int = 4, bucket_pairs: int = 48, halves: bool
         import numpy as np
         import pyarrow as pa
 
-        for key, fp in _runs(batches, ("key", "fp")):
+        for key, fp in _runs(batches, ("key", "fp"), lambda now: [0], run_rows):
             _, start, _ = _bounds(key)
             pairs = np.unique(np.stack([fp[start], fp], axis=1), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
