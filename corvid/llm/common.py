@@ -14,9 +14,12 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share. A local session may name none and then uses a temporary one; on a cluster that
+    would lose data quietly, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), f"corvid-{os.getuid()}")
         os.makedirs(path, exist_ok=True)
         path = f"file://{path}"
@@ -38,12 +41,35 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def forest(ids_a, ids_b):
+    """A spanning forest of the links (ids_a[k], ids_b[k]): each node beside the least of its group."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
+    a, b = at[: len(ids_a)], at[len(ids_a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    apart = label != np.arange(len(nodes))
+    return nodes[label[apart]], nodes[apart]
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges(src, dst)``; component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds; each round writes its edges to the shared folder. The hub of a
-    star meets its neighbours in a join on the hub, which Spark can split when it is skewed; the minimum itself is
-    pre-aggregated. Only a row count and a checksum come to the driver.
+    Alternating large-star and small-star rounds. Each round writes its edges and the least neighbour of each node to the
+    shared folder: as both sides of the join are then dealt anew, Spark can split the hub of a star. Only a row count and
+    a checksum come to the driver. Paths shrink by a constant share a round, so ``max_rounds`` suffices for any graph that
+    fits a cluster; a caller who sees the error may raise it, as nothing else bounds the rounds.
     """
     e = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct()
     e = materialize(e, "cc")
@@ -56,12 +82,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        large = materialize(large, "large")
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = (
-            joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         )
         e = materialize(small, "cc")
@@ -70,7 +96,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         seen = now
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds; give more by max_rounds")
     return (
         e.groupBy("a").agg(F.min("b").alias("component"))
         .unionByName(e.select(F.col("b").alias("a"), F.col("b").alias("component")).distinct())

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, forest, materialize
 
 
 def _classes(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
@@ -68,28 +68,6 @@ def _tile_product(a, b, threshold: float):
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
-def _forest(ids_a, ids_b):
-    """A spanning forest of the links (ids_a[k], ids_b[k]): each node beside the least of its group."""
-    import numpy as np
-
-    nodes, at = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
-    a, b = at[: len(ids_a)], at[len(ids_a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    apart = label != np.arange(len(nodes))
-    return nodes[label[apart]], nodes[apart]
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = 4096, max_pivots: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
@@ -190,7 +168,7 @@ def _links(reps: DataFrame, n: int, threshold: float, tile: int, max_pivots: int
             i, j = i[i < j], j[i < j]
         n_links = np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
         some = np.flatnonzero(n_links)
-        src, dst = _forest(ids[i], ids[j]) if len(i) else (np.zeros(0, np.int64),) * 2
+        src, dst = forest(ids[i], ids[j]) if len(i) else (np.zeros(0, np.int64),) * 2
         kind = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(src), np.int32)])
         return pa.table({"kind": pa.array(kind), "a": pa.array(np.concatenate([ids[some], src])), "b": pa.array(np.concatenate([n_links[some], dst]))})
 

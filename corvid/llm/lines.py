@@ -15,11 +15,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .simhash import RUN_ROWS, _runs
 
 LINE = "k1 long, k2 long, doc_id long, line int, known boolean, h1 long, h2 long, h3 long, h4 long"
 
 
+#: A run of more rows is split.
+RUN_ROWS = 1_000_000
+
+
+def _runs(batches, keys: tuple[str, ...], carry, most: int = RUN_ROWS) -> Iterator:
+    """Record batches cut anew so that no run of equal ``keys[0]`` is split, unless it is over ``most`` rows.
+
+    Of a split run, the rows at the ascending places ``carry(columns)`` come again before its rest, which so knows what it needs
+    of the run's beginning; they must be few.
+    """
+    import numpy as np
+
+    rest = None
+    for batch in batches:
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        if rest is not None:
+            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        if not len(now[0]):
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut == 0 and len(now[0]) > most:
+            yield now
+            again = carry(now)
+            rest = [x[again] for x in now]
+            continue
+        if cut:
+            yield [x[:cut] for x in now]
+        rest = [x[cut:] for x in now]
+    if rest is not None and len(rest[0]):
+        yield rest
+
+
 def _half_keys(joined: bytes, ends: list[int], n: int, least: int) -> list[int]:
     """For each length s of the shorter of two near lines that this line may be in: its first and last s // 2 words."""
     import xxhash

@@ -1,11 +1,10 @@
 """SimHash fingerprints and exact near-duplicate groups by meet-in-the-middle ball hashing.
 
-Two fingerprints within ``radius`` bits meet at a point within half the radius of both. Emitting the whole ball of a
-64-bit fingerprint at radius 4 costs 2,081 keys a row, so the balls are taken in 32-bit halves: of two fingerprints
-within 4 bits, one half differs in 2 or fewer, and its balls of radius 1 meet: 33 keys a half. Colliding rows are
-verified over all 64 bits. A bucket over ``bucket_pairs`` rows would need many pairs, so its fingerprints go to the
-whole 64-bit balls instead, where every two rows of a bucket are within the radius and a star to the least suffices.
-No link is dropped either way, and no task emits all pairs of a large bucket.
+Two fingerprints within ``radius`` = 4 bits meet at a point within half the radius of both, so every fingerprint deals
+out its whole ball of radius 2: itself and all 2,080 variants of one or two flipped bits. Variants fall into parts by a
+linear map over bits: the part of a variant is the part of its fingerprint XOR that of the flipped bits. So a part need
+receive a fingerprint once, and works out itself which of the 2,081 variants are its own. Two fingerprints at one variant
+differ in 4 bits or fewer, hence a bucket holds 2,081 rows at most and links to its least row suffice.
 """
 
 from __future__ import annotations
@@ -15,8 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
-
+from .common import connected_components, forest, materialize
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): a bit is 1 if set in over half the shingle hashes. Null or wordless texts give fp 0; texts of fewer
@@ -50,150 +48,160 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42, id
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-#: A run of more rows is split.
-RUN_ROWS = 1_000_000
-
+def _columns(bits: int):
+    """The part, of ``bits`` bits, that each of the 64 fingerprint bits adds; fixed by the seed, so all tasks agree."""
+    import numpy as np
 
-def _runs(batches, keys: tuple[str, ...], carry, most: int = RUN_ROWS) -> Iterator:
-    """Record batches cut anew so that no run of equal ``keys[0]`` is split, unless it is over ``most`` rows.
+    return np.random.default_rng(64).integers(1, 1 << 62, 64).astype(np.int64) & ((1 << bits) - 1)
 
-    Of a split run, the rows at the ascending places ``carry(columns)`` come again before its rest, which so knows what it needs
-    of the run's beginning; they must be few.
-    """
-    import numpy as np
 
-    rest = None
-    for batch in batches:
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        if not len(now[0]):
-            continue
-        cut = int(np.searchsorted(now[0], now[0][-1]))
-        if cut == 0 and len(now[0]) > most:
-            yield now
-            again = carry(now)
-            rest = [x[again] for x in now]
-            continue
-        if cut:
-            yield [x[:cut] for x in now]
-        rest = [x[cut:] for x in now]
-    if rest is not None and len(rest[0]):
-        yield rest
-
-
-def _bounds(key):
-    """Start of each run, and for each row its run's start and length."""
+def _part(fp, columns):
+    """The linear map: XOR of the columns of the set bits, a byte at a time."""
     import numpy as np
 
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(first, len(key)))
-    return first, np.repeat(first, size), np.repeat(size, size)
+    out, low = np.zeros(len(fp), np.int64), np.arange(256)
+    for byte in range(8):
+        table = np.zeros(256, np.int64)
+        for bit in range(8):
+            table ^= np.where(low >> bit & 1, columns[8 * byte + bit], 0)
+        out ^= table[(fp >> (8 * byte)) & 255]
+    return out
 
 
-def _popcount(x):
+def _flips(bits: int):
+    """The flips of the ball of radius 2 in order of their part, and where each part's begin."""
     import numpy as np
 
-    return np.bitwise_count(x.astype(np.uint64)).astype(np.int64)
+    one = (np.uint64(1) << np.arange(64, dtype=np.uint64)).view(np.int64)
+    i, j = np.triu_indices(64, 1)
+    flips = np.concatenate([[0], one, one[i] ^ one[j]])
+    part = _part(flips, _columns(bits))
+    order = np.argsort(part, kind="stable")
+    return flips[order], np.searchsorted(part[order], np.arange((1 << bits) + 1))
+
 
+def _meet(fp, part: int, bits: int, flips, begin):
+    """Links (least, other) among different fingerprints at the variants of one part: a spanning forest of them."""
+    import numpy as np
 
-def links(fps: DataFrame, radius: int = 4, bucket_pairs: int = 48, halves: bool = True, run_rows: int = RUN_ROWS) -> DataFrame:
+    fp = np.unique(fp)
+    delta = _part(fp, _columns(bits)) ^ part
+    first, count = begin[delta], begin[delta + 1] - begin[delta]
+    # Sorted in place: high bits of a mixed variant, below them the row. Equal high bits are compared in full after that.
+    width = max(1, int(len(fp) - 1).bit_length())
+    rows = np.arange(len(fp), dtype=np.uint64)
+    mixed, at = np.empty(int(count.sum()), np.uint64), 0
+    mask = ~np.uint64((1 << width) - 1)
+    for k in range(int(count.max(initial=0))):
+        own = np.flatnonzero(count > k)
+        key = (fp[own] ^ flips[first[own] + k]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed[at : at + len(own)] = ((key ^ (key >> np.uint64(32))) & mask) | rows[own]
+        at += len(own)
+    mixed.sort()
+    high = mixed & mask
+    again = np.flatnonzero(high[1:] == high[:-1])
+    if not len(again):
+        return fp[:0], fp[:0]
+    again = np.unique(np.concatenate([again, again + 1]))
+    row, want = (mixed[again] & ~mask).astype(np.int64), high[again]
+    # Which of a row's variants it was: all of the few are made again.
+    key, owner = [], []
+    for k in range(int(count.max())):
+        fits = np.flatnonzero(count[row] > k)
+        v = fp[row[fits]] ^ flips[first[row[fits]] + k]
+        m = v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        same = ((m ^ (m >> np.uint64(32))) & mask) == want[fits]
+        key.append(v[same])
+        owner.append(row[fits][same])
+    key, owner = np.concatenate(key), np.concatenate(owner)
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    start = np.concatenate([[True], key[1:] != key[:-1]])
+    lead = owner[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
+    apart = lead != owner
+    a, b = fp[lead[apart]], fp[owner[apart]]
+    near = np.bitwise_count((a ^ b).view(np.uint64)) <= 4
+    return forest(a[near], b[near]) if near.any() else (fp[:0], fp[:0])
+
+
+def links(fps: DataFrame, radius: int = 4, passes: int = 4, part_keys: int = 1 << 24, least_bits: int = 10) -> DataFrame:
     """Edges (src, dst) over distinct ``fps(fp)`` that connect exactly what links of ``radius`` or fewer bits connect.
 
-    Without ``halves`` every fingerprint's whole ball is dealt out: the same components for about 30 times the rows.
+    There are 2 ** ``least_bits`` parts, and more where one would have over ``part_keys`` variants. Each of ``passes``
+    passes takes a slice of the parts and writes its links before the next one begins, so the shuffle of one slice is on
+    disk at a time, once Spark's cleaner has dropped those before.
     """
     if radius != 4:
-        raise ValueError("the halves' balls are laid out for a radius of 4")
-
-    def half_balls(batches) -> Iterator:
+        raise ValueError("the balls are laid out for a radius of 4")
+    spark, n = fps.sparkSession, fps.count()
+    bits = max(least_bits, (n * 2081 // part_keys).bit_length())
+
+    def deal(slice_: int):
+        def run(batches) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            _, begin = _flips(bits)
+            some, columns = begin[1:] > begin[:-1], _columns(bits)
+            parts = np.arange(slice_, 1 << bits, passes)
+            for batch in batches:
+                whole = batch.column("fp").to_numpy(zero_copy_only=False)
+                for lo in range(0, len(whole), 1024):  # short rows, as Spark hands them on by the thousand
+                    fp = whole[lo : lo + 1024]
+                    own = _part(fp, columns)
+                    packed = [fp[some[own ^ p]].tobytes() for p in parts.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(packed, pa.binary())], names=["part", "fps"])
+
+        return run
+
+    def meet(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        flips = np.concatenate([[0], 1 << np.arange(32, dtype=np.int64)])
-        for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False)
-            for i in range(0, len(fp), 4096):
-                part = fp[i : i + 4096]
-                low, high = part & 0xFFFFFFFF, (part >> 32) & 0xFFFFFFFF
-                keys = np.concatenate([low[:, None] ^ flips, (high[:, None] ^ flips) | (1 << 32)], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part, keys.shape[1]))], names=["key", "fp"])
-
-    def collide(batches) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+        flips, begin = _flips(bits)
+        held, now = [], None
 
-        # one row more than a small bucket has: the rest of a long run is known to be of a large one
-        for key, fp in _runs(batches, ("key", "fp"), lambda now: np.arange(len(now[0]))[-bucket_pairs - 1 :], max(run_rows, bucket_pairs + 1)):
-            _, start, size = _bounds(key)
-            large = np.unique(fp[size > bucket_pairs])
-            yield pa.RecordBatch.from_arrays([pa.array(large), pa.array(large)], names=["src", "dst"])
-            small = np.flatnonzero((size > 1) & (size <= bucket_pairs))
-            end = (start + size)[small]
-            for step in range(1, bucket_pairs):
-                alive = small + step < end
-                small, end = small[alive], end[alive]
-                if not len(small):
-                    break
-                a, b, k = fp[small], fp[small + step], key[small]
-                x = a ^ b
-                near = _popcount(x) <= radius
-                a, b, k, x = a[near], b[near], k[near], x[near]
-                shift = (k >> 32) * 32
-                ha, hb, hx = (a >> shift) & 0xFFFFFFFF, (b >> shift) & 0xFFFFFFFF, (x >> shift) & 0xFFFFFFFF
-                bit = np.where(_popcount(hx) == 2, hx & -hx, 0)
-                once = (k & 0xFFFFFFFF) == np.minimum(ha ^ bit, hb ^ bit)  # a pair meets in several buckets; one of them is its own
-                yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], names=["src", "dst"])
-
-    def whole_balls(batches) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+        def flush():
+            a, b = _meet(np.concatenate(held), now, bits, flips, begin)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
 
-        one = (np.uint64(1) << np.arange(64, dtype=np.uint64)).view(np.int64)
-        i, j = np.triu_indices(64, 1)
-        flips = np.concatenate([[0], one, one[i] ^ one[j]])
         for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False)
-            for k in range(0, len(fp), 64):
-                part = fp[k : k + 64]
-                yield pa.RecordBatch.from_arrays([pa.array((part[:, None] ^ flips).ravel()), pa.array(np.repeat(part, len(flips)))], names=["key", "fp"])
-
-    def stars(batches) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for key, fp in _runs(batches, ("key", "fp"), lambda now: [0], run_rows):
-            _, start, _ = _bounds(key)
-            pairs = np.unique(np.stack([fp[start], fp], axis=1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["src", "dst"])
-
-    def starred(some: DataFrame) -> DataFrame:
-        spread = some.repartition(some.sparkSession.sparkContext.defaultParallelism * 4, "fp")
-        met = spread.mapInArrow(whole_balls, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-        return met.mapInArrow(stars, "src long, dst long")
-
-    if not halves:
-        return starred(fps).distinct()
-    found = fps.mapInArrow(half_balls, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    found = materialize(found.mapInArrow(collide, "src long, dst long"), "balls")
-    dense = found.where("src = dst").select(F.col("src").alias("fp")).distinct()
-    return found.where("src <> dst").unionByName(starred(dense)).distinct()
-
-
-def near_duplicates(docs: DataFrame, radius: int = 4, bucket_pairs: int = 48, halves: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for part, fp in zip(batch.column("part").to_pylist(), batch.column("fps"), strict=True):
+                if held and part != now:
+                    yield flush()
+                    held = []
+                now = part
+                held.append(np.frombuffer(fp.as_buffer(), np.int64))
+        if held:
+            yield flush()
+
+    out = None
+    for slice_ in range(passes):
+        dealt = fps.mapInArrow(deal(slice_), "part long, fps binary").where("length(fps) > 0")
+        met = materialize(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "src long, dst long").distinct(), "balls")
+        out = met if out is None else out.unionByName(met)
+    return out.distinct()
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): fingerprints link at ``radius`` or fewer differing bits; the component is the
-    smallest doc_id reachable over links, itself included."""
+    smallest doc_id reachable over links, itself included. A null doc_id is ignored where a smallest one is sought; rows
+    that link with null ids alone have a null component."""
     prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simclass")
-    groups = connected_components(links(classes.select("fp"), radius, bucket_pairs, halves))
-    grouped = classes.join(groups, classes.fp == groups.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = grouped.join(least, "component").select("fp", "component_id")
+    groups = connected_components(links(classes.select("fp"), radius))
+    grouped = materialize(classes.join(groups, classes.fp == groups.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "simgroups")
+    # A written table, so that Spark can split the join where one group has a large share of the fingerprints.
+    least = materialize(grouped.groupBy("component").agg(F.min("rep").alias("component_id")), "simleast")
+    named = materialize(grouped.join(least, "component").select("fp", "component_id"), "simnamed")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest doc_id; of repeated rows of one id, all stay."""
+    """``docs`` with one document of each group, that of the smallest doc_id; of repeated rows of one id, all stay.
+
+    Rows without doc_id stay too: no other row can stand for them.
+    """
     groups = near_duplicates(docs, radius)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    lost = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(lost, "doc_id", "left_anti")

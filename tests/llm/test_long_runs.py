@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corvid.llm import lines, simhash
+from corvid.llm import lines
 
 
 @pytest.fixture
@@ -33,25 +33,3 @@ def test_lines_that_share_a_half_in_a_split_run(spark, small_batches):
     found = spark.createDataFrame([(i, 0, True, 7, 0, 0, 0) for i in range(43)], "doc_id long, line int, first boolean, h1 long, h2 long, h3 long, h4 long").coalesce(1)
     for n in (1_000_000, 20, 6):
         assert {r.doc_id for r in lines._sharing(found, n).collect()} == set(range(43))
-
-
-@pytest.mark.parametrize("halves", [True, False])
-def test_links_of_a_split_bucket(spark, small_batches, halves):
-    high = [int(x) for x in np.random.default_rng(6).integers(1, 1 << 30, 60)]
-    fps = sorted({(h << 32) | 5 for h in high} | {(h << 32) ^ (1 << 40) | 5 for h in high[::3]})
-    df = spark.createDataFrame([(x,) for x in fps], "fp long")
-
-    def parts(n):
-        of = {x: x for x in fps}
-        for r in simhash.links(df, bucket_pairs=8, halves=halves, run_rows=n).collect():
-            a, b = of[r.src], of[r.dst]
-            of = {k: min(a, b) if v in (a, b) else v for k, v in of.items()}
-        return of
-
-    want = {x: x for x in fps}
-    for x in fps:
-        for y in fps:
-            if (x ^ y).bit_count() <= 4:
-                a, b = want[x], want[y]
-                want = {k: min(a, b) if v in (a, b) else v for k, v in want.items()}
-    assert parts(10) == parts(1_000_000) == want

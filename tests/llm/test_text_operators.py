@@ -238,11 +238,11 @@ def test_simhash_matches_all_pairs(both, odd):
         assert int(r["fingerprint"], 16) == prints[r["doc_id"]] and r["component_id"] == want[r["doc_id"]]
 
 
-@pytest.mark.parametrize("bucket", [1, 4, 48])
-def test_simhash_links_in_dense_buckets(spark, bucket):
+@pytest.mark.parametrize("how", [{}, {"least_bits": 3, "part_keys": 1 << 12, "passes": 3}, {"least_bits": 12, "passes": 1}])
+def test_simhash_links_in_dense_buckets(spark, how):
     rng = np.random.default_rng(2)
     centres = rng.integers(0, 2**63, 12, dtype=np.uint64)
-    fps = {int(c) for c in centres}
+    fps = {int(c) for c in centres} | {0, 1, 3, (1 << 64) - 1}
     for c in centres[:6]:
         for _ in range(60):
             x = int(c)
@@ -251,12 +251,24 @@ def test_simhash_links_in_dense_buckets(spark, bucket):
             fps.add(x)
     fps = sorted(f - (1 << 64) if f >= 1 << 63 else f for f in fps)
     linked = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4]
-    found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), bucket_pairs=bucket).collect()
-    assert all(((r.src ^ r.dst) & (1 << 64) - 1).bit_count() <= 4 for r in found)
+    found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), **how).collect()
     assert brute_components(fps, linked) == brute_components(fps, [(r.src, r.dst) for r in found])
-    if bucket == 48:
-        whole = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), halves=False).collect()
-        assert brute_components(fps, linked) == brute_components(fps, [(r.src, r.dst) for r in whole])
+
+
+@pytest.mark.parametrize("apart", [1, 2, 3, 4])
+def test_simhash_finds_every_pair_of_bits(spark, apart):
+    """A pair that differs in just these bits is linked, wherever they are; pairs with one bit more are not."""
+    rng = np.random.default_rng(apart)
+    for extra in (0, 1) if apart == 4 else (0,):
+        fps, want = [], set()
+        for _ in range(300):
+            x, bits = int(rng.integers(0, 2**63)), rng.permutation(64)[: apart + extra]
+            y = x ^ sum(1 << int(b) for b in bits)
+            x, y = (v - (1 << 64) if v >= 1 << 63 else v for v in (x, y))
+            fps += [x, y]
+            want.add((min(x, y), max(x, y)))
+        found = {(min(r.src, r.dst), max(r.src, r.dst)) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+        assert found == (set() if extra else want)
 
 
 def test_simhash_of_odd_rows(odd, empty):
@@ -265,6 +277,7 @@ def test_simhash_of_odd_rows(odd, empty):
     groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(with_ids).collect()}
     assert groups[0] == groups[1] == groups[2] == 0 and groups[6] == 5
     assert simhash.near_duplicates(odd).count() == odd.count()
+    assert simhash.keep_one(odd).where("doc_id is null").count() == odd.where("doc_id is null").count()
     assert simhash.keep_one(with_ids).where("doc_id = 5").count() == 2
 
 
