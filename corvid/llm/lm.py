@@ -1,8 +1,12 @@
 """Hidden Markov language model: Baum-Welch counts summed over partitions, exact likelihood by scaled forward recursion.
 
-Words fall into ``classes`` by a hash; states emit classes, and a class emits its words by their training counts plus
-0.5, an unknown word counting 0.5. Documents are stored once as blocks with a vocabulary of their own, so that only
-each block's different words, not its tokens, are shuffled to be counted.
+Words fall into ``classes`` by a hash. Baum-Welch rounds train start, transition and class emission probabilities over all
+training documents, whole. A last count then gives each word that occurs ``frequent`` times or more emissions of its own
+in each state, from how often each state is expected to emit it; the others share their class's remainder by their
+training counts plus 0.5, an unknown word counting 0.5. So what is gathered grows with the vocabulary, and stays in Spark.
+
+Documents are stored once as blocks with a vocabulary of their own. Sums over all blocks of a word's numbers are made by
+dealing each block's different words into parts by a hash: a part sums its words and answers each block in turn.
 """
 
 from __future__ import annotations
@@ -11,12 +15,14 @@ import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, classes binary, words array<binary>, counts array<long>"
+BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, hashes binary, words binary, counts binary, n_words long"
+ANSWER = "part int, block long, sums binary, kinds array<long>"
+#: (block, word) pairs that a part has on average, at most; a task holds 4 bytes a pair.
+PART_PAIRS = 1 << 20
 
 
 def held_out(doc_id) -> bool:
@@ -24,8 +30,12 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
-def blocks(docs: DataFrame, classes: int, block_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents in blocks of about ``block_bytes`` of text (a longer text is a block of its own), as a written table."""
+def blocks(docs: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents in blocks of about ``block_bytes`` of text (a longer text is a block of its own), as a written table.
+
+    ``words`` are a block's different words with blanks between them, in the order that ``ids`` number them; ``hashes`` are
+    their CRC-32 numbers, ``counts`` how often each stands in the block's training documents.
+    """
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -40,10 +50,11 @@ def blocks(docs: DataFrame, classes: int, block_bytes: int, id_col: str = "doc_i
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             lengths = np.fromiter(map(len, ids), np.int32, len(ids))
             words = list(vocabulary)
-            of = np.fromiter((zlib.crc32(w) % classes for w in words), "<u2", len(words))
-            trained = np.bincount(flat[np.repeat(~np.array(held, bool), lengths)], minlength=len(words))
+            hashes = np.fromiter(map(zlib.crc32, words), "<u4", len(words))
+            trained = np.bincount(flat[np.repeat(~np.array(held, bool), lengths)], minlength=len(words)).astype("<u4")
             return pa.RecordBatch.from_arrays(
-                [pa.array([base + n_blocks]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())), pa.array([flat.astype("<i4").tobytes()], pa.binary()), pa.array([of.tobytes()], pa.binary()), pa.array([words], pa.list_(pa.binary())), pa.array([trained], pa.list_(pa.int64()))],
+                [pa.array([base + n_blocks]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())),
+                 *(pa.array([x], pa.binary()) for x in (flat.astype("<i4").tobytes(), hashes.tobytes(), b" ".join(words), trained.tobytes())), pa.array([len(words)], pa.int64())],
                 names=[c.split()[0] for c in BLOCK.split(", ")],
             )
 
@@ -67,12 +78,101 @@ def blocks(docs: DataFrame, classes: int, block_bytes: int, id_col: str = "doc_i
     return materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, BLOCK), "lm-blocks")
 
 
-def word_counts(stored: DataFrame, classes: int) -> DataFrame:
-    """(block, pos, c, class, first): the training count of each word of each block; ``first`` marks one row a word."""
-    asked = stored.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    same = W.partitionBy("word")
-    rows = asked.select("block", "pos", F.sum("n").over(same).alias("c"), F.pmod(F.crc32("word"), F.lit(classes)).cast("int").alias("class"), (F.col("block") == F.min("block").over(same)).alias("first"))
-    return materialize(rows, "lm-counts")
+def _parts_of(hashes, parts: int):
+    """The part of each word. The classes take the hash's low places, so it is mixed first."""
+    import numpy as np
+
+    return ((hashes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def _by_part(hashes, parts: int):
+    """(part, places) of a block's words, places ascending."""
+    import numpy as np
+
+    of = _parts_of(hashes, parts)
+    order = np.argsort(of, kind="stable")
+    found, begin = np.unique(of[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, begin[1:]), strict=True))
+
+
+def dealt(batches, parts: int, numbers) -> Iterator:
+    """Rows (part, block, words, numbers) of blocks; ``numbers`` gives a row of numbers for each word of a block, and which
+    words are dealt."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            hashes, words, values = numbers(row)
+            if not len(hashes):
+                continue
+            made = [(p, b" ".join([words[k] for k in at.tolist()]), values[at].tobytes()) for p, at in _by_part(hashes, parts)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([m[0] for m in made], pa.int32()), pa.array([row["block"]] * len(made), pa.int64()), pa.array([m[1] for m in made], pa.binary()), pa.array([m[2] for m in made], pa.binary())],
+                names=["part", "block", "words", "numbers"],
+            )
+
+
+def summed_by_word(asked: DataFrame, read: str, write: str, width: int, classes: int, frequent: int, name: str) -> DataFrame:
+    """ANSWER rows for ``asked(part, block, words, numbers)``: the sums over all blocks of each word's ``width`` numbers, for each
+    block in its order; and a row a part without block whose ``kinds`` count, by class, words of a sum over zero, and then
+    those of ``frequent`` or more.
+
+    A block has a word once, so however common it is, a part has at most a row a block of it.
+    """
+
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def answers(part, held, sums, known):
+            of, n = np.fromiter((zlib.crc32(w) % classes for w in known), np.int64, len(known)), sums[: len(known), 0]
+            kinds = np.concatenate([np.bincount(of[n >= least], minlength=classes) for least in (1, frequent)])
+            for k in range(0, len(held), 64):
+                some = held[k : k + 64]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(some), pa.int32()), pa.array([b for b, _ in some], pa.int64()), pa.array([sums[ids].astype(write).tobytes() for _, ids in some], pa.binary()), pa.nulls(len(some), pa.list_(pa.int64()))],
+                    names=["part", "block", "sums", "kinds"],
+                )
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([kinds], pa.list_(pa.int64()))], names=["part", "block", "sums", "kinds"])
+
+        now, held, known, sums = None, [], {}, None
+        for batch in batches:
+            for part, block, words, numbers in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "words", "numbers")), strict=True):
+                if part != now:
+                    if held:
+                        yield from answers(now, held, sums, known)
+                    now, held, known, sums = part, [], {}, np.zeros((1 << 12, width), np.int64 if write[1] == "i" else np.float64)
+                number = known.setdefault
+                words = words.split(b" ")
+                ids = np.fromiter((number(w, len(known)) for w in words), np.int32, len(words))
+                while len(known) > len(sums):
+                    sums = np.concatenate([sums, np.zeros_like(sums)])
+                sums[ids] += np.frombuffer(numbers, read).reshape(-1, width)
+                held.append((block, ids))
+        if held:
+            yield from answers(now, held, sums, known)
+
+    return materialize(asked.repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, ANSWER), name)
+
+
+def answered(stored: DataFrame, answers: DataFrame) -> DataFrame:
+    """``stored`` with ``found``, the answers (part, sums) to each block; as many as there are parts. Blocks are dealt by
+    number, a few to a task."""
+    n = max(1, -(-stored.count() // 4))
+    by_block = answers.where("block is not null").repartition(n, "block").groupBy("block").agg(F.collect_list(F.struct("part", "sums")).alias("found"))
+    return stored.repartition(n, "block").join(by_block, "block", "left")
+
+
+def _found(row, hashes, parts: int, kind: str, width: int):
+    """The answers of a block in the order of its words; zero for a word that was not asked."""
+    import numpy as np
+
+    out = np.zeros((len(hashes), width), kind)
+    sums = {r["part"]: r["sums"] for r in row["found"] or ()}
+    for part, at in _by_part(hashes, parts) if sums else ():
+        out[at] = np.frombuffer(sums[part], kind).reshape(-1, width)
+    return out
 
 
 class Model:
@@ -101,21 +201,22 @@ class Model:
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
-def expected_counts(model: Model, rows, group_tokens: int = 1 << 18):
-    """Baum-Welch counts (start, transitions, emissions, flat) of whole class sequences, given as integer arrays.
+def posteriors(model: Model, rows, relative=None):
+    """For each group of whole symbol sequences: (sequence numbers, symbols, their places, posteriors, starts, transitions).
 
-    Sequences are taken longest first in groups of about ``group_tokens``, and a group's tokens step by step, so that a
-    step is one product over all sequences still going on. Each position's counts are divided by their own sum, hence
-    columns of both recursions may have any scale; every 16th step brings them back to 1.
+    Sequences are taken longest first. Of long ones more tokens make a group, so that a step, which is one product over
+    all sequences still going on, is wide. Each position's posteriors are divided by their own sum, hence columns of both
+    recursions may have any scale; every 16th step brings them back to 1. ``relative``: (states, symbols) emissions.
     """
     import numpy as np
 
-    s, k = model.emit.shape
-    start, moved, emit = np.zeros(s), np.zeros((s, s)), np.zeros((s, k))
-    relative, move, back_move = model.emit / model.emit.mean(0), np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.move)
+    s = len(model.start)
+    relative = model.emit / model.emit.mean(0) if relative is None else relative
+    move, back_move = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.move)
     rows = sorted(rows, key=len, reverse=True)
     size = np.array([len(r) for r in rows], np.int64)
-    of_group = (np.cumsum(size) - size) // group_tokens
+    weight = np.where(size > 1024, size, 4 * size)
+    of_group = (np.cumsum(weight) - weight) // (1 << 18)
     for g in np.unique(of_group):
         lo, hi = np.searchsorted(of_group, [g, g + 1])
         part, n_part = size[lo:hi], hi - lo
@@ -129,6 +230,7 @@ def expected_counts(model: Model, rows, group_tokens: int = 1 << 18):
         fits = relative[:, seen]
         ahead, back = np.empty_like(fits), np.ones_like(fits)
         places = list(zip(at.tolist(), alive.tolist(), strict=True))
+        scale = np.ones(len(seen))
         ahead[:, : alive[0]] = model.start[:, None] * fits[:, : alive[0]]
         before = 0
         for t, (o, n) in enumerate(places[1:], 1):
@@ -136,42 +238,58 @@ def expected_counts(model: Model, rows, group_tokens: int = 1 << 18):
             np.matmul(move, ahead[:, before : before + n], out=now)
             now *= fits[:, o : o + n]
             if t % 16 == 0:
-                now /= now.sum(0)
+                total = now.sum(0)
+                scale[o : o + n] = total
+                now /= total
             before = o
         for t in range(len(places) - 1, 0, -1):
             o, n = places[t]
             before = places[t - 1][0]
             now = back[:, before : before + n]
-            np.matmul(back_move, fits[:, o : o + n] * back[:, o : o + n], out=now)
+            fed = fits[:, o : o + n]
+            fed *= back[:, o : o + n]
+            np.matmul(back_move, fed, out=now)
             if t % 16 == 0:
                 now /= now.sum(0)
-        post = ahead * back
-        post /= post.sum(0)
-        start += post[:, : alive[0]].sum(1)
+        # fits now holds fits * back but for the first step. Their product with what came before sums to sum(ahead * back) * scale.
+        post = np.multiply(ahead, back, out=back)
+        total = post.sum(0)
+        post /= total
+        total *= scale
+        fits /= total
+        moved = np.zeros((s, s))
+        for (before, _), (o, n) in zip(places, places[1:]):  # noqa: B905
+            moved += ahead[:, before : before + n] @ fits[:, o : o + n].T
+        yield seen, post, post[:, : alive[0]].sum(1), model.move * moved
+
+
+def expected_counts(model: Model, rows):
+    """Baum-Welch counts (start, transitions, emissions, flat) of whole class sequences, given as integer arrays."""
+    import numpy as np
+
+    s, k = model.emit.shape
+    start, moved, emit = np.zeros(s), np.zeros((s, s)), np.zeros((s, k))
+    for seen, post, begun, went in posteriors(model, rows):
+        start += begun
+        moved += went
         for i in range(s):
             emit[i] += np.bincount(seen, post[i], k)
-        later = np.arange(alive[0], len(seen))
-        from_ = ahead[:, later - np.repeat(alive[:-1], alive[1:])]
-        fed = fits[:, alive[0] :] * back[:, alive[0] :]
-        fed /= ((move @ from_) * fed).sum(0)
-        moved += model.move * (from_ @ fed.T)
     return np.concatenate([start, moved.ravel(), emit.ravel()])
 
 
-def forward(model: Model, flat, lengths):
-    """log10 likelihood of each class sequence, whole; ``flat`` holds them one after the other."""
+def forward(start, move, emit, flat, lengths):
+    """log10 likelihood of each sequence of symbols, whole; ``flat`` holds them one after the other, ``emit`` is (symbols, states)."""
     import numpy as np
 
     lengths = np.asarray(lengths)
     order = np.argsort(-lengths, kind="stable")
     begin = (np.concatenate([[0], np.cumsum(lengths)])[:-1])[order]
     size = lengths[order]
-    by_class = np.ascontiguousarray(model.emit.T)
     total = np.zeros(len(size))
     a = None
     alive = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
     for t, n in enumerate(alive.tolist()):
-        a = (model.start[None, :] if t == 0 else a[:n] @ model.move) * by_class[flat[begin[:n] + t]]
+        a = (start[None, :] if t == 0 else a[:n] @ move) * emit[flat[begin[:n] + t]]
         scale = a.sum(1)
         a /= scale[:, None]
         total[:n] += np.log10(scale)
@@ -180,25 +298,31 @@ def forward(model: Model, flat, lengths):
     return out
 
 
-def _sequences(row, classes: int):
-    """Class numbers of a block's documents, each followed by the end, and their lengths."""
+def _sequences(lengths, ids, end: int):
+    """Symbols of a block's documents, each followed by the end, and their lengths."""
     import numpy as np
 
-    lengths = np.array(row["lengths"], np.int64)
-    of = np.frombuffer(row["classes"], "<u2").astype(np.int32)
-    ids = np.frombuffer(row["ids"], "<i4")
-    ends = np.cumsum(lengths)
-    return np.insert(of[ids] if len(ids) else np.zeros(0, np.int32), ends, classes), lengths + 1
+    lengths = np.array(lengths, np.int64)
+    return np.insert(ids, np.cumsum(lengths), end), lengths + 1
 
 
-def _trained(row, classes: int) -> list:
-    """Whole sequences of a block's training documents."""
+def _trained(row, end: int, of=None) -> list:
+    """Whole symbol sequences of a block's training documents; ``of`` maps words to symbols."""
     import numpy as np
 
-    flat, lengths = _sequences(row, classes)
+    ids = np.frombuffer(row["ids"], "<i4")
+    flat, lengths = _sequences(row["lengths"], ids if of is None else of[ids] if len(ids) else ids, end)
     return [x for x, held in zip(np.split(flat, np.cumsum(lengths)[:-1]), row["held"], strict=True) if not held]
 
 
+def _classes(row, classes: int):
+    """(hashes, class of each word) of a block."""
+    import numpy as np
+
+    hashes = np.frombuffer(row["hashes"], "<u4")
+    return hashes, (hashes % np.uint32(classes)).astype(np.int32)
+
+
 def train(stored: DataFrame, class_counts, states: int, classes: int, rounds: int) -> Model:
     """``rounds`` rounds of Baum-Welch, each over all training documents, whole.
 
@@ -207,7 +331,7 @@ def train(stored: DataFrame, class_counts, states: int, classes: int, rounds: in
     """
     import numpy as np
 
-    needed = stored.select("block", "held", "lengths", "ids", "classes")
+    needed = stored.select("block", "held", "lengths", "ids", "hashes")
     share = (class_counts + 0.5) / (class_counts + 0.5).sum()
     model = Model.initial(class_counts, states)
     for _ in range(rounds):
@@ -218,7 +342,8 @@ def train(stored: DataFrame, class_counts, states: int, classes: int, rounds: in
             total = 0
             for batch in batches:
                 for i in range(batch.num_rows):
-                    total = total + expected_counts(model, _trained(batch.slice(i, 1).to_pylist()[0], classes))
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    total = total + expected_counts(model, _trained(row, classes, _classes(row, classes)[1]))
             if not np.isscalar(total):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "n"])
 
@@ -230,7 +355,79 @@ def train(stored: DataFrame, class_counts, states: int, classes: int, rounds: in
     return model
 
 
-def score(docs: DataFrame, states: int = 6, classes: int = 1024, rounds: int = 14, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def word_posteriors(known: DataFrame, model: Model, states: int, classes: int, frequent: int, parts: int) -> DataFrame:
+    """Dealt rows of words that occur ``frequent`` times or more: how often each state is expected to emit them. One row a
+    task has part -1 and these sums by state and class: of all words, then of the frequent ones."""
+
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        sums = np.zeros((2, states, classes))
+
+        def numbers(row):
+            hashes, of = _classes(row, classes)
+            end = len(hashes)
+            by_word = (model.emit / model.emit.mean(0))[:, np.append(of, classes)]
+            seen = np.zeros((states, end + 1))
+            for symbols, post, _, _ in posteriors(model, _trained(row, end), by_word):
+                for i in range(states):
+                    seen[i] += np.bincount(symbols, post[i], end + 1)
+            at = np.flatnonzero(np.frombuffer(row["c"], "<i8") >= frequent)
+            for i in range(states):
+                sums[0, i] += np.bincount(of, seen[i, :end], classes)
+                sums[1, i] += np.bincount(of[at], seen[i, at], classes)
+            words = row["words"].split(b" ")
+            return hashes[at], [words[k] for k in at.tolist()], np.ascontiguousarray(seen[:, at].T).astype("<f4")
+
+        yield from dealt(batches, parts, numbers)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=["part", "block", "words", "numbers"])
+
+    return materialize(known.select("block", "held", "lengths", "ids", "hashes", "words", "c").mapInArrow(run, "part int, block long, words binary, numbers binary"), "lm-posteriors")
+
+
+def _class_sums(emitted: DataFrame, states: int, classes: int):
+    """The sums of part -1 over all tasks; 2 * states * classes numbers come to the driver."""
+    import numpy as np
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        total = np.zeros(2 * states * classes)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total += np.frombuffer(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "n"])
+
+    out = np.zeros(2 * states * classes)
+    for r in emitted.where("part = -1").select("numbers").mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out.reshape(2, states, classes)
+
+
+def word_shares(model: Model, c, of, seen, frequent: int, in_class, class_kinds, expected, frequent_share, prior: float):
+    """(words + 1, states) emissions of a block's words and of the end: the class's, times the word's share of the class.
+
+    A word's share is its count's, q = (c + 0.5) / (sum of the class + 0.5 * (kinds + 1)), the unknown word being one of the
+    kinds; ``frequent_share`` are the sums of frequent words' q. A frequent word's share in a state is (expected emissions + ``prior`` * q) / (expected emissions of the class +
+    ``prior``); what the class's frequent words leave is shared by the others as their q are. Shares of a class sum to 1.
+    """
+    import numpy as np
+
+    classes = len(in_class)
+    q = (c + 0.5) / (in_class + 0.5 * (class_kinds + 1))[of]
+    whole = expected[0] + prior
+    others = (1 - (expected[1] + prior * frequent_share) / whole) / (1 - frequent_share)
+    often = c >= frequent
+    share = others.T[of] * q[:, None]
+    share[often] = (seen[often] + prior * q[often, None]) / whole.T[of[often]]
+    out = np.empty((len(c) + 1, model.emit.shape[0]))
+    out[:-1] = model.emit.T[of] * share
+    out[-1] = model.emit[:, classes]
+    return out
+
+
+def score(docs: DataFrame, states: int = 6, classes: int = 1024, rounds: int = 14, block_bytes: int = 8 << 20, frequent: int = 32, prior: float = 32.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``.
 
     Null and empty texts are the end token alone. An empty table gives an empty result; with no training document all
@@ -238,47 +435,77 @@ def score(docs: DataFrame, states: int = 6, classes: int = 1024, rounds: int = 1
     """
     import numpy as np
 
-    stored = blocks(docs, classes, block_bytes, id_col, text_col)
-    counts = word_counts(stored, classes)
-    in_class, kinds = np.zeros(classes + 1), np.zeros(classes + 1)
-    for r in counts.where("first and c > 0").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
-        in_class[r["class"]], kinds[r["class"]] = r["n"], r["v"]
-    trained = stored.select(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
-    in_class[classes], kinds[classes] = trained, 1 if trained else 0
-    total, vocabulary = float(in_class.sum()), float(kinds.sum())
-    model = train(stored, in_class, states, classes, rounds)
-    # log10 of what a class's counts, halves added, sum to; the end is alone in its class.
-    within = np.log10(in_class[:classes] + 0.5 * (kinds[:classes] + 1))
-    base_all, end_count = np.log10(total + 0.5 * (vocabulary + 1)), trained
+    stored = blocks(docs, block_bytes, id_col, text_col)
+    size = stored.agg(F.sum("n_words").alias("pairs"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("trained")).first()
+    parts, trained = max(1, -(-(size.pairs or 0) // PART_PAIRS)), size.trained or 0
+
+    def counts(batches) -> Iterator:
+        yield from dealt(batches, parts, lambda row: (np.frombuffer(row["hashes"], "<u4"), row["words"].split(b" "), np.frombuffer(row["counts"], "<u4")))
+
+    asked = stored.select("block", "hashes", "words", "counts").mapInArrow(counts, "part int, block long, words binary, numbers binary")
+    counted = summed_by_word(asked, "<u4", "<i8", 1, classes, frequent, "lm-counts")
+    kinds = np.zeros(2 * classes)
+    for r in counted.where("block is null").select(F.posexplode("kinds").alias("class", "v")).groupBy("class").agg(F.sum("v").alias("v")).collect():
+        kinds[r["class"]] = r["v"]
+
+    def with_counts(batches) -> Iterator:
+        """Blocks with ``c``, the training count of each word, and the block's own training tokens of each class, of all words
+        and of frequent ones."""
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {k: batch.column(k)[i].as_py() for k in ("hashes", "counts", "found")}
+                hashes, of = _classes(row, classes)
+                c = _found(row, hashes, parts, "<i8", 1)[:, 0]
+                n = np.frombuffer(row["counts"], "<u4")
+                own = np.concatenate([np.bincount(of, n, classes), np.bincount(of, n * (c >= frequent), classes)])
+                kept = [batch.column(k).slice(i, 1) for k in ("block", "doc_ids", "held", "lengths", "ids", "hashes", "words")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([c.tobytes()], pa.binary()), pa.array([own], pa.list_(pa.float64()))], names=KNOWN_NAMES)
+
+    known = materialize(answered(stored.drop("n_words"), counted).mapInArrow(with_counts, KNOWN), "lm-known")
+    tokens = np.zeros(2 * classes)
+    for r in known.select(F.posexplode("in_class").alias("class", "n")).groupBy("class").agg(F.sum("n").alias("n")).collect():
+        tokens[r["class"]] = r["n"]
+    (in_class, in_frequent), (kinds, frequent_kinds) = np.split(tokens, 2), np.split(kinds, 2)
+    total, vocabulary = float(in_class.sum()) + trained, float(kinds.sum()) + (1 if trained else 0)
+    model = train(known, np.append(in_class, trained), states, classes, rounds)
+    emitted = word_posteriors(known, model, states, classes, frequent, parts)
+    expected = _class_sums(emitted, states, classes)
+    seen = summed_by_word(emitted.where("part >= 0"), "<f4", "<f4", states, classes, frequent, "lm-emissions")
+    frequent_share = (in_frequent + 0.5 * frequent_kinds) / (in_class + 0.5 * (kinds + 1))
+    base_all = np.log10(total + 0.5 * (vocabulary + 1))
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("doc_ids", "held", "lengths", "ids", "classes")}
-                found = batch.column("found")[i].values
-                c = np.zeros(len(row["classes"]) // 2)
-                if found is not None and len(found):
-                    c[found.field("pos").to_numpy()] = found.field("c").to_numpy()
-                flat, lengths = _sequences(row, classes)
-                of, ids, n = np.frombuffer(row["classes"], "<u2"), np.frombuffer(row["ids"], "<i4"), lengths - 1
-                logs = np.log10(c + 0.5)
-
-                def by_doc(values, n=n, ids=ids):
+                row = {c: batch.column(c)[i].as_py() for c in ("doc_ids", "held", "lengths", "ids", "hashes", "c", "found")}
+                hashes, of = _classes(row, classes)
+                c, ids = np.frombuffer(row["c"], "<i8"), np.frombuffer(row["ids"], "<i4")
+                often = np.flatnonzero(c >= frequent)
+                spoken = np.zeros((len(c), states))
+                spoken[often] = _found(row, hashes[often], parts, "<f4", states)
+                emit = word_shares(model, c, of, spoken, frequent, in_class, kinds, expected, frequent_share, prior)
+                flat, lengths = _sequences(row["lengths"], ids, len(c))
+
+                def by_doc(values, n=lengths - 1, ids=ids):
                     sums = np.concatenate([[0.0], np.cumsum(values[ids])])
                     ends = np.cumsum(n)
                     return sums[ends] - sums[ends - n]
 
-                words = by_doc(logs)
-                known = by_doc((c > 0).astype(float)).astype(np.int64) + (1 if end_count else 0)
-                base = words + np.log10(end_count + 0.5) - lengths * base_all
-                whole = words - by_doc(within[of]) + forward(model, flat, lengths)
+                known_words = by_doc((c > 0).astype(float)).astype(np.int64) + (1 if trained else 0)
+                base = by_doc(np.log10(c + 0.5)) + np.log10(trained + 0.5) - lengths * base_all
+                whole = forward(model.start, model.move, emit, flat, lengths)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths.astype(np.int64)), pa.array(known), pa.array(np.full(len(n), int(total), np.int64)), pa.array(base), pa.array(whole)],
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths.astype(np.int64)), pa.array(known_words), pa.array(np.full(len(lengths), int(total), np.int64)), pa.array(base), pa.array(whole)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    by_block = counts.groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("found"))  # as many as a block's different words
-    joined = stored.select("block", "doc_ids", "held", "lengths", "ids", "classes").join(by_block, "block", "left")
+    joined = answered(known.select("block", "doc_ids", "held", "lengths", "ids", "hashes", "c"), seen)
     return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+KNOWN = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, hashes binary, words binary, c binary, in_class array<double>"
+KNOWN_NAMES = [c.split()[0] for c in KNOWN.split(", ")]
