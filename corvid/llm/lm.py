@@ -202,21 +202,22 @@ class Model:
 
 
 def posteriors(model: Model, rows, relative=None):
-    """For each group of whole symbol sequences: (sequence numbers, symbols, their places, posteriors, starts, transitions).
+    """For groups of whole symbol sequences: (symbols, their posteriors by state, expected starts, expected transitions).
 
     Sequences are taken longest first. Of long ones more tokens make a group, so that a step, which is one product over
-    all sequences still going on, is wide. Each position's posteriors are divided by their own sum, hence columns of both
-    recursions may have any scale; every 16th step brings them back to 1. ``relative``: (states, symbols) emissions.
+    all sequences still going on, is wide. The backward recursion runs over the reversed sequences in the same steps as
+    the forward one. Each position's posteriors are divided by their own sum, hence rows of both recursions may have any
+    scale; every 16th step brings them back to 1. ``relative``: (symbols, states) emissions.
     """
     import numpy as np
 
     s = len(model.start)
-    relative = model.emit / model.emit.mean(0) if relative is None else relative
-    move, back_move = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.move)
+    relative = np.ascontiguousarray((model.emit / model.emit.mean(0)).T) if relative is None else relative
+    moves, one = np.stack([model.move, model.move.T]), np.ones(s)
     rows = sorted(rows, key=len, reverse=True)
     size = np.array([len(r) for r in rows], np.int64)
-    weight = np.where(size > 1024, size, 4 * size)
-    of_group = (np.cumsum(weight) - weight) // (1 << 18)
+    weight = np.where(size > 1024, size, 8 * size)
+    of_group = (np.cumsum(weight) - weight) // (1 << 19)
     for g in np.unique(of_group):
         lo, hi = np.searchsorted(of_group, [g, g + 1])
         part, n_part = size[lo:hi], hi - lo
@@ -225,42 +226,41 @@ def posteriors(model: Model, rows, relative=None):
             continue
         at = np.cumsum(alive) - alive
         step = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
-        seen = np.empty(part.sum(), np.int64)
-        seen[at[step] + np.repeat(np.arange(n_part), part)] = np.concatenate(rows[lo:hi])
-        fits = relative[:, seen]
-        ahead, back = np.empty_like(fits), np.ones_like(fits)
+        own, symbols = np.repeat(np.arange(n_part), part), np.concatenate(rows[lo:hi])
+        place, turned = at[step] + own, at[np.repeat(part, part) - 1 - step] + own
+        seen, opposite = np.empty((2, len(step)), symbols.dtype), np.empty(len(step), np.int64)
+        seen[0, place], seen[1, turned], opposite[place] = symbols, symbols, turned
+        fits = np.take(relative, seen, axis=0)
+        both, scale = np.empty_like(fits), np.ones(len(step))
+        n = alive[0]
+        both[0, :n], both[1, :n] = model.start * fits[0, :n], fits[1, :n]
         places = list(zip(at.tolist(), alive.tolist(), strict=True))
-        scale = np.ones(len(seen))
-        ahead[:, : alive[0]] = model.start[:, None] * fits[:, : alive[0]]
         before = 0
         for t, (o, n) in enumerate(places[1:], 1):
-            now = ahead[:, o : o + n]
-            np.matmul(move, ahead[:, before : before + n], out=now)
-            now *= fits[:, o : o + n]
+            now = both[:, o : o + n]
+            np.matmul(both[:, before : before + n], moves, out=now)
+            np.multiply(now, fits[:, o : o + n], out=now)
             if t % 16 == 0:
-                total = now.sum(0)
-                scale[o : o + n] = total
-                now /= total
+                total = now @ one
+                scale[o : o + n] = total[0]
+                now /= total[:, :, None]
             before = o
-        for t in range(len(places) - 1, 0, -1):
-            o, n = places[t]
-            before = places[t - 1][0]
-            now = back[:, before : before + n]
-            fed = fits[:, o : o + n]
-            fed *= back[:, o : o + n]
-            np.matmul(back_move, fed, out=now)
-            if t % 16 == 0:
-                now /= now.sum(0)
-        # fits now holds fits * back but for the first step. Their product with what came before sums to sum(ahead * back) * scale.
-        post = np.multiply(ahead, back, out=back)
-        total = post.sum(0)
-        post /= total
-        total *= scale
-        fits /= total
+        # after: what follows a position and its own emission. Arrays that are done with are written over.
+        ahead, after = both[0], np.take(both[1], opposite, axis=0, out=fits[1])
+        post = np.multiply(ahead, after, out=both[1])
+        post /= fits[0]
+        total = post @ one
+        post /= total[:, None]
+        after /= (total * scale)[:, None]
         moved = np.zeros((s, s))
-        for (before, _), (o, n) in zip(places, places[1:]):  # noqa: B905
-            moved += ahead[:, before : before + n] @ fits[:, o : o + n].T
-        yield seen, post, post[:, : alive[0]].sum(1), model.move * moved
+        begin = np.flatnonzero(np.diff(alive, prepend=-1)).tolist()  # steps that are less wide than the one before
+        for t, end in zip(begin, [*begin[1:], len(alive)], strict=True):
+            (o, n), last = places[t], places[end - 1][0]
+            if t:
+                before = places[t - 1][0]
+                moved += ahead[before : before + n].T @ after[o : o + n]
+            moved += ahead[o:last].T @ after[o + n : last + n]
+        yield seen[0], post, post[: alive[0]].sum(0), model.move * moved
 
 
 def expected_counts(model: Model, rows):
@@ -273,7 +273,7 @@ def expected_counts(model: Model, rows):
         start += begun
         moved += went
         for i in range(s):
-            emit[i] += np.bincount(seen, post[i], k)
+            emit[i] += np.bincount(seen, post[:, i], k)
     return np.concatenate([start, moved.ravel(), emit.ravel()])
 
 
@@ -340,10 +340,8 @@ def train(stored: DataFrame, class_counts, states: int, classes: int, rounds: in
             import pyarrow as pa
 
             total = 0
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    row = batch.slice(i, 1).to_pylist()[0]
-                    total = total + expected_counts(model, _trained(row, classes, _classes(row, classes)[1]))
+            for batch in batches:  # its blocks together, so that steps of long documents are wider
+                total = total + expected_counts(model, [x for row in batch.to_pylist() for x in _trained(row, classes, _classes(row, classes)[1])])
             if not np.isscalar(total):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "n"])
 
@@ -368,11 +366,11 @@ def word_posteriors(known: DataFrame, model: Model, states: int, classes: int, f
         def numbers(row):
             hashes, of = _classes(row, classes)
             end = len(hashes)
-            by_word = (model.emit / model.emit.mean(0))[:, np.append(of, classes)]
+            by_word = (model.emit / model.emit.mean(0)).T[np.append(of, classes)]
             seen = np.zeros((states, end + 1))
             for symbols, post, _, _ in posteriors(model, _trained(row, end), by_word):
                 for i in range(states):
-                    seen[i] += np.bincount(symbols, post[i], end + 1)
+                    seen[i] += np.bincount(symbols, post[:, i], end + 1)
             at = np.flatnonzero(np.frombuffer(row["c"], "<i8") >= frequent)
             for i in range(states):
                 sums[0, i] += np.bincount(of, seen[i, :end], classes)
