@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, hashes binary, words binary, counts binary, n_words long"
-ANSWER = "part int, block long, sums binary, kinds array<long>"
+BLOCK = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, hashes binary, words binary, counts binary, n_words long, trained binary"
+KNOWN = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, classes binary, c binary, places binary"
+ANSWER = "part int, block long, sums binary, totals array<double>"
 #: (block, word) pairs that a part has on average, at most; a task holds 4 bytes a pair.
 PART_PAIRS = 1 << 20
 
@@ -30,11 +31,12 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
-def blocks(docs: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def blocks(docs: DataFrame, classes: int, block_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents in blocks of about ``block_bytes`` of text (a longer text is a block of its own), as a written table.
 
     ``words`` are a block's different words with blanks between them, in the order that ``ids`` number them; ``hashes`` are
-    their CRC-32 numbers, ``counts`` how often each stands in the block's training documents.
+    their CRC-32 numbers, ``counts`` how often each stands in the block's training documents; ``trained`` has the class
+    numbers of those documents, each with the end, ``classes``, after it.
     """
 
     def run(batches) -> Iterator:
@@ -51,10 +53,12 @@ def blocks(docs: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col:
             lengths = np.fromiter(map(len, ids), np.int32, len(ids))
             words = list(vocabulary)
             hashes = np.fromiter(map(zlib.crc32, words), "<u4", len(words))
-            trained = np.bincount(flat[np.repeat(~np.array(held, bool), lengths)], minlength=len(words)).astype("<u4")
+            own = np.repeat(~np.array(held, bool), lengths)
+            trained = np.bincount(flat[own], minlength=len(words)).astype("<u4")
+            symbols = np.insert((hashes % np.uint32(classes)).astype("<u2")[flat[own]], np.cumsum(lengths[~np.array(held, bool)]), classes)
             return pa.RecordBatch.from_arrays(
                 [pa.array([base + n_blocks]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())),
-                 *(pa.array([x], pa.binary()) for x in (flat.astype("<i4").tobytes(), hashes.tobytes(), b" ".join(words), trained.tobytes())), pa.array([len(words)], pa.int64())],
+                 *(pa.array([x], pa.binary()) for x in (flat.astype("<i4").tobytes(), hashes.tobytes(), b" ".join(words), trained.tobytes())), pa.array([len(words)], pa.int64()), pa.array([symbols.tobytes()], pa.binary())],
                 names=[c.split()[0] for c in BLOCK.split(", ")],
             )
 
@@ -79,102 +83,135 @@ def blocks(docs: DataFrame, block_bytes: int, id_col: str = "doc_id", text_col:
 
 
 def _parts_of(hashes, parts: int):
-    """The part of each word. The classes take the hash's low places, so it is mixed first."""
+    """The part of each word; the hash is mixed first, as classes are its remainders."""
     import numpy as np
 
     return ((hashes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
-def _by_part(hashes, parts: int):
+def _by_part(of):
     """(part, places) of a block's words, places ascending."""
     import numpy as np
 
-    of = _parts_of(hashes, parts)
     order = np.argsort(of, kind="stable")
     found, begin = np.unique(of[order], return_index=True)
     return list(zip(found.tolist(), np.split(order, begin[1:]), strict=True))
 
 
-def dealt(batches, parts: int, numbers) -> Iterator:
-    """Rows (part, block, words, numbers) of blocks; ``numbers`` gives a row of numbers for each word of a block, and which
-    words are dealt."""
-    import pyarrow as pa
-
+def _rows(batches, *names):
+    """The rows of record batches; binary columns as buffers, not copied."""
     for batch in batches:
+        columns = [batch.column(n) for n in names]
         for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-            hashes, words, values = numbers(row)
-            if not len(hashes):
-                continue
-            made = [(p, b" ".join([words[k] for k in at.tolist()]), values[at].tobytes()) for p, at in _by_part(hashes, parts)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([m[0] for m in made], pa.int32()), pa.array([row["block"]] * len(made), pa.int64()), pa.array([m[1] for m in made], pa.binary()), pa.array([m[2] for m in made], pa.binary())],
-                names=["part", "block", "words", "numbers"],
-            )
+            yield [c[i].as_buffer() if str(c.type) == "binary" else c[i].as_py() for c in columns]
 
 
-def summed_by_word(asked: DataFrame, read: str, write: str, width: int, classes: int, frequent: int, name: str) -> DataFrame:
-    """ANSWER rows for ``asked(part, block, words, numbers)``: the sums over all blocks of each word's ``width`` numbers, for each
-    block in its order; and a row a part without block whose ``kinds`` count, by class, words of a sum over zero, and then
-    those of ``frequent`` or more.
+def count_words(stored: DataFrame, parts: int, classes: int, frequent: int) -> DataFrame:
+    """ANSWER rows: for each block and part the training counts over all blocks of the block's words, in its order, and, for
+    words of ``frequent`` or more, a number within the part. And a row a part without block, whose totals are, by class,
+    different words and their counts, first of all trained words, then of frequent ones.
 
     A block has a word once, so however common it is, a part has at most a row a block of it.
     """
 
-    def run(batches) -> Iterator:
+    def deal(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def answers(part, held, sums, known):
-            of, n = np.fromiter((zlib.crc32(w) % classes for w in known), np.int64, len(known)), sums[: len(known), 0]
-            kinds = np.concatenate([np.bincount(of[n >= least], minlength=classes) for least in (1, frequent)])
-            for k in range(0, len(held), 64):
-                some = held[k : k + 64]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(some), pa.int32()), pa.array([b for b, _ in some], pa.int64()), pa.array([sums[ids].astype(write).tobytes() for _, ids in some], pa.binary()), pa.nulls(len(some), pa.list_(pa.int64()))],
-                    names=["part", "block", "sums", "kinds"],
-                )
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([kinds], pa.list_(pa.int64()))], names=["part", "block", "sums", "kinds"])
+        for block, hashes, words, counts in _rows(batches, "block", "hashes", "words", "counts"):
+            hashes, counts = np.frombuffer(hashes, "<u4"), np.frombuffer(counts, "<u4")
+            if not len(hashes):
+                continue
+            words = words.to_pybytes().split(b" ")
+            made = [(p, b" ".join([words[k] for k in at.tolist()]), counts[at].tobytes()) for p, at in _by_part(_parts_of(hashes, parts))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([m[0] for m in made], pa.int32()), pa.array([block] * len(made), pa.int64()), pa.array([m[1] for m in made], pa.binary()), pa.array([m[2] for m in made], pa.binary())],
+                names=["part", "block", "words", "counts"],
+            )
+
+    def add(batches) -> Iterator:
+        import numpy as np
+
+        def answers(part, held, known, sums):
+            n = sums[: len(known)]
+            of, often = np.fromiter((zlib.crc32(w) % classes for w in known), np.int64, len(known)), n >= frequent
+            number = np.where(often, np.cumsum(often) - 1, -1).astype("<i4")
+            yield from _answers(part, ((block, n[ids].tobytes() + number[ids].tobytes()) for block, ids in held))
+            totals = [np.bincount(of, x, classes) for x in (n > 0, n, often, n * often)]
+            yield from _answers(part, [(None, None)], np.concatenate(totals))
 
         now, held, known, sums = None, [], {}, None
-        for batch in batches:
-            for part, block, words, numbers in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "words", "numbers")), strict=True):
-                if part != now:
-                    if held:
-                        yield from answers(now, held, sums, known)
-                    now, held, known, sums = part, [], {}, np.zeros((1 << 12, width), np.int64 if write[1] == "i" else np.float64)
-                number = known.setdefault
-                words = words.split(b" ")
-                ids = np.fromiter((number(w, len(known)) for w in words), np.int32, len(words))
-                while len(known) > len(sums):
-                    sums = np.concatenate([sums, np.zeros_like(sums)])
-                sums[ids] += np.frombuffer(numbers, read).reshape(-1, width)
-                held.append((block, ids))
+        for part, block, words, counts in _rows(batches, "part", "block", "words", "counts"):
+            if part != now:
+                if held:
+                    yield from answers(now, held, known, sums)
+                now, held, known, sums = part, [], {}, np.zeros(1 << 12, "<i8")
+            number, words = known.setdefault, words.to_pybytes().split(b" ")
+            ids = np.fromiter((number(w, len(known)) for w in words), np.int32, len(words))
+            while len(known) > len(sums):
+                sums = np.concatenate([sums, np.zeros_like(sums)])
+            sums[ids] += np.frombuffer(counts, "<u4")
+            held.append((block, ids))
         if held:
-            yield from answers(now, held, sums, known)
+            yield from answers(now, held, known, sums)
 
-    return materialize(asked.repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, ANSWER), name)
+    asked = stored.select("block", "hashes", "words", "counts").mapInArrow(deal, "part int, block long, words binary, counts binary")
+    return materialize(asked.repartition("part").sortWithinPartitions("part", "block").mapInArrow(add, ANSWER), "lm-counts")
 
 
-def answered(stored: DataFrame, answers: DataFrame) -> DataFrame:
-    """``stored`` with ``found``, the answers (part, sums) to each block; as many as there are parts. Blocks are dealt by
-    number, a few to a task."""
-    n = max(1, -(-stored.count() // 4))
-    by_block = answers.where("block is not null").repartition(n, "block").groupBy("block").agg(F.collect_list(F.struct("part", "sums")).alias("found"))
-    return stored.repartition(n, "block").join(by_block, "block", "left")
+def _answers(part: int, rows, totals=None) -> Iterator:
+    """Record batches of ANSWER rows (block, sums), 64 at a time."""
+    import itertools
+
+    import pyarrow as pa
+
+    rows = iter(rows)
+    while some := list(itertools.islice(rows, 64)):
+        kinds = pa.array([totals] * len(some), pa.list_(pa.float64())) if totals is not None else pa.nulls(len(some), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array([b for b, _ in some], pa.int64()), pa.array([x for _, x in some], pa.binary()), kinds], names=["part", "block", "sums", "totals"])
 
 
-def _found(row, hashes, parts: int, kind: str, width: int):
-    """The answers of a block in the order of its words; zero for a word that was not asked."""
+def _totals(answers: DataFrame, size: int):
+    """The sums of all parts' totals; ``size`` numbers come to the driver."""
     import numpy as np
 
-    out = np.zeros((len(hashes), width), kind)
-    sums = {r["part"]: r["sums"] for r in row["found"] or ()}
-    for part, at in _by_part(hashes, parts) if sums else ():
-        out[at] = np.frombuffer(sums[part], kind).reshape(-1, width)
+    out = np.zeros(size)
+    for r in answers.where("block is null").select(F.posexplode("totals").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
     return out
 
 
+def answered(blocks_: DataFrame, answers: DataFrame) -> DataFrame:
+    """``blocks_`` with ``found``, the answers (part, sums) to each block; as many as there are parts. Blocks are dealt by
+    number, a few to a task."""
+    n = max(1, -(-blocks_.count() // 4))
+    by_block = answers.where("block is not null").repartition(n, "block").groupBy("block").agg(F.collect_list(F.struct("part", "sums")).alias("found"))
+    return blocks_.repartition(n, "block").join(by_block, "block", "left")
+
+
+def with_counts(stored: DataFrame, counted: DataFrame, parts: int, classes: int) -> DataFrame:
+    """KNOWN rows: blocks with the class and the count ``c`` of each word, and for each frequent word its part and number."""
+
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        names = [c.split()[0] for c in KNOWN.split(", ")]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hashes = np.frombuffer(batch.column("hashes")[i].as_buffer(), "<u4")
+                c, places, of = np.zeros(len(hashes), "<i8"), np.full((len(hashes), 2), -1, "<i4"), _parts_of(hashes, parts)
+                sums = {r["part"]: r["sums"] for r in batch.column("found")[i].as_py() or ()}
+                for part, at in _by_part(of) if sums else ():
+                    c[at], places[at, 1] = np.frombuffer(sums[part], "<i8", len(at)), np.frombuffer(sums[part], "<i4", len(at), 8 * len(at))
+                places[:, 0] = np.where(places[:, 1] < 0, -1, of)
+                kept = [batch.column(k).slice(i, 1) for k in names[:5]]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array([x.tobytes()], pa.binary()) for x in ((hashes % np.uint32(classes)).astype("<u2"), c, places))], names=names)
+
+    slim = stored.select("block", "doc_ids", "held", "lengths", "ids", "hashes")
+    return materialize(answered(slim, counted).mapInArrow(run, KNOWN), "lm-known")
+
+
 class Model:
     """Start, transition and emission probabilities; ``classes`` is the number of word classes, one more is the end."""
 
@@ -306,21 +343,12 @@ def _sequences(lengths, ids, end: int):
     return np.insert(ids, np.cumsum(lengths), end), lengths + 1
 
 
-def _trained(row, end: int, of=None) -> list:
-    """Whole symbol sequences of a block's training documents; ``of`` maps words to symbols."""
+def _split(symbols, lengths, held) -> list:
+    """Sequences of training documents, from symbols of them alone."""
     import numpy as np
 
-    ids = np.frombuffer(row["ids"], "<i4")
-    flat, lengths = _sequences(row["lengths"], ids if of is None else of[ids] if len(ids) else ids, end)
-    return [x for x, held in zip(np.split(flat, np.cumsum(lengths)[:-1]), row["held"], strict=True) if not held]
-
-
-def _classes(row, classes: int):
-    """(hashes, class of each word) of a block."""
-    import numpy as np
-
-    hashes = np.frombuffer(row["hashes"], "<u4")
-    return hashes, (hashes % np.uint32(classes)).astype(np.int32)
+    sizes = np.array(lengths, np.int64)[~np.array(held, bool)] + 1
+    return np.split(symbols, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 def train(stored: DataFrame, class_counts, states: int, classes: int, rounds: int) -> Model:
@@ -331,7 +359,7 @@ def train(stored: DataFrame, class_counts, states: int, classes: int, rounds: in
     """
     import numpy as np
 
-    needed = stored.select("block", "held", "lengths", "ids", "hashes")
+    needed = stored.select("held", "lengths", "trained")
     share = (class_counts + 0.5) / (class_counts + 0.5).sum()
     model = Model.initial(class_counts, states)
     for _ in range(rounds):
@@ -341,7 +369,7 @@ def train(stored: DataFrame, class_counts, states: int, classes: int, rounds: in
 
             total = 0
             for batch in batches:  # its blocks together, so that steps of long documents are wider
-                total = total + expected_counts(model, [x for row in batch.to_pylist() for x in _trained(row, classes, _classes(row, classes)[1])])
+                total = total + expected_counts(model, [x for held, lengths, symbols in _rows([batch], "held", "lengths", "trained") for x in _split(np.frombuffer(symbols, "<u2"), lengths, held)])
             if not np.isscalar(total):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "n"])
 
@@ -353,57 +381,66 @@ def train(stored: DataFrame, class_counts, states: int, classes: int, rounds: in
     return model
 
 
-def word_posteriors(known: DataFrame, model: Model, states: int, classes: int, frequent: int, parts: int) -> DataFrame:
-    """Dealt rows of words that occur ``frequent`` times or more: how often each state is expected to emit them. One row a
-    task has part -1 and these sums by state and class: of all words, then of the frequent ones."""
+#: Sums of the tasks of ``word_posteriors`` are added in so many parts.
+TOTAL_PARTS = 64
 
-    def run(batches) -> Iterator:
+
+def word_posteriors(known: DataFrame, model: Model, states: int, classes: int) -> DataFrame:
+    """ANSWER rows: for each block and part how often each state is expected to emit the block's frequent words of that part,
+    over all training documents. Rows without block have the sums by state and class of all words, then of frequent ones."""
+
+    def deal(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        sums = np.zeros((2, states, classes))
-
-        def numbers(row):
-            hashes, of = _classes(row, classes)
-            end = len(hashes)
-            by_word = (model.emit / model.emit.mean(0)).T[np.append(of, classes)]
-            seen = np.zeros((states, end + 1))
-            for symbols, post, _, _ in posteriors(model, _trained(row, end), by_word):
+        names, relative, totals = ["part", "block", "numbers", "values"], (model.emit / model.emit.mean(0)).T, np.zeros((2, states, classes))
+        for block, held, lengths, ids, of, places in _rows(batches, "block", "held", "lengths", "ids", "classes", "places"):
+            of, ids, places = np.frombuffer(of, "<u2"), np.frombuffer(ids, "<i4"), np.frombuffer(places, "<i4").reshape(-1, 2)
+            end, seen = len(of), np.zeros((states, len(of) + 1))
+            flat, sizes = _sequences(lengths, ids, end)
+            rows = [x for x, out in zip(np.split(flat, np.cumsum(sizes)[:-1]), held, strict=True) if not out]
+            for symbols, post, _, _ in posteriors(model, rows, relative[np.append(of, classes)]):
                 for i in range(states):
                     seen[i] += np.bincount(symbols, post[:, i], end + 1)
-            at = np.flatnonzero(np.frombuffer(row["c"], "<i8") >= frequent)
+            often = np.flatnonzero(places[:, 1] >= 0)
             for i in range(states):
-                sums[0, i] += np.bincount(of, seen[i, :end], classes)
-                sums[1, i] += np.bincount(of[at], seen[i, at], classes)
-            words = row["words"].split(b" ")
-            return hashes[at], [words[k] for k in at.tolist()], np.ascontiguousarray(seen[:, at].T).astype("<f4")
-
-        yield from dealt(batches, parts, numbers)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=["part", "block", "words", "numbers"])
-
-    return materialize(known.select("block", "held", "lengths", "ids", "hashes", "words", "c").mapInArrow(run, "part int, block long, words binary, numbers binary"), "lm-posteriors")
-
-
-def _class_sums(emitted: DataFrame, states: int, classes: int):
-    """The sums of part -1 over all tasks; 2 * states * classes numbers come to the driver."""
-    import numpy as np
+                totals[0, i] += np.bincount(of, seen[i, :end], classes)
+                totals[1, i] += np.bincount(of[often], seen[i, often], classes)
+            made = [(p, places[often[at], 1].tobytes(), np.ascontiguousarray(seen[:, often[at]].T).astype("<f4").tobytes()) for p, at in _by_part(places[often, 0])] if len(often) else []
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([block] * len(made), pa.int64()), pa.array([m[1] for m in made], pa.binary()), pa.array([m[2] for m in made], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - TaskContext.get().partitionId() % TOTAL_PARTS], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([totals.tobytes()], pa.binary())], names=names)
 
-    def run(batches) -> Iterator:
-        import pyarrow as pa
+    def add(batches) -> Iterator:
+        import numpy as np
 
-        total = np.zeros(2 * states * classes)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.frombuffer(x)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "n"])
+        def answers(part, held, sums):
+            if part < 0:
+                return _answers(part, [(None, None)], sums)
+            return _answers(part, ((block, sums[ids].astype("<f4").tobytes()) for block, ids in held))
+
+        now, held, sums = None, [], None
+        for part, block, numbers, values in _rows(batches, "part", "block", "numbers", "values"):
+            if part != now:
+                if now is not None:
+                    yield from answers(now, held, sums)
+                now, held, sums = part, [], np.zeros(2 * states * classes) if part < 0 else np.zeros((1 << 10, states))
+            if part < 0:
+                sums += np.frombuffer(values)
+                continue
+            ids = np.frombuffer(numbers, "<i4").copy()
+            while ids.max() >= len(sums):
+                sums = np.concatenate([sums, np.zeros_like(sums)])
+            sums[ids] += np.frombuffer(values, "<f4").reshape(-1, states)
+            held.append((block, ids))
+        if now is not None:
+            yield from answers(now, held, sums)
 
-    out = np.zeros(2 * states * classes)
-    for r in emitted.where("part = -1").select("numbers").mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        out[r["at"]] = r["n"]
-    return out.reshape(2, states, classes)
+    asked = known.select("block", "held", "lengths", "ids", "classes", "places").mapInArrow(deal, "part int, block long, numbers binary, values binary")
+    return materialize(asked.repartition("part").sortWithinPartitions("part", "block").mapInArrow(add, ANSWER), "lm-emissions")
 
 
-def word_shares(model: Model, c, of, seen, frequent: int, in_class, class_kinds, expected, frequent_share, prior: float):
+def word_shares(model: Model, c, of, seen, often, in_class, class_kinds, expected, frequent_share, prior: float):
     """(words + 1, states) emissions of a block's words and of the end: the class's, times the word's share of the class.
 
     A word's share is its count's, q = (c + 0.5) / (sum of the class + 0.5 * (kinds + 1)), the unknown word being one of the
@@ -416,9 +453,8 @@ def word_shares(model: Model, c, of, seen, frequent: int, in_class, class_kinds,
     q = (c + 0.5) / (in_class + 0.5 * (class_kinds + 1))[of]
     whole = expected[0] + prior
     others = (1 - (expected[1] + prior * frequent_share) / whole) / (1 - frequent_share)
-    often = c >= frequent
     share = others.T[of] * q[:, None]
-    share[often] = (seen[often] + prior * q[often, None]) / whole.T[of[often]]
+    share[often] = (seen + prior * q[often, None]) / whole.T[of[often]]
     out = np.empty((len(c) + 1, model.emit.shape[0]))
     out[:-1] = model.emit.T[of] * share
     out[-1] = model.emit[:, classes]
@@ -433,44 +469,16 @@ def score(docs: DataFrame, states: int = 6, classes: int = 1024, rounds: int = 1
     """
     import numpy as np
 
-    stored = blocks(docs, block_bytes, id_col, text_col)
+    stored = blocks(docs, classes, block_bytes, id_col, text_col)
     size = stored.agg(F.sum("n_words").alias("pairs"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("trained")).first()
     parts, trained = max(1, -(-(size.pairs or 0) // PART_PAIRS)), size.trained or 0
-
-    def counts(batches) -> Iterator:
-        yield from dealt(batches, parts, lambda row: (np.frombuffer(row["hashes"], "<u4"), row["words"].split(b" "), np.frombuffer(row["counts"], "<u4")))
-
-    asked = stored.select("block", "hashes", "words", "counts").mapInArrow(counts, "part int, block long, words binary, numbers binary")
-    counted = summed_by_word(asked, "<u4", "<i8", 1, classes, frequent, "lm-counts")
-    kinds = np.zeros(2 * classes)
-    for r in counted.where("block is null").select(F.posexplode("kinds").alias("class", "v")).groupBy("class").agg(F.sum("v").alias("v")).collect():
-        kinds[r["class"]] = r["v"]
-
-    def with_counts(batches) -> Iterator:
-        """Blocks with ``c``, the training count of each word, and the block's own training tokens of each class, of all words
-        and of frequent ones."""
-        import pyarrow as pa
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {k: batch.column(k)[i].as_py() for k in ("hashes", "counts", "found")}
-                hashes, of = _classes(row, classes)
-                c = _found(row, hashes, parts, "<i8", 1)[:, 0]
-                n = np.frombuffer(row["counts"], "<u4")
-                own = np.concatenate([np.bincount(of, n, classes), np.bincount(of, n * (c >= frequent), classes)])
-                kept = [batch.column(k).slice(i, 1) for k in ("block", "doc_ids", "held", "lengths", "ids", "hashes", "words")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([c.tobytes()], pa.binary()), pa.array([own], pa.list_(pa.float64()))], names=KNOWN_NAMES)
-
-    known = materialize(answered(stored.drop("n_words"), counted).mapInArrow(with_counts, KNOWN), "lm-known")
-    tokens = np.zeros(2 * classes)
-    for r in known.select(F.posexplode("in_class").alias("class", "n")).groupBy("class").agg(F.sum("n").alias("n")).collect():
-        tokens[r["class"]] = r["n"]
-    (in_class, in_frequent), (kinds, frequent_kinds) = np.split(tokens, 2), np.split(kinds, 2)
+    counted = count_words(stored, parts, classes, frequent)
+    kinds, in_class, frequent_kinds, in_frequent = np.split(_totals(counted, 4 * classes), 4)
     total, vocabulary = float(in_class.sum()) + trained, float(kinds.sum()) + (1 if trained else 0)
-    model = train(known, np.append(in_class, trained), states, classes, rounds)
-    emitted = word_posteriors(known, model, states, classes, frequent, parts)
-    expected = _class_sums(emitted, states, classes)
-    seen = summed_by_word(emitted.where("part >= 0"), "<f4", "<f4", states, classes, frequent, "lm-emissions")
+    model = train(stored, np.append(in_class, trained), states, classes, rounds)
+    known = with_counts(stored, counted, parts, classes)
+    seen = word_posteriors(known, model, states, classes)
+    expected = _totals(seen, 2 * states * classes).reshape(2, states, classes)
     frequent_share = (in_frequent + 0.5 * frequent_kinds) / (in_class + 0.5 * (kinds + 1))
     base_all = np.log10(total + 0.5 * (vocabulary + 1))
 
@@ -478,15 +486,15 @@ def score(docs: DataFrame, states: int = 6, classes: int = 1024, rounds: int = 1
         import pyarrow as pa
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("doc_ids", "held", "lengths", "ids", "hashes", "c", "found")}
-                hashes, of = _classes(row, classes)
-                c, ids = np.frombuffer(row["c"], "<i8"), np.frombuffer(row["ids"], "<i4")
-                often = np.flatnonzero(c >= frequent)
-                spoken = np.zeros((len(c), states))
-                spoken[often] = _found(row, hashes[often], parts, "<f4", states)
-                emit = word_shares(model, c, of, spoken, frequent, in_class, kinds, expected, frequent_share, prior)
-                flat, lengths = _sequences(row["lengths"], ids, len(c))
+            for doc_ids, held, lengths, ids, of, c, places, found in _rows([batch], "doc_ids", "held", "lengths", "ids", "classes", "c", "places", "found"):
+                c, ids, of = np.frombuffer(c, "<i8"), np.frombuffer(ids, "<i4"), np.frombuffer(of, "<u2")
+                places = np.frombuffer(places, "<i4").reshape(-1, 2)
+                often = np.flatnonzero(places[:, 1] >= 0)
+                spoken, sums = np.zeros((len(often), states)), {r["part"]: r["sums"] for r in found or ()}
+                for part, at in _by_part(places[often, 0]) if len(often) else ():
+                    spoken[at] = np.frombuffer(sums[part], "<f4").reshape(-1, states)
+                emit = word_shares(model, c, of, spoken, often, in_class, kinds, expected, frequent_share, prior)
+                flat, lengths = _sequences(lengths, ids, len(c))
 
                 def by_doc(values, n=lengths - 1, ids=ids):
                     sums = np.concatenate([[0.0], np.cumsum(values[ids])])
@@ -497,13 +505,8 @@ def score(docs: DataFrame, states: int = 6, classes: int = 1024, rounds: int = 1
                 base = by_doc(np.log10(c + 0.5)) + np.log10(trained + 0.5) - lengths * base_all
                 whole = forward(model.start, model.move, emit, flat, lengths)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths.astype(np.int64)), pa.array(known_words), pa.array(np.full(len(lengths), int(total), np.int64)), pa.array(base), pa.array(whole)],
+                    [pa.array(doc_ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths.astype(np.int64)), pa.array(known_words), pa.array(np.full(len(lengths), int(total), np.int64)), pa.array(base), pa.array(whole)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    joined = answered(known.select("block", "doc_ids", "held", "lengths", "ids", "hashes", "c"), seen)
-    return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-KNOWN = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, hashes binary, words binary, c binary, in_class array<double>"
-KNOWN_NAMES = [c.split()[0] for c in KNOWN.split(", ")]
+    return answered(known, seen).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
