@@ -1,9 +1,14 @@
 """Byte-level BPE by monoid tree reduction over text halves.
 
-Cutting a text where a match of the split pattern must end on the left and begin on the right, whatever follows or
-precedes, keeps both sides' tokens. ``safe_cut`` names such places. ``encode_tree`` halves a text at any place, encodes the
-halves recursively, and joins them: a window around the seam grows to the nearest safe cut on either side, the window
-is encoded anew, and tokens outside it stand. Decoding concatenates byte strings up the same tree.
+``encode_tree`` halves a text at any place down to short leaves, encodes them, and joins neighbours by encoding a window
+around the seam anew; tokens outside the window stand. The window grows until that is certain, in one of two ways.
+
+Inside a long run of one kind of character, which the split pattern takes as one match on either side of the seam and
+across it, the window grows by tokens until its first and last token are what they were before. Byte-pair encodings are
+the sequences whose neighbouring pairs are all encodings of their own bytes, so then the whole match stands.
+
+Elsewhere it grows to the nearest ``safe_cut`` on either side: a place where a match of the pattern must end on the left
+and begin on the right, whatever follows or precedes. Decoding concatenates byte strings up the same tree.
 """
 
 from __future__ import annotations
@@ -90,8 +95,31 @@ def _right_cut(text: str, at: int, high: int, step: int = 64) -> int:
     return high
 
 
-def encode_tree(encode, text: str, leaf: int = 8192) -> list[tuple[int, int, list]]:
-    """Runs (start, end, ids) in order; their ids one after the other are the ids of the text. ``encode``: str to ids."""
+def _one_kind(text: str, begin: int, end: int) -> str | None:
+    """The kind of all characters of a range if they are of one, and certainly so: L, N, O, or S for white space."""
+    part = text[begin:end]
+    if part.isascii():
+        if part.isalpha():
+            return "L"
+        if part.isdigit():
+            return "N"
+    kinds = set(map(_kind, part))
+    if len(kinds) != 1:
+        return None
+    kind = kinds.pop()
+    if kind == "S":
+        return kind if _SPACES.issuperset(part) else None
+    return kind if not any(map(_unassigned, part)) else None
+
+
+#: Characters of the run that must lie outside a window of tokens: a contraction takes two letters of the run after its
+#: apostrophe, and the last white space of a run may go to what follows it.
+_MARGIN = 3
+
+
+def encode_tree(encode, text: str, leaf: int = 256) -> list[tuple[int, int, list]]:
+    """Runs (start, end, ids) in order; their ids one after the other are the ids of the text. ``encode``: str to ids, with
+    ``sizes``, the bytes of each id."""
 
     def reduce(low: int, high: int) -> list[tuple[int, int, list]]:
         if high - low <= leaf:
@@ -102,32 +130,70 @@ def encode_tree(encode, text: str, leaf: int = 8192) -> list[tuple[int, int, lis
     def join(left: list, right: list, seam: int, low: int, high: int) -> list:
         if safe_cut(text, seam):
             return left + right
-        begin, end = _left_cut(text, low, seam - 1), _right_cut(text, seam, high)
-        # Runs the window touches are cut at its ends; a run's tokens outside the window stand, as both ends are safe.
-        left, right = keep(left, low, begin), keep(right, end, high)
-        return left + [(begin, end, encode(text[begin:end]))] + right
-
-    def keep(runs: list, low: int, high: int) -> list:
-        out = []
-        for a, b, ids in runs:
-            if b <= low or a >= high:
-                continue
-            if a < low:
-                ids, a = strip(ids, a, low, True), low
-            if b > high:
-                ids, b = strip(ids, high, b, False), high
-            out.append((a, b, ids))
-        return out
+        window = by_tokens(left, right, seam, low, high)
+        if window is None:
+            begin, end = _left_cut(text, low, seam - 1), _right_cut(text, seam, high)
+            window = begin, end, encode(text[begin:end])
+        return before(left, window[0]) + [window] + after(right, window[1])
+
+    def by_tokens(left: list, right: list, seam: int, low: int, high: int):
+        """The window by tokens, or None where its run of one kind ends too early."""
+        n, done = 8, None
+        kind = _one_kind(text, max(low, seam - _MARGIN), min(high, seam + _MARGIN))
+        while kind:
+            begin, first = edge(left, seam, low, n, True)
+            end, last = edge(right, seam, high, n, False)
+            if begin - low < _MARGIN or high - end < _MARGIN or (begin, end) == done or _one_kind(text, begin - _MARGIN, end + _MARGIN) != kind:
+                return None
+            ids = encode(text[begin:end])
+            if ids[0] == first and ids[-1] == last:
+                return begin, end, ids
+            n, done = 2 * n, (begin, end)
+        return None
+
+    def edge(runs: list, seam: int, stop: int, n: int, back: bool):
+        """Where the ``n`` tokens nearest to the seam begin or end, or somewhat more so that no character is cut, and the
+        token there."""
+        size, at, token = 0, seam, None
+        reached = 0  # bytes of text between the seam and at
+        for _, _, ids in reversed(runs) if back else runs:
+            for token in ids[::-1].tolist() if back else ids.tolist():
+                size, n = size + int(encode.sizes[token]), n - 1
+                while reached < size and at != stop:
+                    at -= back
+                    reached += len(text[at].encode("utf-8"))
+                    at += not back
+                if n <= 0 and reached == size:
+                    return at, token
+        return stop, token
+
+    def before(runs: list, at: int) -> list:
+        """Runs up to a place, which lies between two tokens."""
+        k = len(runs)
+        while k and runs[k - 1][0] >= at:
+            k -= 1
+        kept = runs[:k]
+        if kept and kept[-1][1] > at:
+            a, b, ids = kept.pop()
+            kept.append((a, at, strip(ids, at, b, False)))
+        return kept
+
+    def after(runs: list, at: int) -> list:
+        k = 0
+        while k < len(runs) and runs[k][1] <= at:
+            k += 1
+        kept = runs[k:]
+        if kept and kept[0][0] < at:
+            a, b, ids = kept[0]
+            kept[0] = (at, b, strip(ids, a, at, True))
+        return kept
 
     def strip(ids, begin: int, end: int, front: bool):
         """``ids`` without the tokens of text[begin:end] at its front or back, found by their byte length."""
-        size, n = len(text[begin:end].encode("utf-8")), 0
-        order = range(len(ids)) if front else range(len(ids) - 1, -1, -1)
-        for i in order:
-            if n >= size:
-                return ids[i:] if front else ids[: i + 1]
-            n += encode.sizes[ids[i]]
-        return ids[:0]
+        size = len(text[begin:end].encode("utf-8"))
+        held = encode.sizes[ids] if front else encode.sizes[ids[::-1]]
+        k = int(held.cumsum().searchsorted(size)) + 1 if size else 0
+        return ids[k:] if front else ids[: len(ids) - k]
 
     return reduce(0, len(text))
 
@@ -147,7 +213,7 @@ class Encoder:
         return bpe.encode(self.encoding, part)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, leaf: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, leaf: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every whole text; counts and digests of the ids and of the decoded bytes.
 
     A null or empty text has no tokens and the digests of the empty string. Rows are independent: repeated rows give

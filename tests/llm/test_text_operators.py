@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,6 +10,8 @@ import xxhash
 
 from corvid.llm import codec, lines, packing, quality, queries, secrets, simhash, tokens
 
+SF = "/root/testdata/sf0.001"
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -288,7 +291,7 @@ def reference_encoding():
     return bpe.from_ranks(queries.vocabulary("byte_bpe_50k.tiktoken"), queries.split_pattern())
 
 
-@pytest.mark.parametrize("leaf", [7, 64, 8192])
+@pytest.mark.parametrize("leaf", [7, 64, 256, 8192])
 def test_tree_encoding_matches_tiktoken(odd, both, leaf):
     encoder = codec.Encoder(queries.vocabulary("byte_bpe_50k.tiktoken"), queries.split_pattern())
     for _, t in texts(odd) + texts(both.limit(60)):
@@ -298,6 +301,48 @@ def test_tree_encoding_matches_tiktoken(odd, both, leaf):
         assert [r[0] for r in runs[1:]] == [r[1] for r in runs[:-1]]
 
 
+ALPHABETS = ["a", "ab", "etaoinshrdlu", "aé日本語ж", "0123456789", " ", " \n", "\t\n\u3000 ", "'", "'!", "!?.,'-", "'sltred", "a'", "a ", " 'lvre", "1a", "😀é", "\u0378a", "A\x1c ", "٠1²", "ﬁa日!1 '\n"]
+
+
+@pytest.mark.parametrize("leaf", [4, 32, 256])
+def test_tree_encoding_of_random_runs(leaf):
+    """Long runs of one kind, of few kinds, and of the pattern's special cases, at every offset of the seams."""
+    encoder = codec.Encoder(queries.vocabulary("byte_bpe_50k.tiktoken"), queries.split_pattern())
+    rng = random.Random(leaf)
+    for alphabet in ALPHABETS:
+        for n in [*range(1, 40), *(rng.randrange(40, 900) for _ in range(30))]:
+            t = "".join(rng.choice(alphabet) for _ in range(n))
+            if n % 3 == 0:
+                t = "".join("".join(rng.choice(a) for _ in range(rng.randrange(1, 40))) for a in rng.choices(ALPHABETS, k=n // 10 + 1))
+            assert [int(i) for r in codec.encode_tree(encoder, t, leaf) for i in r[2]] == encoder.encoding.encode_ordinary(t), (alphabet, t)
+
+
+@pytest.mark.parametrize("alphabet", ["etaoinshrdlu", "0123456789", "!?.,-", "日本語文字"])
+def test_a_run_without_a_cut_is_encoded_about_once(alphabet):
+    encoder = codec.Encoder(queries.vocabulary("byte_bpe_50k.tiktoken"), queries.split_pattern())
+    rng, seen = random.Random(3), []
+
+    class Counting:
+        sizes = encoder.sizes
+
+        def __call__(self, part):
+            seen.append(len(part))
+            return encoder(part)
+
+    t = "".join(rng.choice(alphabet) for _ in range(1 << 16))
+    ids = [int(i) for r in codec.encode_tree(Counting(), t, 1024) for i in r[2]]
+    assert ids == encoder.encoding.encode_ordinary(t) and len(seen) > 64 and sum(seen) < 1.5 * len(t)
+
+
+def test_documents_of_the_table_join_and_match(spark):
+    """All documents of the smallest table; every one of over 256 characters is halved and joined."""
+    encoder = codec.Encoder(queries.vocabulary("byte_bpe_50k.tiktoken"), queries.split_pattern())
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        runs = codec.encode_tree(encoder, r.text or "")
+        assert [int(i) for x in runs for i in x[2]] == encoder.encoding.encode_ordinary(r.text or "")
+        assert (len(runs) > 1) == (len(r.text or "") > 256)
+
+
 def test_round_trip_digests(odd, empty):
     assert codec.round_trip(empty, queries.vocabulary("byte_bpe_50k.tiktoken"), queries.split_pattern()).count() == 0
     got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in codec.round_trip(odd, queries.vocabulary("byte_bpe_50k.tiktoken"), queries.split_pattern(), 256).collect())
