@@ -35,11 +35,11 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A WARC/1.1 record: a response with its payload, or a revisit that keeps the HTTP head and names the response."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:{f'uuid:{uuid.uuid4()}' if page_id is None else f'page:{page_id}'}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url:
         lines.append("WARC-Target-URI: " + "".join(c for c in url if c not in "\r\n"))
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
@@ -56,7 +56,7 @@ def parse(raw: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     head, _, payload = block.partition(b"\r\n\r\n")
     http = dict(line.split(": ", 1) for line in head.decode("ascii", "replace").split("\r\n")[1:])
-    number = lambda k: int(fields[k].strip("<>").rpartition(":")[2]) if k in fields else None
+    number = lambda k: int(fields[k].strip("<>").removeprefix("urn:page:")) if fields.get(k, "").startswith("<urn:page:") else None
     return {"type": fields["WARC-Type"], "page_id": number("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": number("WARC-Refers-To"), "size": int(http["Content-Length"]), "payload": payload}
 
 
@@ -142,7 +142,11 @@ def directory(read, length: int) -> dict[str, tuple[int, int]]:
 
 def with_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, digest, refers_to): of equal payloads of ``min_bytes`` or more the row of the smallest
-    page_id is the response; of rows that repeat that id, all are responses. Other rows with that payload revisit it."""
+    page_id is the response; of rows that repeat that id, all are responses. Other rows with that payload revisit it, also
+    those without page_id; rows of a payload that no row with page_id has are all responses.
+
+    Only payloads that occur more than once are looked up, in a written table, so that Spark can split a very common one."""
+
     def digests(batches) -> Iterator:
         import pyarrow as pa
 
@@ -151,17 +155,19 @@ def with_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(payloads, pa.binary()), pa.array([sha1_base32(p) for p in payloads], pa.string())], names=["page_id", "url", "payload", "digest"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(digests, "page_id long, url string, payload binary, digest string")
-    first = rows.where(F.length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    sizes = rows.select("page_id", "digest", F.length("payload").alias("size")).where(F.col("size") >= min_bytes)
+    first = materialize(sizes.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n"), "first")
+    revisits = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(revisits, F.col("first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0, zip64: bool = False, records_per_package: int = 1 << 16) -> DataFrame:
-    """Writes packages under ``folder``; (package, n_records). Rows without page_id are left out: nothing names them.
+    """Writes packages under ``folder``; (package, n_records). A row without page_id gets a record id of its own.
 
     A name is used once, so a repeated task writes another file and only the manifest's are read. The manifest is a
     written table.
     """
-    typed = with_types(pages.where("page_id is not null"), min_bytes)
+    typed = with_types(pages, min_bytes)
 
     def run(batches) -> Iterator:
         import pyarrow as pa
