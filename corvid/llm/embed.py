@@ -73,7 +73,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = 409
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different
     lengths don't link. Equal vectors link with each other. Of rows with one repeated id each counts as a vector of its
-    own; they share the id's sums. ``tile`` rows at most (in expectation) meet ``tile`` others in a task; of ``max_pivots``
+    own; all show the most links of them and their smallest component. ``tile`` rows at most (in expectation) meet ``tile`` others in a task; of ``max_pivots``
     pivots, taken by a hash of the vectors, only angles and counts come to the driver.
     """
     import numpy as np

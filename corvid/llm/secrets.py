@@ -126,7 +126,8 @@ def _said(found: Column) -> Column:
 
 
 def scan(docs: DataFrame, threshold: float = 1.0, sample_docs: int = 2000, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``found``: array of (start, kind, end, value). Ends are exclusive, places are code points.
+    """``docs`` with ``found``: array of (start, kind, end, value). Ends are exclusive, places are code points. A column of
+    ``docs`` named found gives way to it.
 
     A null or empty text has no spans; an empty table gives an empty result; rows don't affect each other but through
     the models.

@@ -47,7 +47,8 @@ class TokenRollup:
     Each batch writes its signed rows by document and their sums, then renames a commit file to a name not taken yet;
     readers see committed batches alone, so a failed, repeated or concurrent attempt at a batch counts once or not at
     all. A delete takes back what the log holds for the document; a revision does so and adds the new counts. All
-    totals are sums of deltas, so the order of batches doesn't matter to them.
+    totals are sums of deltas. A delete or revision takes back what is logged when it is applied, so batches that touch one
+    document must come one after the other, in their order; batches of different documents may come in any order or at once.
     """
 
     def __init__(self, spark: SparkSession, path: str, tokenizers: Mapping[str, Callable[[str], int]]):
@@ -80,11 +81,11 @@ class TokenRollup:
         """Commits ``changes(doc_id, text, source, lang, deleted)`` once; False if the batch was committed before.
 
         Of several changes to one document in a batch, all inserts stand only if the table repeats the row; callers who
-        need the last one send only that. Rows without doc_id are refused, as nothing could take them back.
+        need the last one send only that. Inserts without doc_id count, but nothing can take them back; deletes without one
+        do nothing.
         """
         if self.committed(batch_id):
             return False
-        changes = changes.where("doc_id is not null")
         fresh = counted(changes.where(~F.coalesce(F.col("deleted"), F.lit(False))), self.tokenizers)
         signed = fresh
         if self._attempts():
