@@ -72,7 +72,7 @@ def _(t):
     rec = F.to_json(F.struct(F.struct(F.array(F.struct("role", "text")).alias("bubbles")).alias("data")))
     rows = t("conversations").select(F.lit(0).alias("store"), F.concat(F.lit("chat:k"), c("conv_id").cast("string")).alias("key"), F.parse_json(rec).alias("record"))
     both = rows.unionByName(rows.withColumn("store", F.lit(1)))
-    return R.key_values(both).select("conv_id", "role", "text")
+    return R.key_values(both, K.shared_folder(t.spark, "walk")).select("conv_id", "role", "text")
 
 
 @query("s10_tree_export", "WITH m AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id) SELECT c.conv_id, turn AS node, CASE WHEN c.conv_id % 9 = 0 THEN 0 ELSE (last - turn)::INT END AS depth FROM conversations c JOIN m ON m.conv_id = c.conv_id")
@@ -108,7 +108,7 @@ def _(t):
     """Each conversation one record; its messages lie at different depths, with tool calls that are not entered, and authors without text."""
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["turn"].alias("a_n"), F.struct(m["role"].alias("role"), m["text"].alias("text")).alias("m"), F.struct(F.struct(F.lit("user").alias("role"), F.lit("no").alias("text")).alias("toolCall"), F.lit("user").alias("author")).alias("z")))
     rec = t("conversations").groupBy("conv_id").agg(turns.alias("bubbles")).select(F.lit(0).alias("store"), F.concat(F.lit("chat:k"), c("conv_id").cast("string")).alias("key"), F.parse_json(F.to_json(F.struct("bubbles"))).alias("record"))
-    return R.key_values(rec).select("conv_id", "role", "text", c("place.at")[2].cast("int").alias("at"))
+    return R.key_values(rec, K.shared_folder(t.spark, "walk")).select("conv_id", "role", "text", c("place.at")[2].cast("int").alias("at"))
 
 
 @query("s09_key_value_heads", "SELECT CASE doc_id % 3 WHEN 0 THEN 'c' || doc_id WHEN 1 THEN 'i' || doc_id ELSE 'd' || doc_id END AS conv_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS title, CASE WHEN doc_id % 2 = 0 THEN '/w/' || lang END AS folder FROM documents")

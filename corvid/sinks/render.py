@@ -69,9 +69,11 @@ def manifest_issues(rows: DataFrame, value: str = "value") -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see; a local one only where the session names none (tests)."""
+    """A new folder that all executors see. A local session may name none; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{os.path.join(tempfile.gettempdir(), f'corvid-{os.getuid()}')}"
     return f"{root.rstrip('/')}/corvid-{name}-{uuid.uuid4().hex}"
 
@@ -92,11 +94,18 @@ def publish(df: DataFrame, root: str, dry_run: bool = False, check=None) -> str
 
 
 def _point(spark: SparkSession, root: str, version: str) -> None:
+    """Writes the pointer beside the current one and renames it over that, so it is never half written."""
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.{uuid.uuid4().hex}")
+    conf = spark._jsc.hadoopConfiguration()
+    out = at.getFileSystem(conf).create(draft, False)
     out.write(bytearray(version.encode()))
     out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf).rename(draft, at, how)
 
 
 def rollback(spark: SparkSession, root: str, version: str) -> None:

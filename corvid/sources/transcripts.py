@@ -113,37 +113,50 @@ def key_value_heads(stores: DataFrame) -> DataFrame:
     return stores.select(_key_value_id().alias("conv_id"), _named("title", "name", "conversationTitle").alias("title"), _named("workspacePath", "workspace", "cwd", "projectPath", "folderPath").alias("folder"))
 
 
-def key_values(stores: DataFrame, depth: int = 6) -> DataFrame:
+def key_values(stores: DataFrame, folder: str, depth: int | None = None) -> DataFrame:
     """stores(store, key, record): every nested object with a role and a text that isn't blank is a message of the record's
     id, else of the key's last part; NO_MESSAGES are not entered; a (role, time, text) seen before is dropped.
 
-    Objects are looked for down to ``depth`` levels below the record. Members of an object come by name, as VARIANT keeps them.
+    Objects are looked for level by level until none is left, or down to ``depth`` levels. Each level is written to
+    ``folder``, so none is parsed twice. Members of an object come by name, as VARIANT keeps them.
     """
-    node = stores.select(_key_value_id().alias("conv_id"), "store", F.array(F.lit(0)).alias("at"), F.col("record").alias("v"))
-    levels, skipped = [node], ", ".join(f"'{k}'" for k in NO_MESSAGES)
-    for _ in range(depth):
-        levels[-1].createOrReplaceTempView("corvid_walk")
-        down = stores.sparkSession.sql(f"SELECT conv_id, store, concat(at, array(e.pos)) AS at, e.value AS v FROM corvid_walk, LATERAL variant_explode_outer(v) e WHERE e.value IS NOT NULL AND coalesce(e.key NOT IN ({skipped}), true) AND schema_of_variant(e.value) RLIKE '^(OBJECT|ARRAY)'")
-        levels.append(down)
+    spark, skipped = stores.sparkSession, ", ".join(f"'{k}'" for k in NO_MESSAGES)
+    level = stores.select(_key_value_id().alias("conv_id"), "store", F.array(F.lit(0)).alias("at"), F.col("record").alias("v"))
+    levels = [level]
+    while depth is None or len(levels) <= depth:
+        down = spark.sql(f"SELECT conv_id, store, concat(at, array(e.pos)) AS at, e.value AS v FROM {{level}}, LATERAL variant_explode_outer(v) e WHERE e.value IS NOT NULL AND coalesce(e.key NOT IN ({skipped}), true) AND schema_of_variant(e.value) RLIKE '^(OBJECT|ARRAY)'", level=level)
+        down.write.parquet(f"{folder}/level={len(levels)}")
+        level = spark.read.schema(down.schema).parquet(f"{folder}/level={len(levels)}")
+        if level.isEmpty():
+            break
+        levels.append(level)
     first_of = lambda kind, *names: F.coalesce(*(get("v", f"$.{n}", kind) for n in names))
     found = reduce(DataFrame.unionByName, levels).select("conv_id", "store", "at", T.role(first_of("string", "role", "sender", "author")).alias("role"), T.message_text(first_of("variant", "text", "content", "message", "parts")).alias("text"), first_of("string", "timestamp", "createdAt", "created_at").alias("ts"))
     first = found.where("role is not null").where(T.trim_all(F.col("text")) != "").groupBy("conv_id", "role", "ts", "text").agg(F.min(F.struct("store", "at")).alias("place"))
     return first.select("conv_id", "place", "role", "text", "ts")
 
 
-def tree_export(nodes: DataFrame, current: DataFrame, max_depth: int = 1000) -> DataFrame:
+def tree_export(nodes: DataFrame, current: DataFrame) -> DataFrame:
     """(conv_id, node, depth) from each current node up to the root: nodes(conv_id, node, parent), current(conv_id, node).
-    A parent seen before ends the walk; a conversation without a current node has all its nodes at depth 0."""
-    nodes.createOrReplaceTempView("corvid_nodes")
-    current.where("node is not null").createOrReplaceTempView("corvid_current")
-    walked = nodes.sparkSession.sql(f"""
-        WITH RECURSIVE up (conv_id, node, depth, seen) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT conv_id, node, 0, array(node) FROM corvid_current
-          UNION ALL
-          SELECT u.conv_id, n.parent, u.depth + 1, concat(u.seen, array(n.parent)) FROM up u JOIN corvid_nodes n ON n.conv_id = u.conv_id AND n.node = u.node
-          WHERE n.parent IS NOT NULL AND NOT array_contains(u.seen, n.parent))
-        SELECT conv_id, node, depth FROM up""")
-    rest = nodes.join(current.where("node is not null").select("conv_id"), "conv_id", "left_anti").select("conv_id", "node", F.lit(0).alias("depth"))
+    A parent seen before ends the walk, as does one that isn't among the nodes; a conversation without a current node has
+    all its nodes at depth 0. The ids of one conversation come together in a task, not their contents."""
+    conv, id_ = (nodes.schema[c].dataType.simpleString() for c in ("conv_id", "node"))
+
+    def walk(key, table):
+        import pyarrow as pa
+
+        parents = dict(zip(table.column("node").to_pylist(), table.column("parent").to_pylist(), strict=True))
+        path, node = {}, table.column("current")[0].as_py()
+        while node is not None and node not in path:
+            path[node] = len(path)
+            node = parents.get(node)
+        kinds = table.schema
+        return pa.table({"conv_id": pa.array([key[0].as_py()] * len(path), kinds.field("conv_id").type), "node": pa.array(list(path), kinds.field("node").type), "depth": pa.array(list(path.values()), pa.int32())})
+
+    at = current.where("node is not null").select("conv_id", F.col("node").alias("current"))
+    ids = nodes.select("conv_id", "node", "parent")
+    walked = ids.join(at, "conv_id").groupBy("conv_id").applyInArrow(walk, f"conv_id {conv}, node {id_}, depth int")
+    rest = ids.join(at, "conv_id", "left_anti").select("conv_id", "node", F.lit(0).alias("depth"))
     return walked.unionByName(rest)
 
 

@@ -15,21 +15,35 @@ class BadBatch(Exception):
 
 def merge(root: str, on_bad: str = "raise"):
     """A foreachBatch function: conformance gate, then the batch and a run row are written under names of its number, so
-    a repeated batch overwrites itself. Bad batches go to ``quarantine`` and raise, or are passed over."""
+    a repeated batch overwrites itself. Bad batches go to ``quarantine`` and raise, or are passed over.
+
+    A run row says running before anything is written, and complete only after the batch is in the log. A failed one has
+    the reason: documents that don't conform, or what a write ran into.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        def run(status: str, n_bad: int = 0, reason: str | None = None) -> None:
+            row = batch.sparkSession.createDataFrame([(number, status, n_bad, reason)], "batch long, status string, n_bad long, reason string")
+            row.coalesce(1).write.mode("overwrite").parquet(f"{root}/runs/batch={number}")
+
+        run("running")
         checked = access.conformance(batch).persist()
         try:
             bad = checked.where("issue is not null")
             n_bad = bad.count()
-            run = batch.sparkSession.createDataFrame([(number, "failed" if n_bad else "complete", n_bad)], "batch long, status string, n_bad long")
-            run.coalesce(1).write.mode("overwrite").parquet(f"{root}/runs/batch={number}")
             if n_bad:
                 bad.write.mode("overwrite").parquet(f"{root}/quarantine/batch={number}")
+                run("failed", n_bad, "documents do not conform")
                 if on_bad == "raise":
                     raise BadBatch(f"batch {number}: {n_bad} documents")
                 return
             checked.drop("issue").write.mode("overwrite").parquet(f"{root}/log/batch={number}")
+            run("complete")
+        except BadBatch:
+            raise
+        except Exception as e:
+            run("failed", 0, f"{type(e).__name__}: {e}"[:500])
+            raise
         finally:
             checked.unpersist()
 
