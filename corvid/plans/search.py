@@ -9,6 +9,7 @@ from corvid.operators import chunks as K
 from corvid.operators import conversations as C
 from corvid.operators import models as M
 from corvid.operators import search as Q
+from corvid.sinks import render as R
 from corvid.streaming import folds as D
 
 from .joins import _LINKS, links
@@ -30,8 +31,7 @@ hits AS (SELECT s.query_id, {key}, score FROM s JOIN nq ON nq.query_id = s.query
 def hits(t, texts, key, every, asked=None):
     """The Spark side of the same."""
     asked = asked if asked is not None else t("benchmark").select(c("item_id").alias("query_id"), "text")
-    size = texts.agg(F.count("*").alias("n"), F.avg(F.size(T.query_terms(c("text")))).alias("m")).first()
-    return Q.bm25(asked, Q.postings(texts, key, "text"), size.n, size.m or 1.0, key, every)
+    return Q.keyword(asked, texts, key, R.shared_folder(t.spark, "postings"), every)
 
 
 _DOCS, _ASKED = "SELECT doc_id, text FROM documents", "SELECT item_id AS query_id, text FROM benchmark"
@@ -102,10 +102,10 @@ def _(t):
     return Q.fuse(r, r.withColumn("doc", c("doc") + 1), "doc").select("query_id", "doc", "score")
 
 
-@query("c11_rerank", f"WITH {_RANKED} SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY doc % 97 DESC, doc)::INT AS place FROM r")
+@query("c11_rerank", f"WITH {_RANKED} SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY doc % 97 DESC, rank)::INT AS place FROM r")
 def _(t):
-    r = Q.ranked(Q.best_per(scored(t), "doc", "chunk"), 20, "doc").select("query_id", "doc")
-    return Q.ranked(r.withColumn("score", c("doc") % 97), 128, "doc").select("query_id", "doc", c("rank").alias("place"))
+    r = Q.ranked(Q.best_per(scored(t), "doc", "chunk"), 20, "doc").select("query_id", "doc", "rank")
+    return M.rerank(r, (c("doc") % 97).cast("double"), "doc").select("query_id", "doc", "place")
 
 
 @query("c10_expanded_search", f"WITH {_RANKED}, v AS (SELECT query_id % 25 AS query_id, doc, rank FROM r) SELECT query_id, doc, round(sum(1.0 / (60 + rank)), 6)::DOUBLE AS score FROM v GROUP BY 1, 2")
@@ -302,3 +302,90 @@ def _(t):
 @query("c19_grounded_answer_passages")
 def _(t):
     return grounded(t, passages)
+
+
+_MSG_VECTORS = _VECTORS.format(key="msg_id", words=_WORDS, table=f"({_MESSAGE})")
+_WHOLE_VECTORS = _VECTORS.format(key="item_id", words=_WORDS, table="benchmark")
+_ARCHIVE = f"""WITH {_bm25(_MESSAGE, _ASKED, 'msg_id', False)}, lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, msg_id)::INT AS rank FROM hits QUALIFY rank <= 80),
+mv AS MATERIALIZED {_MSG_VECTORS}, bv AS MATERIALIZED {_WHOLE_VECTORS},
+sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, msg_id)::INT AS rank FROM (SELECT bv.key AS query_id, mv.key AS msg_id, round(list_cosine_similarity(bv.v, mv.v), 6) AS score FROM bv, mv WHERE list_sum(bv.v) > 0 AND list_sum(mv.v) > 0) QUALIFY rank <= 80)"""
+_ARCHIVE_HITS = f"""{_ARCHIVE},
+ca AS (SELECT query_id, msg_id, msg_id // 1000 AS doc, l.rank AS lr, m.rank AS sr, l.score AS ls, m.score AS ss, coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + m.rank), 0) AS un FROM lex l FULL JOIN sem m USING (query_id, msg_id)),
+fa AS (SELECT DISTINCT query_id, doc, unnest(['p' || doc % 9, 'w' || doc % 40]) AS target FROM ca), ot AS (SELECT query_id, target, count(*) - 1 AS n FROM fa GROUP BY 1, 2),
+nf AS (SELECT query_id, doc, sum(n)::BIGINT AS n FROM fa JOIN ot USING (query_id, target) GROUP BY 1, 2),
+fi AS (SELECT *, least(0.1::DOUBLE, n * 0.025::DOUBLE) AS boost, round(un + least(0.1::DOUBLE, n * 0.025::DOUBLE), 12) AS fin FROM ca JOIN nf USING (query_id, doc)),
+mm AS (SELECT *, min(fin) OVER w AS f0, max(fin) OVER w AS f1, min(ls) OVER w AS l0, max(ls) OVER w AS l1, min(ss) OVER w AS s0, max(ss) OVER w AS s1 FROM fi WINDOW w AS (PARTITION BY query_id)),
+un AS (SELECT * FROM mm QUALIFY row_number() OVER (PARTITION BY query_id, doc ORDER BY fin DESC, lr NULLS LAST, sr NULLS LAST, msg_id) = 1),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fin DESC, lr NULLS LAST, sr NULLS LAST, doc, msg_id)::INT AS rank FROM un QUALIFY rank <= 20),
+tx AS (SELECT msg_id, text FROM ({_MESSAGE})), te AS (SELECT item_id AS query_id, {_WORDS}[1] AS term FROM benchmark),
+sn AS (SELECT top.*, text, greatest(position(term IN lower(text)) - 1 - 66, 0) AS p FROM top JOIN tx USING (msg_id) JOIN te USING (query_id))
+SELECT query_id, rank, doc, msg_id AS chunk, round(CASE WHEN f0 = f1 THEN 1 ELSE (fin - f0) / (f1 - f0) END, 6) AS score, round(CASE WHEN ls IS NULL THEN NULL WHEN l0 = l1 THEN 1 ELSE (ls - l0) / (l1 - l0) END, 6) AS lexical_score,
+round(CASE WHEN ss IS NULL THEN NULL WHEN s0 = s1 THEN 1 ELSE (ss - s0) / (s1 - s0) END, 6) AS semantic_score, lr AS lexical_rank, sr AS semantic_rank, round(un, 9) AS unboosted, n AS n_facts, boost AS graph_boost,
+CASE WHEN p > 0 THEN '…' ELSE '' END || substr(text, p + 1, 200) || CASE WHEN p + 200 < length(text) THEN '…' ELSE '' END AS snippet FROM sn"""
+
+
+def messages(t):
+    """Messages of users and assistants as chunks of their conversations."""
+    m = C.clean(t("conversations").withColumns({"ord": c("turn"), "ts": F.lit(None).cast("timestamp")}))
+    return m.select((c("conv_id") * 1000 + c("turn")).alias("msg_id"), "text")
+
+
+def archive_sides(t):
+    m = messages(t)
+    lexical = Q.ranked(hits(t, m, "msg_id", False), 80, "msg_id").withColumnRenamed("msg_id", "chunk")
+    semantic = Q.nearest(M.hashed_vectors(passages(t), "query_id"), M.hashed_vectors(m, "msg_id"), 80, "msg_id").withColumnRenamed("msg_id", "chunk")
+    return m, lexical, semantic
+
+
+@query("c06_archive_hybrid", _ARCHIVE_HITS)
+def _(t):
+    m, lexical, semantic = archive_sides(t)
+    chunks = m.select(c("msg_id").alias("chunk"), F.floor(c("msg_id") / 1000).alias("doc"), "text")
+    docs = chunks.select("doc").distinct()
+    target = F.explode(F.array(F.concat(F.lit("p"), (c("doc") % 9).cast("string")), F.concat(F.lit("w"), (c("doc") % 40).cast("string"))))
+    found = Q.archive(passages(t), lexical, semantic, chunks, docs.select("doc", target.alias("target")), width=200)
+    return found.withColumns({n: F.round(n, 6) for n in ("score", "lexical_score", "semantic_score")} | {"unboosted": F.round("unboosted", 9)})
+
+
+@query("c07_search_outcome", f"{_ARCHIVE} SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'hybrid' ELSE 'keyword' END AS requested, CASE WHEN item_id % 3 = 2 THEN 'keyword' WHEN item_id % 2 = 0 AND item_id IN (SELECT query_id FROM sem) THEN CASE item_id % 3 WHEN 0 THEN 'semantic' ELSE 'hybrid' END WHEN item_id % 3 = 0 THEN 'unavailable' ELSE 'keyword-degraded' END AS mode FROM benchmark")
+def _(t):
+    """Queries of odd ids have no vector, so nothing is found for them on the semantic side."""
+    _, lexical, semantic = archive_sides(t)
+    k = c("query_id") % 3
+    requested = F.when(k == 0, "semantic").when(k == 1, "hybrid").otherwise("keyword")
+    return Q.outcome(passages(t).select("query_id"), lexical, semantic.where("query_id % 2 = 0"), requested).drop("degraded")
+
+
+_VARIANTS = """SELECT item_id * 100 + n AS query_id, text FROM (WITH b AS (SELECT item_id, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS t FROM benchmark), p AS (SELECT item_id, t, unnest(range(len(t))) AS i FROM b),
+v AS (SELECT item_id, -1 AS i, array_to_string(t, ' ') AS text FROM b UNION ALL SELECT item_id, i, array_to_string(list_transform(t, lambda x, k: CASE WHEN k = i + 1 THEN 'der' ELSE x END), ' ') FROM p WHERE t[i + 1] = 'the')
+SELECT item_id, text, row_number() OVER (PARTITION BY item_id ORDER BY min(i)) AS n FROM v GROUP BY item_id, text QUALIFY n <= 8)"""
+
+
+@query("c10_expanded_keyword_search", f"WITH {_bm25(_DOCS, _VARIANTS, 'doc_id', False)}, r AS (SELECT query_id // 100 AS item, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hits QUALIFY rank <= 20), f AS (SELECT item AS query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM r GROUP BY 1, 2) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM f QUALIFY rank <= 20")
+def _(t):
+    alias = t.spark.createDataFrame([("the", "der")], "token string, replacement string")
+    variants = N.expand(passages(t).withColumn("text", F.lower("text")), alias, 8).select((c("query_id") * 100 + c("n")).alias("query_id"), "text")
+    found = Q.ranked(hits(t, t("documents").select("doc_id", "text"), "doc_id", False, variants), 20, "doc_id")
+    return Q.over_variants(found.select(F.floor(c("query_id") / 100).alias("query_id"), c("query_id").alias("variant"), "doc_id", "rank"), "doc_id", 20)
+
+
+@query("c20_synthesis_evidence", f"WITH {_bm25(_DOCS, _ASKED, 'doc_id', False)}, r AS (SELECT query_id, doc_id, text, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hits JOIN documents USING (doc_id) QUALIFY rank <= 20), u AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used FROM r), e AS (SELECT query_id, count(*) AS n, sha256(string_agg(doc_id || ':' || 'notes/' || doc_id || ':' || text[1:12000 - used], chr(10) ORDER BY rank)) AS evidence FROM u WHERE used < 12000 GROUP BY 1) SELECT item_id AS query_id, text AS question, coalesce(n, 0) AS n, evidence FROM benchmark LEFT JOIN e ON query_id = item_id")
+def _(t):
+    docs = t("documents").select("doc_id", "text")
+    found = Q.ranked(hits(t, docs, "doc_id", False), 20, "doc_id").join(docs, "doc_id")
+    rows = found.select("query_id", "rank", c("doc_id").alias("id"), F.concat(F.lit("notes/"), c("doc_id").cast("string")).alias("path"), "text")
+    read = F.from_json(F.substring("prompt", len(Q.PROMPT) + 1, 1 << 24), "question string, evidence array<struct<id:string,path:string,text:string>>")
+    said = F.array_join(F.transform(c("r.evidence"), lambda e: F.concat_ws(":", e["id"], e["path"], e["text"])), "\n")
+    out = Q.prompt(passages(t), rows).select("query_id", read.alias("r"))
+    return out.select("query_id", c("r.question").alias("question"), F.size("r.evidence").cast("long").alias("n"), F.when(F.size("r.evidence") > 0, F.sha2(said, 256)).alias("evidence"))
+
+
+@query("c04_chunk_offsets", r"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n, length(regexp_extract(text, '^[\s\p{Z}]*')) AS lead FROM documents WHERE NOT regexp_matches(text, '(^|
+)[ 	]*#')),
+w AS (SELECT doc_id, text, n, 0 AS ordinal, lead AS a, substr(text, lead + 1, 1201) AS win FROM d WHERE lead < n
+UNION ALL SELECT doc_id, text, n, ordinal + 1, b, substr(text, b + 1, 1201) FROM (SELECT *, e + length(regexp_extract(substr(text, e + 1, 5000), '^[\s\p{Z}]*')) AS b FROM (SELECT *, a + greatest(1, length(regexp_replace(substr(text, a + 1, CASE WHEN n - a <= 1200 THEN n - a WHEN length(regexp_extract(win, '^[\s\S]*[\n ]')) - 1 > 400 THEN length(regexp_extract(win, '^[\s\S]*[\n ]')) - 1 ELSE 1200 END), '[\s\p{Z}]+$', ''))) AS e FROM w)) WHERE b < n)
+SELECT doc_id::VARCHAR AS doc_id, ordinal, a::INT AS start_off, sha256(regexp_replace(substr(text, a + 1, CASE WHEN n - a <= 1200 THEN n - a WHEN length(regexp_extract(win, '^[\s\S]*[\n ]')) - 1 > 400 THEN length(regexp_extract(win, '^[\s\S]*[\n ]')) - 1 ELSE 1200 END), '[\s\p{Z}]+$', '')) AS text_hash FROM w""")
+def _(t):
+    """Cuts of documents without headings, window by window. With headings: ``c04_markdown_chunks``."""
+    docs = t("documents").where(~F.col("text").rlike(r"(^|\n)[ \t]*#")).select("doc_id", "text")
+    return K.markdown(docs).select("doc_id", "ordinal", "start_off", "text_hash")

@@ -89,11 +89,11 @@ def publish(df: DataFrame, root: str, dry_run: bool = False, check=None) -> str
     df.write.parquet(f"{root}/versions/{version}")
     if check is not None:
         check(spark.read.parquet(f"{root}/versions/{version}"))
-    _point(spark, root, version)
+    point(spark, root, version)
     return version
 
 
-def _point(spark: SparkSession, root: str, version: str) -> None:
+def point(spark: SparkSession, root: str, version: str) -> None:
     """Writes the pointer beside the current one and renames it over that, so it is never half written."""
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
@@ -111,7 +111,7 @@ def _point(spark: SparkSession, root: str, version: str) -> None:
 def rollback(spark: SparkSession, root: str, version: str) -> None:
     """Makes a version that was written before current again."""
     spark.read.parquet(f"{root}/versions/{version}")
-    _point(spark, root, version)
+    point(spark, root, version)
 
 
 def replace_model(chunks: DataFrame, vectors: DataFrame, root: str, key: str) -> str:
