@@ -1,4 +1,7 @@
-"""Projection of a snapshot of pages into tables of documents, links, chunks and revisions, in full or by what changed."""
+"""Projection of a snapshot of pages into tables of documents, links, chunks and revisions, in full or by what changed.
+
+A page has id, path, content, hash (sha-256 of the content), revision, meta and deleted, which may be null for false.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions import text as T
 from corvid.operators import chunks as K
+from corvid.operators import versions
 from corvid.sinks import render
 
 TABLES = ("documents", "links", "chunks", "revisions")
@@ -16,45 +20,26 @@ class StaleBase(Exception):
     """The projection to start from isn't the current one."""
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """(doc_id, target): each page's wiki links, once."""
-    return pages.select("doc_id", F.explode(T.wiki_links(F.col("content"))).alias("target")).distinct()
+def _live(pages: DataFrame) -> DataFrame:
+    return pages.where(~F.coalesce("deleted", F.lit(False)))
 
 
-def _checked(pages: DataFrame) -> DataFrame:
-    """Pages, whose contents must have their hashes; a page that hasn't fails the job."""
-    wrong = ~F.coalesce(F.col("deleted"), F.lit(False)) & ~F.sha2("content", 256).eqNullSafe(F.col("content_hash"))
-    return pages.withColumn("content", F.when(wrong, F.raise_error(F.concat(F.lit("content hash mismatch: "), "path"))).otherwise(F.col("content")))
+def _documents(pages: DataFrame) -> DataFrame:
+    return _live(pages).select("id", "path", "hash", "revision", "meta")
 
 
 def _revisions(pages: DataFrame, commit: str) -> DataFrame:
-    return pages.select("doc_id", "revision", "path", "content_hash", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.lit(commit).alias("commit"))
-
-
-def _derived(pages: DataFrame, commit: str) -> dict[str, DataFrame]:
-    live = _checked(pages).where(~F.coalesce("deleted", F.lit(False)))
-    return {
-        "documents": live.select("doc_id", "path", "content_hash", "revision", "stale"),
-        "links": links(live),
-        "chunks": K.markdown(live.select("doc_id", F.col("content").alias("text"))),
-        "revisions": _revisions(pages, commit),
-    }
+    return pages.select("id", "revision", "path", "hash", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.lit(commit).alias("commit"))
 
 
-def delta(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(doc_id, change) of two snapshots: created, restored, deleted, removed, moved, updated, metadata or equal.
-
-    Deleted pages say so, removed ones are missing. A page whose path changed is moved, whether or not its content did.
-    """
-    side = lambda df, p: df.select("doc_id", *[F.col(c).alias(f"{p}_{c}") for c in ("path", "content_hash", "revision", "stale")], F.coalesce("deleted", F.lit(False)).alias(f"{p}_deleted"), F.lit(True).alias(p))
-    both = side(before, "a").join(side(after, "b"), "doc_id", "full_outer")
-    same = lambda c: F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
-    change = (
-        F.when(F.col("b").isNull(), "removed").when(F.col("a").isNull(), F.when(F.col("b_deleted"), "deleted").otherwise("created"))
-        .when(F.col("b_deleted"), F.when(F.col("a_deleted"), "equal").otherwise("deleted")).when(F.col("a_deleted"), "restored")
-        .when(~same("path"), "moved").when(~same("content_hash"), "updated").when(~same("revision") | ~same("stale"), "metadata").otherwise("equal")
-    )
-    return both.select("doc_id", change.alias("change"))
+def _cut(pages: DataFrame) -> dict[str, DataFrame]:
+    """Links, each once, and chunks of pages that aren't deleted. A content that hasn't its hash fails the job."""
+    wrong = ~F.sha2("content", 256).eqNullSafe(F.col("hash"))
+    live = _live(pages).withColumn("content", F.when(wrong, F.raise_error(F.concat(F.lit("content hash mismatch: "), "path"))).otherwise(F.col("content")))
+    links = live.select("id", F.explode(T.wiki_links(F.col("content"))).alias("target")).distinct()
+    chunks = K.markdown(live.select(F.col("id").alias("doc_id"), F.col("content").alias("text")))
+    kind = pages.schema["id"].dataType
+    return {"links": links, "chunks": chunks.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnsRenamed({"doc_id": "id", "chunk_id": "chunk"})}
 
 
 def _write(spark: SparkSession, root: str, commit: str, tables: dict[str, DataFrame]) -> None:
@@ -65,6 +50,7 @@ def _write(spark: SparkSession, root: str, commit: str, tables: dict[str, DataFr
 
 
 def active(spark: SparkSession, root: str) -> str:
+    """The current commit."""
     return spark.read.text(f"{root}/CURRENT").first().value
 
 
@@ -73,44 +59,35 @@ def read(spark: SparkSession, root: str, name: str, commit: str | None = None) -
     return spark.read.parquet(f"{root}/versions/{commit or active(spark, root)}/{name}")
 
 
-def full(pages: DataFrame, root: str, commit: str) -> str:
-    """Projects pages(doc_id, path, content, content_hash, revision, stale, deleted) as ``commit``.
-
-    A content that hasn't its hash fails the job and leaves the current projection as it is.
-    """
-    _write(pages.sparkSession, root, commit, _derived(pages, commit))
-    return commit
+def full(pages: DataFrame, root: str, commit: str) -> None:
+    """Projects ``pages`` as ``commit``. If it fails, the current projection stays as it is."""
+    _write(pages.sparkSession, root, commit, {"documents": _documents(pages), **_cut(pages), "revisions": _revisions(pages, commit)})
 
 
 def incremental(before: DataFrame, after: DataFrame, root: str, base: str, commit: str, derived: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Projects ``after`` as ``commit`` from the projection ``base`` of ``before``. Only changed pages are cut into chunks anew;
-    others keep chunks, ids and links, also where only metadata changed. A revision already logged isn't logged again.
+    """Projects ``after`` as ``commit`` from the projection ``base`` of ``before``. Only changed pages are cut anew; others keep
+    chunks, their ids and links, also where only metadata changed. A revision that is logged isn't logged again.
 
-    Raises StaleBase if ``base`` isn't current. Returns ``derived`` tables(doc_id, ...), such as facts and claims, without
-    the rows of pages that changed or went.
+    Raises StaleBase if ``base`` isn't current. Returns ``derived`` tables(id, ...), such as facts and claims, without the
+    rows of pages that changed or went.
     """
     spark = after.sparkSession
     if active(spark, root) != base:
         raise StaleBase(base)
-    change = delta(before, after)
-    redone = change.where(~F.col("change").isin("equal", "metadata")).select("doc_id")
-    kept = lambda df, ids: df.join(ids.select(F.col("doc_id").cast(df.schema["doc_id"].dataType)), "doc_id", "left_anti")
-    made = _derived(after.join(redone, "doc_id", "left_semi"), commit)
-    tables = {name: kept(read(spark, root, name, base), redone).unionByName(made[name]) for name in ("links", "chunks")}
-    live = after.where(~F.coalesce("deleted", F.lit(False)))
-    tables["documents"] = live.select("doc_id", "path", "content_hash", "revision", "stale")
+    manifest = lambda pages: pages.select("id", "path", "hash", "revision", "meta", "deleted")
+    redone = versions.delta(manifest(before), manifest(after)).where("tag <> 'metadata_only'").select("id").distinct()
+    cut = _cut(after.join(redone, "id", "left_semi"))
+    tables = {name: read(spark, root, name, base).join(redone, "id", "left_anti").unionByName(cut[name]) for name in cut}
     logged = read(spark, root, "revisions", base)
-    tables["revisions"] = logged.unionByName(_revisions(after, commit).join(logged, ["doc_id", "revision"], "left_anti").select(logged.columns))
-    _write(spark, root, commit, tables)
-    return {name: kept(df, redone) for name, df in (derived or {}).items()}
+    new = _revisions(after, commit).join(logged.select("id", "revision"), ["id", "revision"], "left_anti")
+    _write(spark, root, commit, {"documents": _documents(after), **tables, "revisions": logged.unionByName(new)})
+    return {name: df.join(redone, "id", "left_anti") for name, df in (derived or {}).items()}
 
 
 def per_document(spark: SparkSession, root: str) -> DataFrame:
-    """(doc_id, path, revision, n_chunks, n_links, n_revisions) of the current projection."""
-    n = lambda name, to: read(spark, root, name).groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.count("*").alias(to))
-    out = read(spark, root, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "path", "revision")
-    for name, to in (("chunks", "n_chunks"), ("links", "n_links"), ("revisions", "n_revisions")):
-        out = out.join(n(name, to), "doc_id", "left").withColumn(to, F.coalesce(to, F.lit(0)))
+    """(id, path, revision, n_chunks, n_links, n_revisions) of the current projection."""
+    out = read(spark, root, "documents").select("id", "path", "revision")
+    for name in ("chunks", "links", "revisions"):
+        counted = read(spark, root, name).groupBy("id").agg(F.count("*").alias(f"n_{name}"))
+        out = out.join(counted, "id", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
     return out
-
-

@@ -8,6 +8,7 @@ from corvid.operators import analysis as N
 from corvid.operators import chunks as K
 from corvid.operators import conversations as C
 from corvid.operators import models as M
+from corvid.operators import projection as P
 from corvid.operators import search as Q
 from corvid.sinks import render as R
 from corvid.streaming import folds as D
@@ -380,12 +381,60 @@ def _(t):
     return out.select("query_id", c("r.question").alias("question"), F.size("r.evidence").cast("long").alias("n"), F.when(F.size("r.evidence") > 0, F.sha2(said, 256)).alias("evidence"))
 
 
-@query("c04_chunk_offsets", r"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n, length(regexp_extract(text, '^[\s\p{Z}]*')) AS lead FROM documents WHERE NOT regexp_matches(text, '(^|
-)[ 	]*#')),
-w AS (SELECT doc_id, text, n, 0 AS ordinal, lead AS a, substr(text, lead + 1, 1201) AS win FROM d WHERE lead < n
-UNION ALL SELECT doc_id, text, n, ordinal + 1, b, substr(text, b + 1, 1201) FROM (SELECT *, e + length(regexp_extract(substr(text, e + 1, 5000), '^[\s\p{Z}]*')) AS b FROM (SELECT *, a + greatest(1, length(regexp_replace(substr(text, a + 1, CASE WHEN n - a <= 1200 THEN n - a WHEN length(regexp_extract(win, '^[\s\S]*[\n ]')) - 1 > 400 THEN length(regexp_extract(win, '^[\s\S]*[\n ]')) - 1 ELSE 1200 END), '[\s\p{Z}]+$', ''))) AS e FROM w)) WHERE b < n)
-SELECT doc_id::VARCHAR AS doc_id, ordinal, a::INT AS start_off, sha256(regexp_replace(substr(text, a + 1, CASE WHEN n - a <= 1200 THEN n - a WHEN length(regexp_extract(win, '^[\s\S]*[\n ]')) - 1 > 400 THEN length(regexp_extract(win, '^[\s\S]*[\n ]')) - 1 ELSE 1200 END), '[\s\p{Z}]+$', '')) AS text_hash FROM w""")
+_HEADING = r"(^|\n)[ \t]*#"
+
+
+def _cuts(docs: str) -> str:
+    """The windows of docs(doc_id, text) without headings in DuckDB: CTEs up to cuts(doc_id, ordinal, start_off, piece)."""
+    last = r"length(regexp_extract(win, '^[\s\S]*[\n ]')) - 1"
+    piece = rf"regexp_replace(substr(text, a + 1, CASE WHEN n - a <= 1200 THEN n - a WHEN {last} > 400 THEN {last} ELSE 1200 END), '[\s\p{{Z}}]+$', '')"
+    lead = lambda x: rf"length(regexp_extract({x}, '^[\s\p{{Z}}]*'))"
+    return f"""d AS (SELECT doc_id, text, length(text) AS n, {lead('text')} AS a FROM ({docs}) WHERE NOT regexp_matches(text, '{_HEADING}')),
+w AS (SELECT doc_id, text, n, 0 AS ordinal, a, substr(text, a + 1, 1201) AS win FROM d WHERE a < n
+UNION ALL SELECT doc_id, text, n, ordinal + 1, b, substr(text, b + 1, 1201) FROM (SELECT *, e + {lead('substr(text, e + 1, 5000)')} AS b FROM (SELECT *, a + greatest(1, length({piece})) AS e FROM w)) WHERE b < n),
+cuts AS (SELECT doc_id, ordinal, a::INT AS start_off, {piece} AS piece FROM w)"""
+
+
+@query("c04_chunk_offsets", f"WITH RECURSIVE {_cuts('SELECT doc_id, text FROM documents')} SELECT doc_id::VARCHAR AS doc_id, ordinal, start_off, sha256(piece) AS text_hash FROM cuts")
 def _(t):
     """Cuts of documents without headings, window by window. With headings: ``c04_markdown_chunks``."""
-    docs = t("documents").where(~F.col("text").rlike(r"(^|\n)[ \t]*#")).select("doc_id", "text")
-    return K.markdown(docs).select("doc_id", "ordinal", "start_off", "text_hash")
+    return K.markdown(t("documents").where(~c("text").rlike(_HEADING)).select("doc_id", "text")).select("doc_id", "ordinal", "start_off", "text_hash")
+
+
+def pages(t):
+    """Documents as pages that link to another one."""
+    d = c("doc_id")
+    path = lambda i: F.concat(F.lit("notes/"), i.cast("string"), F.lit(".md"))
+    content = F.concat("text", F.lit("\n[["), path((d * 7 + 3) % 1200), F.lit("]]"))
+    return t("documents").select(d.alias("id"), path(d).alias("path"), content.alias("content"), F.sha2(content, 256).alias("hash"), F.lit("r1").alias("revision"), c("lang").alias("meta"), F.lit(None).cast("boolean").alias("deleted"))
+
+
+_PAGE = "text || chr(10) || '[[notes/' || (doc_id * 7 + 3) % 1200 || '.md]]'"
+
+
+def projected(t, root):
+    """What a document came to; documents with headings without their number of chunks."""
+    heads = t("documents").where(c("text").rlike(_HEADING)).select((c("doc_id") % 1_000_000).alias("__id"), F.lit(True).alias("__h"))
+    out = P.per_document(t.spark, root).join(heads, c("id") % 1_000_000 == c("__id"), "left")
+    return out.withColumn("n_chunks", F.when(c("__h").isNull(), c("n_chunks"))).drop("__id", "__h")
+
+
+@query("c14_projection_tables", f"WITH RECURSIVE {_cuts(f'SELECT doc_id, {_PAGE} AS text FROM documents')}, k AS (SELECT doc_id, count(*) AS n FROM cuts GROUP BY 1) SELECT doc_id AS id, 'notes/' || doc_id || '.md' AS path, 'r1' AS revision, n AS n_chunks, 1 AS n_links, 1 AS n_revisions FROM documents LEFT JOIN k USING (doc_id)")
+def _(t):
+    root = R.shared_folder(t.spark, "projection")
+    P.full(pages(t), root, "one")
+    return projected(t, root)
+
+
+@query("c16_incremental_tables", f"""WITH RECURSIVE x AS (SELECT doc_id, doc_id % 11 AS k, {_PAGE} AS text FROM documents),
+y AS (SELECT doc_id, k, text || CASE WHEN k = 1 THEN repeat(' more', 400) ELSE '' END AS text FROM x WHERE k NOT IN (0, 5) UNION ALL SELECT doc_id + 1000000, k, text FROM x WHERE k = 4), {_cuts('SELECT doc_id, text FROM y')}, n AS (SELECT doc_id, count(*) AS n FROM cuts GROUP BY 1)
+SELECT doc_id AS id, CASE WHEN k = 2 THEN 'x/' ELSE '' END || 'notes/' || doc_id || '.md' AS path, CASE WHEN k = 1 THEN 'r2' ELSE 'r1' END AS revision, n AS n_chunks, 1 AS n_links, CASE WHEN k = 1 THEN 2 ELSE 1 END AS n_revisions FROM y LEFT JOIN n USING (doc_id)""")
+def _(t):
+    """Some pages get a longer content, move, get other metadata, are deleted or go; some are new."""
+    root, one, k = R.shared_folder(t.spark, "projection"), pages(t), c("id") % 11
+    P.full(one, root, "one")
+    text = F.when(k == 1, F.concat("content", F.lit(" more" * 400))).otherwise(c("content"))
+    two = one.where("id % 11 > 0").withColumns({"content": text, "hash": F.sha2(text, 256), "revision": F.when(k == 1, "r2").otherwise(c("revision")), "path": F.when(k == 2, F.concat(F.lit("x/"), "path")).otherwise(c("path")), "meta": F.when(k == 3, "zz").otherwise(c("meta")), "deleted": k == 5})
+    new = one.where("id % 11 = 4").withColumns({"id": c("id") + 1_000_000, "path": F.concat(F.lit("notes/"), (c("id") + 1_000_000).cast("string"), F.lit(".md"))})
+    P.incremental(one, two.unionByName(new), root, "one", "two")
+    return projected(t, root)
