@@ -250,3 +250,43 @@ def message_text(content: Column, depth: int = 3) -> Column:
         return F.array_join(F.filter(F.transform(parts, lambda x: part(x, d)), lambda x: x != ""), "\n\n")
 
     return F.coalesce(F.when(F.schema_of_variant(content).startswith("ARRAY"), many(got(content, "$", "array<variant>"), depth)).otherwise(part(content, depth)), F.lit(""))
+
+
+#: Words that a name follows in code, and the kind of symbol each defines.
+DEFINITIONS = {"function": "function", "class": "class", "const": "variable", "let": "variable", "var": "variable", "interface": "type", "type": "type"}
+_DEFINITION = r"\b(function|class|const|let|var|interface|type)\s+([A-Za-z_$][A-Za-z0-9_$]*)"
+
+
+def code_symbols(code: Column) -> Column:
+    """Array of (name, kind, start_off, end_off) of what ``code`` defines, in order; offsets count code points."""
+    found = F.regexp_extract_all(code, F.lit(_DEFINITION), F.lit(0))
+    before = F.transform(F.slice(F.split(code, _DEFINITION, -1), 1, F.size(found)), F.length)
+    sizes = F.transform(found, F.length)
+    part = lambda x, n: F.regexp_extract(x, _DEFINITION, n)
+    kinds = F.create_map(*[F.lit(x) for pair in DEFINITIONS.items() for x in pair])
+
+    def symbol(x: Column, i: Column) -> Column:
+        up_to = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda p, q: p + q)
+        start = up_to(before, i + 1) + up_to(sizes, i)
+        return F.struct(part(x, 2).alias("name"), F.element_at(kinds, part(x, 1)).alias("kind"), start.alias("start_off"), (start + F.length(x)).alias("end_off"))
+
+    return F.transform(found, symbol)
+
+
+def workspace(path: Column) -> Column:
+    """Struct (workspace, project) of an absolute path: the path without empty and dot steps, and its last step; else nulls."""
+    steps = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    clean = F.concat(F.lit("/"), F.array_join(steps, "/"))
+    return F.when(F.startswith(path, F.lit("/")), F.struct(clean.alias("workspace"), F.when(F.size(steps) > 0, F.element_at(steps, -1)).alias("project")))
+
+
+def session_id(path: Column) -> Column:
+    """The file name without .jsonl, in either case."""
+    return F.regexp_replace(F.regexp_extract(path, "([^/]*)/*$", 1), r"(?i)\.jsonl$", "")
+
+
+def binary_page(path: Column, size: Column) -> Column:
+    """Struct (format, markdown) for a binary file kept elsewhere."""
+    format_ = F.coalesce(F.nullif(F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)), F.lit("")), F.lit("unknown"))
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    return F.struct(format_.alias("format"), F.concat(F.lit("# "), name, F.lit("\n\nBinary source retained externally.\n\n- Format: "), format_, F.lit("\n- Bytes: "), size.cast("string")).alias("markdown"))

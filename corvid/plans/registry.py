@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("functions", "sources", "rows", "joins", "reports", "search", "streams", "lifecycle")
+MODULES = ("functions", "sources", "rows", "joins", "reports", "search", "streams", "lifecycle", "health")
 
 
 class Tables:
