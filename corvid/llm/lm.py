@@ -34,7 +34,7 @@ def held_out(doc_id) -> bool:
 def blocks(docs: DataFrame, classes: int, block_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents in blocks of about ``block_bytes`` of text (a longer text is a block of its own), as a written table.
 
-    ``words`` are a block's different words with blanks between them, in the order that ``ids`` number them; ``hashes`` are
+    ``words`` are a block's different words with blanks between them, common ones first, as ``ids`` number them; ``hashes`` are
     their CRC-32 numbers, ``counts`` how often each stands in the block's training documents; ``trained`` has the class
     numbers of those documents, each with the end, ``classes``, after it.
     """
@@ -51,14 +51,18 @@ def blocks(docs: DataFrame, classes: int, block_bytes: int, id_col: str = "doc_i
         def flush():
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-            words = list(vocabulary)
+            order = np.argsort(-np.bincount(flat, minlength=len(vocabulary)), kind="stable")  # common words first
+            number = np.empty(len(order), np.int32)
+            number[order] = np.arange(len(order), dtype=np.int32)
+            flat, words = number[flat], list(vocabulary)
+            words = [words[k] for k in order.tolist()]
             hashes = np.fromiter(map(zlib.crc32, words), "<u4", len(words))
             own = np.repeat(~np.array(held, bool), lengths)
             trained = np.bincount(flat[own], minlength=len(words)).astype("<u4")
             symbols = np.insert((hashes % np.uint32(classes)).astype("<u2")[flat[own]], np.cumsum(lengths[~np.array(held, bool)]), classes)
             return pa.RecordBatch.from_arrays(
                 [pa.array([base + n_blocks]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())),
-                 *(pa.array([x], pa.binary()) for x in (flat.astype("<i4").tobytes(), hashes.tobytes(), b" ".join(words), trained.tobytes())), pa.array([len(words)], pa.int64()), pa.array([symbols.tobytes()], pa.binary())],
+                 *(pa.array([x], pa.binary()) for x in (_pack(flat), hashes.tobytes(), b" ".join(words), trained.tobytes())), pa.array([len(words)], pa.int64()), pa.array([symbols.tobytes()], pa.binary())],
                 names=[c.split()[0] for c in BLOCK.split(", ")],
             )
 
@@ -98,6 +102,19 @@ def _by_part(of):
     return list(zip(found.tolist(), np.split(order, begin[1:]), strict=True))
 
 
+def _pack(ids) -> bytes:
+    """Word numbers as four planes of bytes: numbers are small, as common words come first, so upper planes compress away."""
+    import numpy as np
+
+    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpack(packed):
+    import numpy as np
+
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def _rows(batches, *names):
     """The rows of record batches; binary columns as buffers, not copied."""
     for batch in batches:
@@ -396,7 +413,7 @@ def word_posteriors(known: DataFrame, model: Model, states: int, classes: int) -
 
         names, relative, totals = ["part", "block", "numbers", "values"], (model.emit / model.emit.mean(0)).T, np.zeros((2, states, classes))
         for block, held, lengths, ids, of, places in _rows(batches, "block", "held", "lengths", "ids", "classes", "places"):
-            of, ids, places = np.frombuffer(of, "<u2"), np.frombuffer(ids, "<i4"), np.frombuffer(places, "<i4").reshape(-1, 2)
+            of, ids, places = np.frombuffer(of, "<u2"), _unpack(ids), np.frombuffer(places, "<i4").reshape(-1, 2)
             end, seen = len(of), np.zeros((states, len(of) + 1))
             flat, sizes = _sequences(lengths, ids, end)
             rows = [x for x, out in zip(np.split(flat, np.cumsum(sizes)[:-1]), held, strict=True) if not out]
@@ -487,7 +504,7 @@ def score(docs: DataFrame, states: int = 6, classes: int = 1024, rounds: int = 1
 
         for batch in batches:
             for doc_ids, held, lengths, ids, of, c, places, found in _rows([batch], "doc_ids", "held", "lengths", "ids", "classes", "c", "places", "found"):
-                c, ids, of = np.frombuffer(c, "<i8"), np.frombuffer(ids, "<i4"), np.frombuffer(of, "<u2")
+                c, ids, of = np.frombuffer(c, "<i8"), _unpack(ids), np.frombuffer(of, "<u2")
                 places = np.frombuffer(places, "<i4").reshape(-1, 2)
                 often = np.flatnonzero(places[:, 1] >= 0)
                 spoken, sums = np.zeros((len(often), states)), {r["part"]: r["sums"] for r in found or ()}
