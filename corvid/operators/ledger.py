@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvid.sinks import render
+
 
 def _with_parents(jobs: DataFrame) -> DataFrame:
     parents = jobs.select(F.col("id").alias("dep"), F.col("status").alias("parent"))
@@ -29,7 +31,10 @@ def closure(jobs: DataFrame, start: DataFrame, max_rounds: int = 100) -> DataFra
     edges = jobs.select("id", F.explode("deps").alias("dep"))
     seen = front = start.select("id").distinct()
     for _ in range(max_rounds):
-        front = edges.join(front.select(F.col("id").alias("dep")), "dep").select("id").distinct().join(seen, "id", "left_anti").checkpoint() if jobs.sparkSession.sparkContext.getCheckpointDir() else edges.join(front.select(F.col("id").alias("dep")), "dep").select("id").distinct().join(seen, "id", "left_anti").persist()
+        front = edges.join(front.select(F.col("id").alias("dep")), "dep").select("id").distinct().join(seen, "id", "left_anti")
+        folder = render.shared_folder(jobs.sparkSession, "closure")
+        front.write.parquet(folder)
+        front = jobs.sparkSession.read.schema(front.schema).parquet(folder)
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
@@ -46,3 +51,21 @@ def after_failure(jobs: DataFrame) -> DataFrame:
     """Failed for good once the attempts are used up, else pending again."""
     over = F.col("attempts") >= F.col("max_attempts")
     return jobs.withColumns({"status": F.when(over, "failed").otherwise("pending"), "dead_letter": over})
+
+
+def leases(events: DataFrame, now: int) -> DataFrame:
+    """(id, worker, status, expires_at) from lease events(id, worker, at, lease_seconds, done): the latest event of a job counts. A job
+    that is done is complete, one whose lease has run out by ``now`` (seconds) is expired, others are leased."""
+    last = events.groupBy("id").agg(F.max_by(F.struct("worker", "at", "lease_seconds", "done"), F.struct("at", "worker")).alias("r")).select("id", "r.*")
+    expires = F.col("at") + F.col("lease_seconds")
+    status = F.when(F.coalesce("done", F.lit(False)), "complete").when(expires <= now, "expired").otherwise("leased")
+    return last.select("id", "worker", status.alias("status"), expires.alias("expires_at"))
+
+
+def pending_work(work: DataFrame, now: int, initial: float = 1.0, most: float = 60.0) -> DataFrame:
+    """(id, status, next_at) of work(id, state, attempts, tried_at, deadline), times in seconds: finished states stay; past its
+    deadline work is expired, before its next try (backed off twofold from ``initial`` to ``most``) it waits, else it is due."""
+    wait = F.least(F.lit(most), F.lit(initial) * F.pow(F.lit(2.0), F.greatest(F.col("attempts") - 1, F.lit(0))))
+    next_at = F.when(F.col("attempts") > 0, F.col("tried_at") + F.floor(wait)).otherwise(F.lit(now)).cast("long")
+    status = F.when(F.col("state") != "pending", F.col("state")).when(F.col("deadline") <= now, "expired").when(next_at > now, "waiting").otherwise("due")
+    return work.select("id", status.alias("status"), F.when(status.isin("due", "waiting"), next_at).alias("next_at"))

@@ -79,3 +79,35 @@ def _(t):
 
     before = F.max("ts").over(W.partitionBy("user_id").orderBy("value", "event_id").rowsBetween(W.unboundedPreceding, -1))
     return t("events").withColumn("m", before).where("ts <= m").select("event_id")
+
+
+@query("st08_lease_expiry", "SELECT user_id AS id, event_type AS worker, CASE WHEN event_id % 5 = 0 THEN 'complete' WHEN epoch(date_trunc('second', ts))::BIGINT + 86400 <= 1706000000 THEN 'expired' ELSE 'leased' END AS status, epoch(date_trunc('second', ts))::BIGINT + 86400 AS expires_at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts) DESC, event_type DESC, event_id % 5 = 0 DESC) = 1")
+def _(t):
+    from corvid.operators import ledger as G
+
+    e = t("events").select(c("user_id").alias("id"), c("event_type").alias("worker"), F.unix_timestamp("ts").alias("at"), F.lit(86400).alias("lease_seconds"), (c("event_id") % 5 == 0).alias("done"))
+    return G.leases(e, 1706000000)
+
+
+@query("st09_work_ledger", "WITH w AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_linestatus AS s, l_linenumber - 1 AS attempts, 1000 - l_partkey % 40 AS tried, 990 + l_suppkey % 30 AS deadline FROM lineitem), x AS (SELECT *, CASE WHEN attempts > 0 THEN tried + floor(least(60, pow(2, attempts - 1)))::BIGINT ELSE 1000 END AS next FROM w), y AS (SELECT *, CASE WHEN s = 'F' THEN 'complete' WHEN deadline <= 1000 THEN 'expired' WHEN next > 1000 THEN 'waiting' ELSE 'due' END AS status FROM x) SELECT id, status, CASE WHEN status IN ('due', 'waiting') THEN next END AS next_at FROM y")
+def _(t):
+    from corvid.operators import ledger as G
+
+    k = c("l_orderkey") * 10 + c("l_linenumber")
+    work = t("lineitem").select(k.alias("id"), F.when(c("l_linestatus") == "F", "complete").otherwise("pending").alias("state"), (c("l_linenumber") - 1).alias("attempts"), (1000 - c("l_partkey") % 40).alias("tried_at"), (990 + c("l_suppkey") % 30).alias("deadline"))
+    return G.pending_work(work, 1000)
+
+
+@query("st11_late_apart", "WITH m AS (SELECT max(doc_id) AS m FROM documents WHERE doc_id % 3 = 0) SELECT doc_id, doc_id <= m AS late FROM documents, m WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, false FROM documents WHERE doc_id % 3 = 0")
+def _(t):
+    """Two drops as a stream: of the second, what isn't newer than all of the first is set apart."""
+    from corvid.sinks import render
+    from corvid.streaming import ingest
+
+    root, rows = render.shared_folder(t.spark, "late"), t("documents").select("doc_id", c("doc_id").alias("updated_at"))
+    for drop in (0, 1):
+        rows.where(c("doc_id") % 3 == drop).write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        stream.writeStream.foreachBatch(ingest.apart(root)).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    read = lambda name, late: t.spark.read.schema(rows.schema).parquet(f"{root}/{name}").select("doc_id", F.lit(late).alias("late"))
+    return read("fresh", False).unionByName(read("late", True))

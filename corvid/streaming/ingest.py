@@ -59,3 +59,26 @@ def current(log: DataFrame, key: str = "external_id", order: str = "updated_at")
     """The change log's latest row of each document, without deleted ones."""
     rows = versions.latest(log, [key], F.struct(F.col(order), F.col("batch")))
     return rows.where(~F.coalesce("deleted", F.lit(False))) if "deleted" in rows.columns else rows
+
+
+def apart(root: str, order: str = "updated_at"):
+    """A foreachBatch function: rows that aren't newer than the checkpoint go to ``late``, the others to ``fresh``; then the
+    checkpoint moves to the newest ``order``. Rows without it are late. All is written under the batch's number, and a repeated
+    batch looks at the checkpoints of earlier ones alone, so it gives the same."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, kind = batch.sparkSession, batch.schema[order].dataType.simpleString()
+        held = spark.createDataFrame([], f"batch long, at {kind}")
+        if number:
+            held = spark.read.schema(held.schema).parquet(f"{root}/newest").where(F.col("batch") < number)
+        at = held.agg(F.max("at")).first()[0]
+        late = F.col(order).isNull() | (F.lit(False) if at is None else F.col(order) <= F.lit(at))
+        rows = batch.withColumn("__late", late).persist()
+        try:
+            rows.where("__late").drop("__late").write.mode("overwrite").parquet(f"{root}/late/batch={number}")
+            rows.where("not __late").drop("__late").write.mode("overwrite").parquet(f"{root}/fresh/batch={number}")
+            rows.agg(F.max(order).alias("at")).coalesce(1).write.mode("overwrite").parquet(f"{root}/newest/batch={number}")
+        finally:
+            rows.unpersist()
+
+    return write
