@@ -23,12 +23,18 @@ def _fold(step: str, first: str) -> str:
     return f"WITH {_E}, s AS (SELECT key, list_reduce(l, lambda s, x: {step}, {first}) AS r FROM (SELECT key, list_transform(l, lambda x: {{'a': x.a, 'n': 0::BIGINT, 'ok': [x.i]}}) AS l FROM e)) SELECT key::VARCHAR AS key, unnest(r.ok) AS event_id FROM s"
 
 
-@query("st06_replay_guard", _fold("CASE WHEN x.a - s.a >= 86400000 THEN {'a': x.a, 'n': 0::BIGINT, 'ok': list_concat(s.ok, x.ok)} ELSE s END", "{'a': -100000000::BIGINT, 'n': 0::BIGINT, 'ok': []::BIGINT[]}"))
+_REPLAY = _fold("CASE WHEN x.a - s.a >= 86400000 THEN {'a': x.a, 'n': 0::BIGINT, 'ok': list_concat(s.ok, x.ok)} ELSE s END", "{'a': -100000000::BIGINT, 'n': 0::BIGINT, 'ok': []::BIGINT[]}")
+_TUMBLING = "SELECT user_id::VARCHAR AS key, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, epoch_ms(ts) // 86400000 ORDER BY epoch_ms(ts), event_id) AS r FROM events) WHERE r <= 2"
+_ANCHORED = _fold("CASE WHEN x.a - s.a >= 86400000 THEN {'a': x.a, 'n': 1::BIGINT, 'ok': list_concat(s.ok, x.ok)} WHEN s.n < 2 THEN {'a': s.a, 'n': s.n + 1, 'ok': list_concat(s.ok, x.ok)} ELSE s END", "{'a': -100000000::BIGINT, 'n': 0::BIGINT, 'ok': []::BIGINT[]}")
+_SESSION = _fold("CASE WHEN x.a - s.n >= 21600000 OR x.a - s.a >= 86400000 THEN {'a': x.a, 'n': x.a, 'ok': list_concat(s.ok, x.ok)} ELSE {'a': s.a, 'n': x.a, 'ok': s.ok} END", "{'a': -100000000::BIGINT, 'n': -100000000::BIGINT, 'ok': []::BIGINT[]}")
+
+
+@query("st06_replay_guard", _REPLAY)
 def _(t):
     return S.batch(events(t), S.replay_guard(DAY)).where("accepted").select("key", "event_id")
 
 
-@query("st04_tumbling_quota", "SELECT user_id::VARCHAR AS key, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, epoch_ms(ts) // 86400000 ORDER BY epoch_ms(ts), event_id) AS r FROM events) WHERE r <= 2")
+@query("st04_tumbling_quota", _TUMBLING)
 def _(t):
     return S.batch(events(t), S.tumbling_quota(2, DAY)).where("accepted").select("key", "event_id")
 
@@ -38,12 +44,12 @@ def _(t):
     return S.usage(events(t), 60)
 
 
-@query("st05_anchored_quota", _fold("CASE WHEN x.a - s.a >= 86400000 THEN {'a': x.a, 'n': 1::BIGINT, 'ok': list_concat(s.ok, x.ok)} WHEN s.n < 2 THEN {'a': s.a, 'n': s.n + 1, 'ok': list_concat(s.ok, x.ok)} ELSE s END", "{'a': -100000000::BIGINT, 'n': 0::BIGINT, 'ok': []::BIGINT[]}"))
+@query("st05_anchored_quota", _ANCHORED)
 def _(t):
     return S.batch(events(t), S.anchored_quota(2, DAY)).where("accepted").select("key", "event_id")
 
 
-@query("st07_sessions", _fold("CASE WHEN x.a - s.n >= 21600000 OR x.a - s.a >= 86400000 THEN {'a': x.a, 'n': x.a, 'ok': list_concat(s.ok, x.ok)} ELSE {'a': s.a, 'n': x.a, 'ok': s.ok} END", "{'a': -100000000::BIGINT, 'n': -100000000::BIGINT, 'ok': []::BIGINT[]}"))
+@query("st07_sessions", _SESSION)
 def _(t):
     return S.batch(events(t), S.session(6 * HOUR, DAY)).where("accepted").select("key", "event_id")
 
@@ -111,3 +117,37 @@ def _(t):
         stream.writeStream.foreachBatch(ingest.apart(root)).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     read = lambda name, late: t.spark.read.schema(rows.schema).parquet(f"{root}/{name}").select("doc_id", F.lit(late).alias("late"))
     return read("fresh", False).unionByName(read("late", True))
+
+
+def streamed(t, step, hold_ms: int):
+    """What ``step`` accepts of all events as a stream: two drops in time order, two runs from one checkpoint."""
+    from corvid.sinks import render
+
+    root, rows = render.shared_folder(t.spark, "folds"), events(t).drop("ts")
+    middle = rows.agg(F.percentile_approx("at", 0.5)).first()[0]
+    for drop in (c("at") < middle, c("at") >= middle):
+        rows.where(drop).write.mode("append").parquet(f"{root}/in")
+        source = t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        out = S.stream(source, step, hold_ms, "1 second").writeStream.format("parquet").option("path", f"{root}/out")
+        out.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(S.VERDICT).parquet(f"{root}/out").where("accepted").select("key", "event_id")
+
+
+@query("st04_tumbling_quota_stream", _TUMBLING)
+def _(t):
+    return streamed(t, S.tumbling_quota(2, DAY), DAY)
+
+
+@query("st05_anchored_quota_stream", _ANCHORED)
+def _(t):
+    return streamed(t, S.anchored_quota(2, DAY), DAY)
+
+
+@query("st06_replay_guard_stream", _REPLAY)
+def _(t):
+    return streamed(t, S.replay_guard(DAY), DAY)
+
+
+@query("st07_sessions_stream", _SESSION)
+def _(t):
+    return streamed(t, S.session(6 * HOUR, DAY), 6 * HOUR)

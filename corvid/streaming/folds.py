@@ -89,24 +89,35 @@ def batch(events: DataFrame, step: Step) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInArrow(run, VERDICT)
 
 
-def stream(events: DataFrame, step: Step) -> DataFrame:
-    """The same over a stream; a key's events of one micro-batch are put in time order."""
+def stream(events: DataFrame, step: Step, hold_ms: int, late: str = "0 seconds") -> DataFrame:
+    """The same over a stream; a key's events of one micro-batch are put in time order.
+
+    A key's state goes once the watermark, ``late`` behind the newest event of all, is ``hold_ms`` past the key's newest
+    event. With at least the step's own hold, window or idle time (a session's cap needs none), a state that old counts as
+    none, so no verdict changes. Rows that the watermark has passed get no verdict.
+    """
 
     def run(key, frames, state):
         import pandas as pd
 
-        held = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *held, newest = state.get if state.exists else (None, 0)
+        held = tuple(held) if state.exists else None
         whole = pd.concat(list(frames)).sort_values(["at", "event_id"])
         out = []
         for at, units in zip(whole["at"], whole["units"], strict=True):
             held, ok = step(held, int(at), int(units))
             out.append(ok)
-        if held is not None:
-            state.update((int(held[0]), int(held[1])))
-        yield pd.DataFrame({"key": whole["key"].astype(str), "event_id": whole["event_id"], "accepted": out})
+        newest = max(newest, int(whole["at"].iloc[-1]))
+        state.update((int(held[0]), int(held[1]), newest))
+        state.setTimeoutTimestamp(max(newest + hold_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": whole["key"], "event_id": whole["event_id"], "accepted": out})
 
     rows = events.select(F.col("key").cast("string").alias("key"), "event_id", F.col("at").cast("long").alias("at"), F.col("units").cast("long").alias("units"))
-    return rows.groupBy("key").applyInPandasWithState(run, VERDICT, "a long, b long", "append", "NoTimeout")
+    timed = rows.withColumn("ts", F.timestamp_millis("at")).withWatermark("ts", late)
+    return timed.groupBy("key").applyInPandasWithState(run, VERDICT, "a long, b long, newest long", "append", "EventTimeTimeout")
 
 
 def usage(events: DataFrame, seconds: int, watermark: str | None = None) -> DataFrame:

@@ -94,7 +94,7 @@ def test_streams_match_their_batch_twins(spark, tmp_path):
     step = folds.replay_guard(86_400_000)
     want = sorted(map(tuple, folds.batch(events, step).collect()))
     source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    q = folds.stream(source, step).writeStream.format("memory").queryName("guarded").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q = folds.stream(source, step, 86_400_000).writeStream.format("memory").queryName("guarded").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("guarded").collect())) == want
 
