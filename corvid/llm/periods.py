@@ -7,8 +7,8 @@ sides by common extensions: to the right in the tree of the document, to the lef
 Ukkonen's; a common extension is the depth of the lowest common ancestor of two leaves, the least depth between them on
 the Euler tour.
 
-Words that no run can hold are taken out first, which is exact: a run of length L and period q repeats each of its
-sequences of L - q words or fewer q words away, so a word of a run stands only among sequences that recur nearby. What
+Words that no run can hold are taken out first, which is exact: a run of length L and period q holds each of its
+sequences of L - 2q + 1 words or fewer again q words away, so a word of a run stands only in sequences that recur nearby. What
 is left of a document, its stretches parted by words of their own, goes into the two trees.
 """
 
@@ -141,7 +141,7 @@ def repeating(words, min_length: int, min_exponent: int):
     import numpy as np
 
     n = len(words)
-    k = min(max(min_length, min_exponent * q) - q for q in range(1, min_length + 1))
+    k = min(max(min_length, min_exponent * q) - 2 * q + 1 for q in range(1, min_length + 1))
     if n < max(min_length, k + 1):
         return np.empty((0, 2), np.int64)
     h = np.zeros(n - k + 1, np.uint64)  # unequal sequences with equal sums only keep words that the trees rule out
