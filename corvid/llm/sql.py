@@ -28,3 +28,37 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length A
   best.length * 1000 // best.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
 FROM changed LEFT JOIN per_doc USING (r) LEFT JOIN kept USING (r)
 """
+
+MIX = r"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS z, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM sized GROUP BY source),
+weighted AS (SELECT *, [5, 2, 1][number % 3 + 1] AS w, (SELECT sum(z)::BIGINT FROM src) AS total FROM src),
+ordered AS (
+  SELECT *, row_number() OVER o AS place, (sum(3 * z) OVER o - 3 * z)::BIGINT AS capped, (sum(w) OVER () - sum(w) OVER o + w)::BIGINT AS free
+  FROM weighted WINDOW o AS (ORDER BY z / w, number)),
+level AS (SELECT min_by((total - capped) / free, place) AS lambda_ FROM ordered WHERE w * ((total - capped) / free) <= 3 * z),
+target AS (SELECT source, number, z, total, least(w * lambda_, (3 * z)::DOUBLE) AS target FROM weighted, level),
+quotient AS (SELECT number, target, unnest(range((3 * z + 15) // 16)) AS k FROM target),
+seats AS (
+  SELECT number, count(*) AS q FROM (SELECT number, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, number, k) AS place FROM quotient)
+  WHERE place <= (SELECT (2 * sum(z) + 16) // 32 FROM src) GROUP BY number),
+shard AS (SELECT number, source, t, least(1048576, z - 1048576 * t) AS z FROM (SELECT *, unnest(range((z + 1048575) // 1048576)) AS t FROM target)),
+shard_quotient AS (SELECT number, t, z, unnest(range((3 * z + 15) // 16)) AS k FROM shard),
+quota AS (
+  SELECT number, t, count(*) AS q
+  FROM (SELECT number, t, row_number() OVER (PARTITION BY number ORDER BY z / (2 * k + 1) DESC, t, k) AS place FROM shard_quotient) JOIN seats USING (number)
+  WHERE place <= q GROUP BY number, t),
+block AS (
+  SELECT number, t, z, k, row_number() OVER (PARTITION BY number, t ORDER BY 16 * k // z, md5(concat('0:', t, ':', k, ':', coalesce(source, ''))), k) AS place
+  FROM shard_quotient JOIN (SELECT number, source FROM target) USING (number)),
+chosen AS (SELECT number, t, z, k FROM block JOIN quota USING (number, t) WHERE place <= q),
+placed AS (
+  SELECT row_number() OVER () AS r, d.*, number, x.z AS source_size, target, sum(size) OVER (PARTITION BY number ORDER BY doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) - size AS s
+  FROM sized d JOIN target x ON d.source IS NOT DISTINCT FROM x.source),
+piece AS (
+  SELECT r, p.number, h.t, p.pass * h.z + greatest(s - h.t * 1048576, 0) AS lo, p.pass * h.z + least(s + size - h.t * 1048576, h.z) AS hi
+  FROM (SELECT *, unnest(range(3)) AS pass FROM placed WHERE size > 0) p JOIN shard h ON p.number = h.number AND h.t BETWEEN s // 1048576 AND (s + size - 1) // 1048576),
+part AS (SELECT *, unnest(range((lo // 16)::BIGINT, ((hi - 1) // 16 + 1)::BIGINT)) AS k FROM piece),
+took AS (SELECT r, sum(least(hi, 16 * k + 16) - greatest(lo, 16 * k))::BIGINT AS taken FROM part JOIN chosen USING (number, t, k) GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN took USING (r)
+"""
