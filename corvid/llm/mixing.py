@@ -67,27 +67,27 @@ def apportion(sources: DataFrame, seats: int, natural: float) -> DataFrame:
     """``sources`` with its ``seats`` of all ``seats``: the highest of target / (2k + 1), k below ``blocks``; of equal
     ones those of the lower ``number``. ``natural`` is a guess at the least quotient that gets a seat.
 
-    Thresholds close in on that quotient by one small aggregate a round; the few quotients left are sorted.
+    Thresholds close in on that quotient by one small aggregate a round; the few quotients left are sorted. What comes to
+    the driver is a count for each threshold.
     """
-    top = sources.agg(F.max("target")).first()[0]
-    if not seats or not top:
-        return sources.withColumn("seats", F.lit(0).cast("long"))
-    low, high, between = 0.0, top * 2, None
-    points = sorted({natural * (1 + s * 2.0**-j) for j in range(1, 24) for s in (-1, 1)} | {natural})
-    while between is None or between > FEW:
-        points = [p for p in points if low < p < high]
-        if not points:
-            break
-        counts = sources.agg(*[F.sum(_from(F.lit(p))) for p in points]).first()
-        enough = [(p, c) for p, c in zip(points, counts, strict=True) if c >= seats]
-        few = [(p, c) for p, c in zip(points, counts, strict=True) if c < seats]
-        low, at_low = max(enough, default=(low, None))
-        high, at_high = min(few, default=(high, 0))
-        between = None if at_low is None else at_low - at_high
-        points = [low + (high - low) * i / 33 for i in range(1, 33)]
-    sure = _from(F.lit(high)) if high < top * 2 else F.lit(0)
-    last = _from(F.lit(low)) if low else F.col("blocks")
-    rows = sources.withColumns({"__sure": sure.cast("long"), "__last": last.cast("long")})
+    wanted = (F.col("target") > 0) & (F.col("blocks") > 0)
+    ends = sources.where(wanted).agg(F.min(F.col("target") / (2 * F.col("blocks") + 1)), F.max("target"), F.sum("blocks")).first()
+    low, high, at_low, at_high = (ends[0] or 1.0) / 2, (ends[1] or 1.0) * 2, ends[2] or 0, 0
+    if seats >= at_low:  # all that is wanted, then sources without a target by their number
+        high, at_high = low, at_low
+        last = F.col("blocks")
+    else:
+        points = {natural * (1 + s * 2.0**-j) for j in range(1, 13) for s in (-1, 1)} | {natural}
+        while at_low - at_high > FEW and (points := sorted(p for p in points if low < p < high)):
+            tried = sources.where(wanted).withColumn("__point", F.explode(F.array(*map(F.lit, points))))
+            for p, c in tried.groupBy("__point").agg(F.sum(_from(F.col("__point")))).orderBy("__point").collect():
+                if c >= seats:
+                    low, at_low = p, c
+                elif p < high:
+                    high, at_high = p, c
+            points = {low + (high - low) * i / 33 for i in range(1, 33)}
+        last = _from(F.lit(low))
+    rows = sources.withColumns({"__sure": _from(F.lit(high)).cast("long"), "__last": last.cast("long")})
     rest = seats - (rows.agg(F.sum("__sure")).first()[0] or 0)
     offered = rows.where("__last > __sure").select("number", F.col("target"), F.explode(F.sequence(F.col("__sure"), F.col("__last") - 1)).alias("k"))
     won = offered.orderBy(_quotient(F.col("k")).desc(), "number", "k").limit(rest).groupBy("number").agg(F.count("*").alias("__won"))
