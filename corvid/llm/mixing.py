@@ -18,7 +18,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize
+from .common import WORD_PATTERN, materialize, numbered
 
 #: While more quotients than this could be the last to get a block, the search for the least one goes on.
 FEW = 10_000
@@ -28,16 +28,6 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def numbered(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
-    """``df`` with its rows' numbers from 0 in the given order; ranges are numbered by themselves, then moved on by what
-    stands before them, one row a partition."""
-    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__part"), at.alias("__at")), "ranged")
-    parts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = parts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return ranged.join(F.broadcast(before), "__part").select(*df.columns, (F.col("__at") + F.col("__before")).alias(name))
-
-
 def fill(sources: DataFrame, share: float, most: int) -> tuple[float, int]:
     """The level at which least(weight * level, most * size) sums to ``share`` of all sizes, and that sum; ``share`` is
     ``most`` at most. Each round caps the sources that the level before would take too far."""

@@ -62,3 +62,20 @@ part AS (SELECT *, unnest(range((lo // 16)::BIGINT, ((hi - 1) // 16 + 1)::BIGINT
 took AS (SELECT r, sum(least(hi, 16 * k + 16) - greatest(lo, 16 * k))::BIGINT AS taken FROM part JOIN chosen USING (number, t, k) GROUP BY r)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN took USING (r)
 """
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = f"""
+WITH word AS (SELECT r, doc_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS r, * FROM documents)),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM word GROUP BY r, doc_id, term),
+length AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM length),
+normal AS (SELECT r, 25 + (75 * n * n_docs) // n_terms AS m FROM length, total),
+weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, n_docs),
+asked AS (SELECT q, item_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS q, * FROM benchmark)),
+score AS (
+  SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN normal USING (r) GROUP BY q, item_id, r, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM score WHERE score > 0) WHERE rank <= 10
+"""
