@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: ASCII white space that separates words; every other code point belongs to a word.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -47,6 +49,25 @@ def numbered(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
     return ranged.join(F.broadcast(before), "__part").select(*df.columns, (F.col("__at") + F.col("__before")).alias(name))
 
 
+def counted(docs: DataFrame, count: Callable[[bytes], int], text_col: str = "text", keep_text: bool = False, **columns: Column) -> DataFrame:
+    """``columns`` of ``docs`` with n, the tokens of the text by ``count`` (null: as an empty one), and the text if asked for.
+
+    Texts are counted in Arrow batches: the built-in regular expressions take some fifty times as long for it.
+    """
+    rows = docs.select(*[c.alias(name) for name, c in columns.items()], F.col(text_col).cast("string").alias("text"))
+    names = [*columns, *(["text"] if keep_text else [])]
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            n = pa.array([count(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), n], names=[*names, "n"])
+
+    kept = rows if keep_text else rows.drop("text")
+    return rows.mapInArrow(run, StructType([*kept.schema.fields, StructField("n", LongType())]))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

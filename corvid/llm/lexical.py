@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered
+from .common import counted, materialize, numbered
 
 #: What stands between terms; all else, letters of A to Z lowered, belongs to terms.
 TERM_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -28,6 +28,13 @@ def _table() -> bytes:
     return bytes(c if c in letters else 32 for c in low)
 
 
+_TABLE = _table()
+
+
+def term_count(text: bytes) -> int:
+    return len(text.translate(_TABLE).split())
+
+
 def impact(tf: Column, m: Column) -> Column:
     """(1000000000 * tf) div (1000 * tf + 8 * m)."""
     top, below = 1_000_000_000 * tf.cast("long"), 1000 * tf.cast("long") + 8 * m
@@ -42,15 +49,14 @@ class StratifiedIndex:
     """
 
     def __init__(self, docs: DataFrame, block_terms: int = 1 << 20, block_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text"):
-        n = F.regexp_count(F.col(text_col).cast("string"), F.lit(TERM_PATTERN)).cast("long")
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), n.alias("n"))
-        lengths = materialize(rows.where("n > 0").groupBy("n").agg(F.count("*").alias("docs")), "lengths")
+        rows = counted(docs, term_count, text_col, True, doc_id=F.col(id_col).cast("long")).where("n > 0")
+        lengths = materialize(rows.groupBy("n").agg(F.count("*").alias("docs")), "lengths")
         self.n_docs, self.n_terms = (int(x or 0) for x in lengths.agg(F.sum("docs"), F.sum(F.col("docs") * F.col("n"))).first())
         m = F.lit(0) if not self.n_docs else F.expr(f"25 + (75L * n * {self.n_docs}L) div {self.n_terms}L")
         slices = F.ceil(F.greatest(F.sum(F.col("docs") * F.col("n")) / block_terms, F.sum("docs") / block_docs)).cast("int")
         strata = materialize(lengths.groupBy(m.cast("long").alias("m")).agg(slices.alias("slices")), "strata")
         spread = F.xxhash64(F.monotonically_increasing_id())  # any spread gives the same results; copies and null ids spread as well
-        dealt = rows.where("n > 0").select("doc_id", "text", m.cast("long").alias("m"), spread.alias("h")).join(strata, "m")
+        dealt = rows.select("doc_id", "text", m.cast("long").alias("m"), spread.alias("h")).join(strata, "m")
         dealt = dealt.select("m", F.pmod("h", "slices").cast("int").alias("slice"), "doc_id", "text").repartition("m", "slice").sortWithinPartitions("m", "slice")
         self.rows = materialize(dealt.mapInArrow(_blocks, BLOCK), "stratified")
 
@@ -117,8 +123,6 @@ def _blocks(batches) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    table = _table()
-
     def flush(m, slice_, ids, counters):
         # Postings by term, then highest tf, then document.
         sizes = np.fromiter(map(len, counters), np.int64, len(counters))
@@ -152,7 +156,7 @@ def _blocks(batches) -> Iterator:
                     yield from flush(*now, ids, counters)
                 now, ids, counters = (m, slice_), [], []
             ids.append(doc_id)
-            counters.append(Counter(text.translate(table).split()))
+            counters.append(Counter(text.translate(_TABLE).split()))
     if ids:
         yield from flush(*now, ids, counters)
 
@@ -164,60 +168,89 @@ def _scores(batches, k: int) -> Iterator:
 
     best: dict[int, tuple] = {}  # by query: scores, ids and null flags, the best first
 
-    def ask(q, ids, missing, scores):
-        good = np.flatnonzero(scores > 0)
+    def offer(q, ids, missing, scores, bar):
+        good = np.flatnonzero(scores >= max(bar, 1))
         if len(good) > k:
             bar = np.partition(scores[good], len(good) - k)[len(good) - k]
             good = good[scores[good] >= bar]
-        old = best.get(q)
+        if not len(good):
+            return
         rows = [scores[good], ids[good], missing[good]]
-        if old is not None:
-            rows = [np.concatenate(x) for x in zip(old, rows, strict=True)]
+        if q in best:
+            rows = [np.concatenate(x) for x in zip(best[q], rows, strict=True)]
         order = np.lexsort((rows[1], rows[2], -rows[0]))[:k]
         best[q] = tuple(x[order] for x in rows)
 
-    def block(m, head, lists):
-        ids, missing, asks = head
-        bound = dict.fromkeys(asks, 0)
-        impacts = []
-        for tfs, counts, docs, gains in lists:
-            value = 1_000_000_000 * tfs // (1000 * tfs + 8 * m)
-            top = int(value[0])
-            for q, gain in gains:
-                if q in bound:
-                    bound[q] += gain * top
-            impacts.append((value, counts, docs, gains))
-        bar = lambda q: max(asks[q], int(best[q][0][-1]) if q in best and len(best[q][0]) == k else 0)
-        row = {q: i for i, q in enumerate(q for q, b in bound.items() if b and b >= bar(q))}
-        if not row:
+    def block(m, parts):
+        head, parts = parts[0], parts[1:]
+        ids, missing, asking, least = head
+        if not parts:
+            return
+        tfs, counts, docs, q, gain = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 4))
+        groups, sizes, asks = (np.concatenate([p[i] for p in parts]) for i in (5, 6, 7))  # a term's tf groups, documents, queries
+        value = 1_000_000_000 * tfs // (1000 * tfs + 8 * m)
+        each = np.repeat(value, counts)
+        first = np.concatenate([[0], np.cumsum(groups)[:-1]])
+        row = np.searchsorted(asking, q)
+        row = np.where(asking[np.minimum(row, len(asking) - 1)] == q, row, -1)
+        term = np.repeat(np.arange(len(asks)), asks)
+        bound = np.zeros(len(asking), np.int64)
+        np.add.at(bound, row[row >= 0], (gain * value[first[term]])[row >= 0])
+        bar = np.array([max(low, int(best[a][0][-1]) if a in best and len(best[a][0]) == k else 0) for a, low in zip(asking.tolist(), least.tolist(), strict=True)])
+        alive = (bound >= bar) & (bound > 0)
+        use = np.flatnonzero((row >= 0) & alive[row])
+        if not len(use):
             return
-        score = np.zeros((len(row), len(ids)), np.int64)
-        for value, counts, docs, gains in impacts:
-            mine = [(row[q], gain) for q, gain in gains if q in row]
-            if mine:
-                each = np.repeat(value, counts)
-                for i, gain in mine:
-                    score[i, docs] += gain * each
-        for q, i in row.items():
-            ask(q, ids, missing, score[i])
-
-    now, head, lists = None, None, []
+        n, start = len(ids), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        at = np.cumsum(alive) - 1
+        score = np.zeros(int(alive.sum()) * n, np.int64)
+        row, term, gain = at[row[use]], term[use], gain[use]
+        length = sizes[term]
+        for p in np.flatnonzero(length > 200).tolist():  # long lists one by one, short ones together
+            a = start[term[p]]
+            own = slice(a, a + length[p])
+            score[row[p] * n + docs[own]] += gain[p] * each[own]
+        short = np.flatnonzero(length <= 200)
+        for lo in range(0, len(short), 20_000):
+            p = short[lo : lo + 20_000]
+            size = length[p]
+            place = np.repeat(start[term[p]] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            np.add.at(score, np.repeat(row[p] * n, size) + docs[place], np.repeat(gain[p], size) * each[place])
+        score = score.reshape(-1, n)
+        for i in np.flatnonzero(alive).tolist():
+            offer(int(asking[i]), ids, missing, score[at[i]], int(bar[i]))
+
+    def flat(column):
+        """Offsets and values of a list column; a null list is empty."""
+        size = np.array(column.value_lengths().fill_null(0))
+        return np.concatenate([[0], np.cumsum(size)]), column.flatten()
+
+    now, parts = None, []
     for batch in batches:
-        chunk, m, slice_, term, ids, asks = (batch.column(c) for c in ("chunk", "m", "slice", "term", "ids", "asks"))
-        tfs, counts, docs = (batch.column(c) for c in ("tfs", "counts", "docs"))
-        is_head = term.is_null().to_pylist()
-        for i, key in enumerate(zip(chunk.to_pylist(), m.to_pylist(), slice_.to_pylist(), strict=True)):
-            pairs = [(a["q"], a["least"]) for a in asks[i].as_py()]
-            if is_head[i]:
-                if head is not None:
-                    block(now[1], head, lists)
-                values = ids[i].values
-                head = values.fill_null(0).to_numpy(zero_copy_only=False), values.is_null().to_numpy(zero_copy_only=False), dict(pairs)
-                now, lists = key, []
-            elif key == now:
-                lists.append((tfs[i].values.to_numpy().astype(np.int64), counts[i].values.to_numpy(), docs[i].values.to_numpy(), pairs))
-    if head is not None:
-        block(now[1], head, lists)
+        if not batch.num_rows:
+            continue
+        chunk, m, slice_ = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "m", "slice"))
+        (tf_at, tfs), (_, counts), (doc_at, docs), (id_at, ids), (ask_at, asks) = (flat(batch.column(c)) for c in ("tfs", "counts", "docs", "ids", "asks"))
+        tfs, counts, docs = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (tfs, counts, docs))
+        missing, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        asker, least = (asks.field(c).to_numpy(zero_copy_only=False) for c in ("q", "least"))
+        heads = batch.column("term").is_null().to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (m[1:] != m[:-1]) | (slice_[1:] != slice_[:-1])]))
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(m)], strict=True):
+            key = (chunk[a], m[a], slice_[a])
+            if key != now:
+                if parts:
+                    block(int(now[1]), parts)
+                now, parts = key, []
+            if heads[a]:
+                own, of = slice(id_at[a], id_at[a + 1]), slice(ask_at[a], ask_at[a + 1])
+                order = np.argsort(asker[of])
+                parts.append((ids[own], missing[own], asker[of][order], least[of][order]))
+                a += 1
+            if a < b:
+                t, d, q = slice(tf_at[a], tf_at[b]), slice(doc_at[a], doc_at[b]), slice(ask_at[a], ask_at[b])
+                parts.append((tfs[t], counts[t], docs[d], asker[q], least[q], *(np.diff(x[a : b + 1]) for x in (tf_at, doc_at, ask_at))))
+    if parts:
+        block(int(now[1]), parts)
     for q, (scores, ids, missing) in best.items():
-        if len(scores):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(scores), q)), pa.array(ids, mask=missing), pa.array(scores)], names=["q", "doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(scores), q)), pa.array(ids, mask=missing), pa.array(scores)], names=["q", "doc_id", "score"])

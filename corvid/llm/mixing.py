@@ -18,14 +18,14 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize, numbered
+from .common import counted, materialize, numbered
 
 #: While more quotients than this could be the last to get a block, the search for the least one goes on.
 FEW = 10_000
 
 
-def word_count(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+def word_count(text: bytes) -> int:
+    return len(text.split())
 
 
 def fill(sources: DataFrame, share: float, most: int) -> tuple[float, int]:
@@ -189,8 +189,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0,
     """
     if not 0 <= share <= most or shard % block:
         raise ValueError("share goes from 0 to most, and a shard is a whole number of blocks")
-    counted = word_count() if size is None else F.coalesce(size.cast("long"), F.lit(0))
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), counted.alias("size")), "sizes")
+    names = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string")}
+    if size is None:
+        sized = counted(docs, word_count, **names).withColumnRenamed("n", "size")
+    else:
+        sized = docs.select(*[c.alias(name) for name, c in names.items()], F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
+    sized = materialize(sized, "sizes")
     sources = _sources(sized, weights, share, most, block, shard)
 
     def run(batches) -> Iterator:
