@@ -135,6 +135,9 @@ def links(fps: DataFrame, radius: int = 4, passes: int = 4, part_keys: int = 1 <
         raise ValueError("the balls are laid out for a radius of 4")
     spark, n = fps.sparkSession, fps.count()
     bits = max(least_bits, (n * 2081 // part_keys).bit_length())
+    # As many fingerprints at a time as there are parts, so that a row holds some 2,000 however many parts there are, and
+    # looking at each part costs a constant for each fingerprint.
+    chunk = max(1024, 1 << bits)
 
     def deal(slice_: int):
         def run(batches) -> Iterator:
@@ -142,15 +145,30 @@ def links(fps: DataFrame, radius: int = 4, passes: int = 4, part_keys: int = 1 <
             import pyarrow as pa
 
             _, begin = _flips(bits)
-            some, columns = begin[1:] > begin[:-1], _columns(bits)
+            offsets, columns = np.flatnonzero(begin[1:] > begin[:-1]), _columns(bits)
             parts = np.arange(slice_, 1 << bits, passes)
+
+            def packed(fp):
+                """A row a part: of fingerprints in the order of their own parts, those an offset away from it."""
+                own = _part(fp, columns)
+                order = np.argsort(own, kind="stable")
+                fp, at = fp[order], np.searchsorted(own[order], np.arange((1 << bits) + 1))
+                for lo in range(0, len(parts), 512):
+                    rows = []
+                    for p in parts[lo : lo + 512].tolist():
+                        first, end = at[offsets ^ p], at[(offsets ^ p) + 1]
+                        size = end - first
+                        rows.append(fp[np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))].tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array(parts[lo : lo + 512]), pa.array(rows, pa.binary())], names=["part", "fps"])
+
+            held = np.empty(0, np.int64)
             for batch in batches:
-                whole = batch.column("fp").to_numpy(zero_copy_only=False)
-                for lo in range(0, len(whole), 1024):  # short rows, as Spark hands them on by the thousand
-                    fp = whole[lo : lo + 1024]
-                    own = _part(fp, columns)
-                    packed = [fp[some[own ^ p]].tobytes() for p in parts.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(packed, pa.binary())], names=["part", "fps"])
+                held = np.concatenate([held, batch.column("fp").to_numpy(zero_copy_only=False)])
+                for _ in range(len(held) // chunk):
+                    yield from packed(held[:chunk])
+                    held = held[chunk:]
+            if len(held):
+                yield from packed(held)
 
         return run
 
@@ -175,9 +193,10 @@ def links(fps: DataFrame, radius: int = 4, passes: int = 4, part_keys: int = 1 <
         if held:
             yield flush()
 
+    dealers = fps.coalesce(max(1, n // chunk)) if n > chunk else fps
     out = None
     for slice_ in range(passes):
-        dealt = fps.mapInArrow(deal(slice_), "part long, fps binary").where("length(fps) > 0")
+        dealt = dealers.mapInArrow(deal(slice_), "part long, fps binary").where("length(fps) > 0")
         met = materialize(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "src long, dst long").distinct(), "balls")
         out = met if out is None else out.unionByName(met)
     return out.distinct()
