@@ -68,7 +68,7 @@ def _half_keys(joined: bytes, ends: list[int], n: int, least: int) -> list[int]:
 
 def keyed_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """LINE rows of all lines that have a word. ``known``: an equal line stands before it in the same batch; such rows
-    get a key of their own, so that a very common line doesn't gather in one task."""
+    get a key of their own, so that a very common line doesn't gather in one task, and have the line's key at h1."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -80,7 +80,7 @@ def keyed_lines(docs: DataFrame, min_words: int) -> DataFrame:
                 continue
             order = np.argsort(np.array([-(1 << 63) if d is None else d for d in batch.column(0).to_pylist()], np.int64), kind="stable").tolist()
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            seen: set[bytes] = set()
+            seen: dict[bytes, tuple] = {}
             keys, rows = [], []
             for i in order:
                 for number, line in enumerate((texts[i].as_py() or "").encode("utf-8", "replace").split(b"\n")):
@@ -89,11 +89,14 @@ def keyed_lines(docs: DataFrame, min_words: int) -> DataFrame:
                         continue
                     joined, n = b" ".join(words), len(words)
                     key = xxhash.xxh3_128_digest(joined)
-                    if key in seen:
-                        rows.append((ids[i], number, True, 0, 0, 0, 0))
-                        keys.append(xxhash.xxh3_128_digest(b"%r %d" % (ids[i], number)))
+                    place = (-(1 << 63) if ids[i] is None else ids[i], number)
+                    if seen.get(key) == place and ids[i] is not None:
+                        continue  # the same line of a repeated row
+                    if key in seen and seen[key] <= place:
+                        rows.append((ids[i], number, True, int.from_bytes(key[:8], "little"), 0, 0, 0))
+                        keys.append(xxhash.xxh3_128_digest(b"%r %d " % (ids[i], number) + key))
                         continue
-                    seen.add(key)
+                    seen[key] = place
                     halves = [0] * 4
                     if n >= min_words - 1:
                         ends = (np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1).tolist()
@@ -109,7 +112,8 @@ def keyed_lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def exact(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """(doc_id, line, first, h1..h4) of all lines: ``first`` marks the earliest of equal ones, by doc_id (null first), then line."""
+    """(doc_id, line, k, first, h1..h4) of all lines, k being a hash of its words: ``first`` marks the earliest of equal ones,
+    by doc_id (null first), then line. Equal lines at the same number of rows that repeat a doc_id are one line."""
 
     def run(batches) -> Iterator:
         import numpy as np
@@ -118,40 +122,68 @@ def exact(docs: DataFrame, min_words: int = 5) -> DataFrame:
         names = [c.split()[0] for c in LINE.split(", ")]
         last = None
         for batch in batches:
-            k1, k2, known = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 4))
-            if not len(k1):
+            if not batch.num_rows:
                 continue
-            new = np.concatenate([[last is None or (k1[0], k2[0]) != last], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
-            last = (k1[-1], k2[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(new & ~known), *[batch.column(i) for i in range(5, 9)]], names=["doc_id", "line", "first", *names[5:]])
+            k1, k2, known, h1 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 4, 5))
+            doc, line = np.array(batch.column(2).fill_null(-(1 << 63))), np.array(batch.column(3)).astype(np.int64)
+            rows = np.stack([k1, k2, doc, line], axis=1)
+            before = np.concatenate([rows[:1] if last is None else last, rows[:-1]])
+            same = (rows[:, :2] == before[:, :2]).all(axis=1)
+            again = same & (rows[:, 2:] == before[:, 2:]).all(axis=1) & np.array(batch.column(2).is_valid())
+            if last is None:
+                same[0] = again[0] = False
+            last = rows[-1:]
+            out = [batch.column(2), batch.column(3), pa.array(np.where(known, h1, k1)), pa.array(~same & ~known), pa.array(np.where(known, 0, h1)), *(batch.column(i) for i in range(6, 9))]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "line", "k", "first", *names[5:]]).filter(pa.array(~again))
 
     rows = keyed_lines(docs, min_words).repartition("k1", "k2").sortWithinPartitions("k1", "k2", "doc_id", "line")
-    return materialize(rows.mapInArrow(run, "doc_id long, line int, first boolean, h1 long, h2 long, h3 long, h4 long"), "lines")
+    return materialize(rows.mapInArrow(run, "doc_id long, line int, k long, first boolean, h1 long, h2 long, h3 long, h4 long"), "lines")
 
 
 def _sharing(lines: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
-    """(doc_id, line) of the first lines that share a half key with another."""
-    keys = lines.where("first and doc_id is not null").select("doc_id", "line", F.explode(F.array("h1", "h2", "h3", "h4")).alias("h")).where("h <> 0")
+    """(doc_id, line, k) of the first lines that share a half key with another."""
+    keys = lines.where("first and doc_id is not null").select("doc_id", "line", "k", F.explode(F.array("h1", "h2", "h3", "h4")).alias("h")).where("h <> 0")
 
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for h, doc, line in _runs(batches, ("h", "doc_id", "line"), lambda now: [0], run_rows):
+        for h, doc, line, k in _runs(batches, ("h", "doc_id", "line", "k"), lambda now: [0], run_rows):
             same = np.concatenate([[False], h[1:] == h[:-1]])
             at = np.flatnonzero(same | np.append(same[1:], False))
-            pairs = np.unique(np.stack([doc[at], line[at].astype(np.int64)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].astype(np.int32))], names=["doc_id", "line"])
+            rows = np.unique(np.stack([doc[at], line[at].astype(np.int64), k[at]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2].copy())], names=["doc_id", "line", "k"])
+
+    return keys.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc_id long, line int, k long").distinct()
+
+
+def _key(line: bytes) -> int | None:
+    """The hash of a line's words, as ``exact`` has it; None for a line without words."""
+    import xxhash
 
-    return keys.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc_id long, line int").distinct()
+    words = line.split()
+    return int.from_bytes(xxhash.xxh3_128_digest(b" ".join(words))[:8], "little", signed=True) if words else None
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, line, text) of the ``wanted`` lines."""
-    by_doc = wanted.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))  # as many as a document's lines
+    """(doc_id, line, k, text) of the ``wanted`` lines."""
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "k")).alias("lines"))  # as many as a document's lines
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    split = text.join(by_doc, "doc_id").select("doc_id", "lines", F.split("text", "\n", -1).alias("all"))
-    return split.select("doc_id", F.explode("lines").alias("line"), "all").select("doc_id", "line", F.get("all", F.col("line")).alias("text")).where("text is not null").dropDuplicates(["doc_id", "line"])
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for doc, wanted, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lines", "text")), strict=True):
+                lines = (text or "").encode("utf-8", "replace").split(b"\n")
+                for w in wanted:
+                    if w["line"] < len(lines) and _key(lines[w["line"]]) == w["k"]:
+                        out.append((doc, w["line"], w["k"], lines[w["line"]].decode()))
+            columns = zip(*out, strict=True) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "line", "k", "text"])
+
+    return text.join(by_doc, "doc_id").mapInArrow(run, "doc_id long, line int, k long, text string").dropDuplicates(["doc_id", "line", "k"])
 
 
 def _neighbourhood(lines: DataFrame, min_words: int) -> DataFrame:
@@ -254,11 +286,12 @@ def within_one(a: list, b: list) -> bool:
 
 
 def near(docs: DataFrame, lines: DataFrame, min_words: int = 5) -> DataFrame:
-    """(doc_id, line) of first lines that an earlier line is near."""
+    """(doc_id, line, k) of first lines that an earlier line is near."""
     texts = materialize(_texts(docs, _sharing(lines)), "line-texts")
     met = _candidates(_neighbourhood(texts, min_words))
     other = texts.select(F.col("doc_id").alias("doc_0"), F.col("line").alias("line_0"), F.col("text").alias("text_0"))
-    both = met.join(texts, ["doc_id", "line"]).join(other, ["doc_0", "line_0"]).select("doc_id", "line", "text", "text_0")
+    apart = met.where("doc_id <> doc_0 or line <> line_0")  # else lines of rows that repeat a doc_id, neither of which is earlier
+    both = apart.join(texts, ["doc_id", "line"]).join(other, ["doc_0", "line_0"]).select("doc_id", "line", "k", "text", "text_0")
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -266,21 +299,22 @@ def near(docs: DataFrame, lines: DataFrame, min_words: int = 5) -> DataFrame:
         for batch in batches:
             split = [[(x or "").encode("utf-8", "replace").split() for x in batch.column(c).to_pylist()] for c in ("text", "text_0")]
             good = [within_one(a, b) and max(len(a), len(b)) >= min_words for a, b in zip(*split, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("line")], names=["doc_id", "line"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["doc_id", "line", "k"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "doc_id long, line int").distinct()
+    return both.mapInArrow(run, "doc_id long, line int, k long").distinct()
 
 
 def dropped_lines(docs: DataFrame, min_words: int = 5) -> tuple[DataFrame, DataFrame]:
-    """All lines (doc_id, line, first), and those to drop (doc_id, line, near).
+    """All lines (doc_id, line, k, first), and those to drop (doc_id, line, k, near); k is a hash of the line's words.
 
     Lines without a word are no lines here and stay. An earlier line is one of a smaller doc_id, or of a smaller line
     number in the same document; a null doc_id comes first, and its lines are matched by equality alone. Rows that
-    repeat a doc_id count as one document whose equal lines at equal numbers can't be told apart.
+    repeat a doc_id are one document: their equal lines at the same number are one line, which all of them keep or lose;
+    unequal ones at the same number are not held against each other, as neither is earlier.
     """
     lines = exact(docs, min_words)
     close = near(docs, lines, min_words).withColumn("near", F.lit(True))
-    return lines, lines.where(~F.col("first")).select("doc_id", "line", F.lit(False).alias("near")).unionByName(close)
+    return lines, lines.where(~F.col("first")).select("doc_id", "line", "k", F.lit(False).alias("near")).unionByName(close)
 
 
 def report(docs: DataFrame, min_words: int = 5) -> DataFrame:
@@ -288,7 +322,7 @@ def report(docs: DataFrame, min_words: int = 5) -> DataFrame:
     numbers of the dropped lines, from 0. Every different doc_id has a row."""
     lines, gone = dropped_lines(docs, min_words)
     count = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-    lost = gone.groupBy("doc_id").agg(F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near"), F.array_sort(F.collect_list("line")).alias("dropped"))
+    lost = gone.groupBy("doc_id").agg(F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near"), F.array_sort(F.collect_set("line")).alias("dropped"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     count, lost = count.withColumnRenamed("doc_id", "d"), lost.withColumnRenamed("doc_id", "e")
     out = ids.join(count, ids.doc_id.eqNullSafe(count.d), "left").join(lost, ids.doc_id.eqNullSafe(lost.e), "left")
@@ -296,9 +330,26 @@ def report(docs: DataFrame, min_words: int = 5) -> DataFrame:
 
 
 def remove(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """``docs`` without the dropped lines; texts that lose none stay as they are."""
+    """``docs`` without the dropped lines; texts that lose none stay as they are. Rows without doc_id keep their lines."""
     _, gone = dropped_lines(docs, min_words)
-    lost = gone.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))
-    split = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains(F.col("__gone"), i), x)), lambda x: x.isNotNull()), "\n")
-    return docs.join(lost, "doc_id", "left").withColumn("text", F.when(F.col("__gone").isNotNull() & F.col("text").isNotNull(), kept).otherwise(F.col("text"))).select(*docs.columns)
+    lost = gone.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("line", "k")).alias("__gone")).withColumnRenamed("doc_id", "__id")
+    at = docs.columns.index("text")
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = []
+            for text, gone in zip(batch.column(at).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+                if gone and text is not None:
+                    lines, drop = text.split("\n"), {(g["line"], g["k"]) for g in gone}
+                    numbers = {n for n, _ in drop}
+                    text = "\n".join(x for n, x in enumerate(lines) if n not in numbers or (n, _key(x.encode("utf-8", "replace"))) not in drop)
+                texts.append(text)
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    joined = rows.join(lost, F.col("doc_id").cast("long") == F.col("__id"), "left").select(*rows.columns, "__gone")
+    return joined.mapInArrow(run, rows.schema)

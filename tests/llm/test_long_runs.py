@@ -30,6 +30,6 @@ def test_lines_of_a_split_bucket(spark, small_batches):
 
 
 def test_lines_that_share_a_half_in_a_split_run(spark, small_batches):
-    found = spark.createDataFrame([(i, 0, True, 7, 0, 0, 0) for i in range(43)], "doc_id long, line int, first boolean, h1 long, h2 long, h3 long, h4 long").coalesce(1)
+    found = spark.createDataFrame([(i, 0, i, True, 7, 0, 0, 0) for i in range(43)], "doc_id long, line int, k long, first boolean, h1 long, h2 long, h3 long, h4 long").coalesce(1)
     for n in (1_000_000, 20, 6):
         assert {r.doc_id for r in lines._sharing(found, n).collect()} == set(range(43))

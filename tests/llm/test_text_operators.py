@@ -119,6 +119,43 @@ def test_line_dedup_of_odd_rows(odd, empty):
     assert out.count() == odd.count() and out.columns == odd.columns
 
 
+def test_line_dedup_of_repeated_rows_matches_all_pairs(spark, both):
+    """Equal rows keep their lines; of rows with one doc_id and other texts each line is judged by its own words."""
+    docs = both.where("coalesce(length(text), 0) < 20000").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(docs.where("doc_id % 5 = 0").selectExpr("doc_id", "concat('a line put before\n', text, ' x') as text"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "no id at all here\nby any means"), (None, None), (7, "one two three four five\none two three four six"), (7, "one two three four seven")], "doc_id long, text string")).repartition(5)
+    places = sorted({(r.doc_id, i, tuple(x.encode().split())) for r in docs.collect() if r.doc_id is not None for i, x in enumerate((r.text or "").split("\n")) if x.split()})
+    no_id = {tuple(x.encode().split()) for r in docs.collect() if r.doc_id is None for x in (r.text or "").split("\n")}
+    first = {}
+    for d, i, w in places:
+        if w not in no_id:
+            first.setdefault(w, (d, i))
+    gone = {(d, i, w) for d, i, w in places if first.get(w) != (d, i)}
+    by_size = defaultdict(list)
+    for w, place in sorted(first.items(), key=lambda x: x[1]):
+        if any(first[x] < place and lines.within_one(list(w), list(x)) for n in (len(w) - 1, len(w), len(w) + 1) if max(n, len(w)) >= 5 for x in by_size[n]):
+            gone.add((*place, w))
+        by_size[len(w)].append(w)
+    want = Counter((r.doc_id, None if r.text is None else "\n".join(x for i, x in enumerate(r.text.split("\n")) if (r.doc_id, i, tuple(x.encode().split())) not in gone)) for r in docs.collect())
+    got = Counter((r.doc_id, r.text) for r in lines.remove(docs).collect())
+    assert got == want and len(gone) > 20
+    twice = spark.createDataFrame([(5, "one line of six whole words\nsecond line")] * 2, "doc_id long, text string")
+    assert [r.text for r in lines.remove(twice).collect()] == ["one line of six whole words\nsecond line"] * 2
+    assert [(r.n_lines, r.n_equal, r.dropped) for r in lines.report(twice).collect()] == [(2, 0, "")]
+
+
+def test_line_removal_is_linear_in_a_documents_lines(spark):
+    import time
+
+    took = []
+    for n in (20_000, 20_000, 80_000):
+        docs = spark.createDataFrame([(1, "the same line\n" * n + "end")], "doc_id long, text string")
+        began = time.time()
+        assert lines.remove(docs).first().text == "the same line\nend"
+        took.append(time.time() - began)
+    assert took[2] < 3 * took[1] + 5
+
+
 def test_within_one():
     assert lines.within_one([], ["a"]) and lines.within_one(list("abc"), list("abd")) and lines.within_one(list("abc"), list("bc"))
     assert not lines.within_one(list("abc"), list("bca")) and not lines.within_one([], ["a", "b"]) and not lines.within_one(list("abc"), list("xbd"))
@@ -257,7 +294,7 @@ def test_simhash_matches_all_pairs(both, odd):
         assert int(r["fingerprint"], 16) == prints[r["doc_id"]] and r["component_id"] == want[r["doc_id"]]
 
 
-@pytest.mark.parametrize("how", [{}, {"least_bits": 3, "part_keys": 1 << 12, "passes": 3}, {"least_bits": 12, "passes": 1}])
+@pytest.mark.parametrize("how", [{}, {"least_bits": 3, "part_keys": 1 << 12, "passes": 3}, {"least_bits": 12, "passes": 1}, {"least_bits": 15, "passes": 2}])
 def test_simhash_links_in_dense_buckets(spark, how):
     rng = np.random.default_rng(2)
     centres = rng.integers(0, 2**63, 12, dtype=np.uint64)
