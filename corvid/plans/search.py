@@ -7,6 +7,7 @@ from corvid.functions import text as T
 from corvid.operators import analysis as N
 from corvid.operators import chunks as K
 from corvid.operators import conversations as C
+from corvid.operators import index as I
 from corvid.operators import models as M
 from corvid.operators import projection as P
 from corvid.operators import search as Q
@@ -438,3 +439,46 @@ def _(t):
     new = one.where("id % 11 = 4").withColumns({"id": c("id") + 1_000_000, "path": F.concat(F.lit("notes/"), (c("id") + 1_000_000).cast("string"), F.lit(".md"))})
     P.incremental(one, two.unionByName(new), root, "one", "two")
     return projected(t, root)
+
+
+_FIELDED = "SELECT doc_id, text || ' ' || source || ' ' || lang AS text FROM documents"
+_NAMED = "SELECT item_id AS query_id, text || ' src' || item_id % 20 AS text FROM benchmark"
+_TEN = _TOP.replace("r <= 80", "r <= 10")
+
+
+def _named(t):
+    """Each benchmark passage with the name of a source, which stands in the provider field alone."""
+    return t("benchmark").select(c("item_id").alias("query_id"), F.concat("text", F.lit(" src"), (c("item_id") % 20).cast("string")).alias("text"))
+
+
+@query("l01_fielded_index_top", f"WITH {_bm25(_FIELDED, _NAMED, 'doc_id', False)} {_TEN}")
+def _(t):
+    index = I.KeywordIndex(t.spark, R.shared_folder(t.spark, "index"), "doc_id", ["text", "provider", "project"], block_docs=1024)
+    index.upsert(t("documents").select("doc_id", "text", c("source").alias("provider"), c("lang").alias("project")))
+    return index.search(_named(t), 10, every_term=False)
+
+
+_REVISED = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' revised' ELSE text END || ' ' || source AS text FROM documents WHERE doc_id % 11 <> 0"
+
+
+def _revised(t, compacted):
+    """Three commits: documents but every seventh; those, and every fifth revised; every eleventh deleted."""
+    docs = t("documents").select("doc_id", "text", c("source").alias("provider"))
+    index = I.KeywordIndex(t.spark, R.shared_folder(t.spark, "index"), "doc_id", ["text", "provider"], block_docs=1024)
+    index.upsert(docs.where("doc_id % 7 <> 0"))
+    revised = docs.withColumn("text", F.when(c("doc_id") % 5 == 0, F.concat("text", F.lit(" revised"))).otherwise(c("text")))
+    index.upsert(revised.where("doc_id % 7 = 0 or doc_id % 5 = 0"))
+    index.upsert(docs.limit(0), deleted=docs.where("doc_id % 11 = 0").select("doc_id"))
+    if compacted:
+        index.compact()
+    return index
+
+
+@query("j18_segment_search", f"WITH {_bm25(_REVISED, _NAMED, 'doc_id', False)} {_TEN}")
+def _(t):
+    return _revised(t, False).search(_named(t), 10, every_term=False)
+
+
+@query("j18_compacted_search", f"WITH {_bm25(_REVISED, _NAMED, 'doc_id', False)} {_TEN}")
+def _(t):
+    return _revised(t, True).search(_named(t), 10, every_term=False)
