@@ -236,21 +236,56 @@ def pdf_literals(content: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.regexp_replace(x, r"\\([()\\])", "$1")), " ")
 
 
-def message_text(content: Column, depth: int = 3) -> Column:
-    """Text of a VARIANT message: a string, a part, or parts joined by blank lines; parts of tools and of thinking have none."""
+#: Kinds of message parts that have no text, and those whose text is in their text field alone.
+SILENT_PARTS = ("thinking", "tool_use", "tool_result", "toolCall", "toolResult", "tool_call", "tool_calls", "execution_output", "computer_call")
+TEXT_PARTS = ("text", "output_text", "input_text")
+#: So many levels of parts are read by built-in functions.
+LEVELS = 3
+
+
+def _deep_text(value) -> str:
+    """Text of parsed message content at any depth."""
+    if isinstance(value, list):
+        return "\n\n".join(x for x in [_deep_text(v) if isinstance(v, (str, dict)) else "" for v in value] if x)
+    if not isinstance(value, dict):
+        return value if isinstance(value, str) else ""
+    kind, text, content, parts = (value.get(k) for k in ("type", "text", "content", "parts"))
+    if kind in SILENT_PARTS:
+        return ""
+    if kind in TEXT_PARTS:
+        return text if isinstance(text, str) else ""
+    found = next((x for x in (text, content) if isinstance(x, str)), None)
+    return found if found is not None else _deep_text(next((x for x in (parts, content) if isinstance(x, list)), None))
+
+
+def _deep_texts(raw: pd.Series) -> pd.Series:
+    import json
+    import sys
+
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
+    return raw.map(lambda x: None if x is None else _deep_text(json.loads(x)))
+
+
+def message_text(content: Column) -> Column:
+    """Text of a VARIANT message: a string, a part, or parts joined by blank lines, to any depth; parts of tools and of
+    thinking have none. Content that may nest further than ``LEVELS``, by the number of lists of parts in it, is parsed in
+    Arrow batches; all other stays with built-in functions."""
     got = lambda v, p, t: F.try_variant_get(v, p, t)
-    skipped = ("thinking", "tool_use", "tool_result", "toolCall", "toolResult", "tool_call", "tool_calls", "execution_output", "computer_call")
 
     def part(v: Column, d: int) -> Column:
         kind = F.coalesce(got(v, "$.type", "string"), F.lit(""))
         inner = [many(got(v, p, "array<variant>"), d - 1) for p in ("$.parts", "$.content")] if d > 1 else []
-        whole = F.coalesce(*[F.when(F.schema_of_variant(got(v, p, "variant")) == "STRING", got(v, p, "string")) for p in ("$.text", "$.content")], *inner, F.lit(""))
-        return F.when(F.schema_of_variant(v) == "STRING", v.cast("string")).when(kind.isin(*skipped), "").when(kind.isin("text", "output_text", "input_text"), F.coalesce(got(v, "$.text", "string"), F.lit(""))).otherwise(whole)
+        text, content = (F.when(F.schema_of_variant(got(v, p, "variant")) == "STRING", got(v, p, "string")) for p in ("$.text", "$.content"))
+        whole = F.coalesce(text, content, *inner, F.lit(""))
+        return F.when(F.schema_of_variant(v) == "STRING", v.cast("string")).when(kind.isin(*SILENT_PARTS), "").when(kind.isin(*TEXT_PARTS), F.coalesce(text, F.lit(""))).otherwise(whole)
 
     def many(parts: Column, d: int) -> Column:
         return F.array_join(F.filter(F.transform(parts, lambda x: part(x, d)), lambda x: x != ""), "\n\n")
 
-    return F.coalesce(F.when(F.schema_of_variant(content).startswith("ARRAY"), many(got(content, "$", "array<variant>"), depth)).otherwise(part(content, depth)), F.lit(""))
+    flat = F.coalesce(F.when(F.schema_of_variant(content).startswith("ARRAY"), many(got(content, "$", "array<variant>"), LEVELS)).otherwise(part(content, LEVELS)), F.lit(""))
+    raw = F.to_json(content)
+    lists = sum(((F.length(raw) - F.length(F.replace(raw, F.lit(k)))) / len(k) for k in ('"parts":[', '"content":[')), F.lit(0))
+    return F.coalesce(F.pandas_udf(_deep_texts, "string")(F.when(lists >= LEVELS, raw)), flat)
 
 
 #: Words that a name follows in code, and the kind of symbol each defines.
@@ -258,20 +293,49 @@ DEFINITIONS = {"function": "function", "class": "class", "const": "variable", "l
 _DEFINITION = r"\b(function|class|const|let|var|interface|type)\s+([A-Za-z_$][A-Za-z0-9_$]*)"
 
 
+#: Words before a bracket that call nothing.
+NO_CALLS = ("if", "for", "while", "switch", "catch", "function")
+
+
+def _found_symbols(code: str) -> list[dict]:
+    import re
+
+    found = re.finditer(_DEFINITION, code, re.ASCII)
+    return [{"name": m[2], "kind": DEFINITIONS[m[1]], "start_off": m.start(), "end_off": m.end()} for m in found]
+
+
+def _found_edges(code: str) -> list[dict]:
+    """One pass for the definitions, one for the calls and one for the words, whatever their number."""
+    import re
+    from collections import Counter
+
+    symbols = _found_symbols(code)
+    last = {s["name"]: s for s in symbols}  # a call goes to the last definition of its name
+    edges = [{"kind": "calls", "name": m[1], "symbol": last[m[1]]["start_off"], "at": m.start()} for m in re.finditer(r"\b([A-Za-z_$][A-Za-z0-9_$]*)\s*\(", code, re.ASCII) if m[1] not in NO_CALLS and m[1] in last]
+    words = Counter(re.findall(r"\w+", code, re.ASCII))
+    for name in last:
+        if "$" in name:  # not a word of its own
+            words[name] = len(re.findall(rf"\b{re.escape(name)}\b", code, re.ASCII))
+    return edges + [{"kind": "reference", "name": s["name"], "symbol": s["start_off"], "at": None} for s in symbols if words[s["name"]] > 1]
+
+
+def _symbols(code: pd.Series) -> pd.Series:
+    return code.map(lambda x: None if x is None else _found_symbols(x))
+
+
+def _edges(code: pd.Series) -> pd.Series:
+    return code.map(lambda x: None if x is None else _found_edges(x))
+
+
 def code_symbols(code: Column) -> Column:
     """Array of (name, kind, start_off, end_off) of what ``code`` defines, in order; offsets count code points."""
-    found = F.regexp_extract_all(code, F.lit(_DEFINITION), F.lit(0))
-    before = F.transform(F.slice(F.split(code, _DEFINITION, -1), 1, F.size(found)), F.length)
-    sizes = F.transform(found, F.length)
-    part = lambda x, n: F.regexp_extract(x, _DEFINITION, n)
-    kinds = F.create_map(*[F.lit(x) for pair in DEFINITIONS.items() for x in pair])
-
-    def symbol(x: Column, i: Column) -> Column:
-        up_to = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda p, q: p + q)
-        start = up_to(before, i + 1) + up_to(sizes, i)
-        return F.struct(part(x, 2).alias("name"), F.element_at(kinds, part(x, 1)).alias("kind"), start.alias("start_off"), (start + F.length(x)).alias("end_off"))
-
-    return F.transform(found, symbol)
+    return F.pandas_udf(_symbols, "array<struct<name: string, kind: string, start_off: int, end_off: int>>")(code)
+
+
+def code_edges(code: Column) -> Column:
+    """Array of (kind, name, symbol, at): calls of what ``code`` defines, with the offset of the last definition of the name
+    and of the call; and a reference for each definition whose name stands in the code more than once."""
+    return F.pandas_udf(_edges, "array<struct<kind: string, name: string, symbol: int, at: int>>")(code)
 
 
 def workspace(path: Column) -> Column:

@@ -331,3 +331,49 @@ def answer(hits: DataFrame) -> DataFrame:
     """(query_id, answer): verified texts of ranked hits, best first, a blank line between."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "verified_text"))), lambda x: x["verified_text"])
     return hits.where("status = 'verified'").groupBy("query_id").agg(F.array_join(texts, "\n\n").alias("answer"))
+
+
+def contained(texts: DataFrame, patterns: DataFrame, key: str, text: str = "text", chunk: int = 20_000) -> DataFrame:
+    """(key, pattern): which of ``patterns(pattern)`` stand anywhere in each of ``texts``, within words as well.
+
+    Patterns are dealt into sets of about ``chunk``; an automaton of a set finds all of them in one pass over a text.
+    Null and empty patterns are in no text, null texts hold none. Repeated rows of a key repeat its rows.
+    """
+    words = patterns.select("pattern").where("pattern <> ''").distinct()
+    n, size = words.agg(F.count("*"), F.sum(F.octet_length("pattern"))).first()
+    sets = words.groupBy(F.pmod(F.xxhash64("pattern"), F.lit(max(1, -(-n // chunk)))).alias("__set")).agg(F.collect_list("pattern").alias("__patterns"))
+    rows = texts.where(F.col(text).isNotNull()).select(key, F.col(text).alias("__text"))
+    rows = rows.crossJoin(F.broadcast(sets) if (size or 0) <= 16 << 20 else sets)
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches) -> Iterator:
+        import ahocorasick
+        import pyarrow as pa
+
+        machines: dict[int, object] = {}
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                at, found = [], []
+                for i, (number, text) in enumerate(zip(batch.column("__set").to_pylist(), batch.column("__text").to_pylist(), strict=True)):
+                    if number not in machines:
+                        machines.clear()
+                        machine = machines[number] = ahocorasick.Automaton()
+                        for p in batch.column("__patterns")[i].as_py():
+                            machine.add_word(p, p)
+                        machine.make_automaton()
+                    here = {p for _, p in machines[number].iter(text)}
+                    at += [i] * len(here)
+                    found += here
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], names=[key, "pattern"])
+
+    return rows.mapInArrow(run, f"{key} {kind}, pattern string")
+
+
+def recall(queries: DataFrame, memories: DataFrame, k: int, key: str, text: str = "text") -> DataFrame:
+    """(query_id, key, score): the ``k`` texts that hold most of a query's blank-separated terms, repeats included, in
+    either case and within words; ties go to the lower key."""
+    terms = F.filter(F.split(F.lower("text"), r"\s+", -1), lambda x: x != "")
+    asked = queries.select("query_id", F.explode(terms).alias("pattern")).groupBy("query_id", "pattern").agg(F.count("*").alias("times"))
+    hits = contained(memories.select(key, F.lower(text).alias("__lower")), asked, key, "__lower").join(small(asked), "pattern")
+    return ranked(hits.groupBy("query_id", key).agg(F.sum("times").alias("score")), k, key)

@@ -46,6 +46,16 @@ def _(t):
     return t("conversations").select("conv_id", "turn", T.message_text(F.parse_json(raw)).alias("text"))
 
 
+@query("f04_deep_message_text", "SELECT conv_id, turn, text || chr(10) || chr(10) || 'level ' || (turn % 7) AS text FROM conversations")
+def _(t):
+    """Parts within parts, up to eight levels down, beside a part of a tool."""
+    depth = (c("turn") % 7).cast("int")
+    leaf = F.to_json(F.struct(F.concat(F.lit("level "), depth.cast("string")).alias("text")))
+    raw = F.concat(F.repeat(F.lit('{"content":['), depth + 1), leaf, F.repeat(F.lit(',{"type":"thinking","text":"no"}]}'), depth + 1))
+    whole = F.concat(F.lit("["), F.to_json(F.struct(c("text"))), F.lit(","), raw, F.lit("]"))
+    return t("conversations").select("conv_id", "turn", T.message_text(F.parse_json(whole)).alias("text"))
+
+
 @query("f05_strip_synthetic", "SELECT conv_id, turn, trim(text, ' ' || chr(10)) || chr(10) || chr(10) || 'end' AS text FROM conversations")
 def _(t):
     raw = F.concat(F.lit("<System-Reminder a='1'>x\r\ny</system-reminder>"), c("text"), F.lit("\n\n\n\n<command-args></command-args><b> </b>end\n[PLAN MODE ACTIVE] on"))

@@ -170,6 +170,24 @@ def _(t):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(c("s.kind") == "variable").alias("variables"), F.sum(c("s.end_off") - c("s.start_off")).cast("long").alias("characters"), exact.alias("exact"))
 
 
+_CALLS = "replace(replace(text, '. ', '; function '), ', ', '(); ')"
+
+
+@query("f42_code_edges", rf"""WITH d AS (SELECT doc_id, {_CALLS} AS code FROM documents),
+s AS (SELECT doc_id, unnest(regexp_extract_all(code, '\b(?:function|class|const|let|var|interface|type)\s+([A-Za-z_$][A-Za-z0-9_$]*)', 1)) AS name FROM d),
+k AS (SELECT doc_id, unnest(regexp_extract_all(code, '\b([A-Za-z_$][A-Za-z0-9_$]*)\s*\(', 1)) AS name FROM d),
+w AS (SELECT doc_id, name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(code, '[A-Za-z0-9_]+')) AS name FROM d) GROUP BY ALL),
+calls AS (SELECT doc_id, count(*) AS calls FROM k WHERE name NOT IN ('if', 'for', 'while', 'switch', 'catch', 'function') AND (doc_id, name) IN (SELECT (doc_id, name) FROM s) GROUP BY 1),
+refs AS (SELECT doc_id, count(*) AS refs FROM s JOIN w USING (doc_id, name) WHERE w.n > 1 GROUP BY 1)
+SELECT doc_id, coalesce(calls, 0) AS calls, coalesce(refs, 0) AS refs FROM d LEFT JOIN calls USING (doc_id) LEFT JOIN refs USING (doc_id)""")
+def _(t):
+    """Calls and references in texts made to look like code."""
+    code = F.replace(F.replace("text", F.lit(". "), F.lit("; function ")), F.lit(", "), F.lit("(); "))
+    kinds = t("documents").select("doc_id", F.coalesce(T.code_edges(code), F.array()).alias("e")).select("doc_id", F.col("e.kind").alias("k"))
+    n = lambda kind: F.size(F.filter("k", lambda x: x == kind)).cast("long")
+    return kinds.select("doc_id", n("calls").alias("calls"), n("reference").alias("refs"))
+
+
 @query("s24_binary_pages", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'unknown' ELSE 'gz' END AS format, '# ' || name || chr(10) || chr(10) || 'Binary source retained externally.' || chr(10) || chr(10) || '- Format: ' || CASE page_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'unknown' ELSE 'gz' END || chr(10) || '- Bytes: ' || octet_length(encode(html)) AS markdown FROM (SELECT *, 'f' || page_id || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '' ELSE '.tar.gz' END AS name FROM pages)")
 def _(t):
     k = c("page_id")

@@ -186,11 +186,13 @@ def _(t):
     return s.groupBy(named.alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("j25_code_mentions", r"WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+')) AS word FROM documents), s AS (SELECT DISTINCT lower(regexp_extract(text, '^\S+')) AS word FROM benchmark) SELECT doc_id, word FROM w WHERE word IN (SELECT word FROM s)")
+@query("j25_code_mentions", r"""WITH s AS (SELECT p_name AS name FROM part UNION SELECT unnest(string_split_regex(text, '\s+')) FROM benchmark)
+SELECT doc_id, name FROM documents JOIN s ON name <> '' AND contains(text, name)""")
 def _(t):
-    words = t("documents").select("doc_id", F.explode(F.array_distinct(T.query_terms(c("text")))).alias("word"))
-    names = t("benchmark").select(F.lower(F.regexp_extract("text", r"^\S+", 0)).alias("word")).distinct()
-    return words.join(Q.small(names), "word", "left_semi").select("doc_id", "word")
+    """Names of parts and words of all benchmark passages, wherever they stand in documents."""
+    words = t("benchmark").select(F.explode(F.split("text", r"\s+", -1)).alias("pattern"))
+    names = t("part").select(c("p_name").alias("pattern")).unionByName(words)
+    return Q.contained(t("documents"), names, "doc_id").select("doc_id", c("pattern").alias("name"))
 
 
 @query("j26_wiki_edges", f"WITH l AS ({_LINKS}) SELECT a.path AS src, b.path AS dst FROM l a JOIN l b ON a.target = b.path")
