@@ -49,8 +49,8 @@ class StratifiedIndex:
     """
 
     def __init__(self, docs: DataFrame, block_terms: int = 1 << 20, block_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text"):
+        lengths = materialize(counted(docs, term_count, text_col).where("n > 0").groupBy("n").agg(F.count("*").alias("docs")), "lengths")
         rows = counted(docs, term_count, text_col, True, doc_id=F.col(id_col).cast("long")).where("n > 0")
-        lengths = materialize(rows.groupBy("n").agg(F.count("*").alias("docs")), "lengths")
         self.n_docs, self.n_terms = (int(x or 0) for x in lengths.agg(F.sum("docs"), F.sum(F.col("docs") * F.col("n"))).first())
         m = F.lit(0) if not self.n_docs else F.expr(f"25 + (75L * n * {self.n_docs}L) div {self.n_terms}L")
         slices = F.ceil(F.greatest(F.sum(F.col("docs") * F.col("n")) / block_terms, F.sum("docs") / block_docs)).cast("int")
