@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvid.functions import scalars as S
+from corvid.sinks import render as R
 
 
 def source_health(docs: DataFrame, covered: DataFrame, key: str, group: str) -> DataFrame:
@@ -22,10 +23,13 @@ def groups(rows: DataFrame, keys: list[str], id_: str) -> DataFrame:
     """One row for each member of a group of rows with equal keys: keys, id, the group's size ``n`` and its least id ``first_id``.
 
     Single rows, and rows with a null key, are in no group. Sizes are summed before the shuffle and no list is gathered, so
-    a group may hold any share of the rows; Spark can split its join.
+    a group may hold any share of the rows. They are written first: both sides of the join are then dealt anew, and
+    Spark can split a group's rows.
     """
     many = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(id_).alias("first_id")).where("n > 1")
-    return rows.select(*keys, id_).join(many, keys)
+    folder = R.shared_folder(rows.sparkSession, "groups")
+    many.write.parquet(folder)
+    return rows.select(*keys, id_).join(rows.sparkSession.read.schema(many.schema).parquet(folder), keys)
 
 
 def contradictions(facts: DataFrame, keys: list[str], value: str, to: str) -> DataFrame:

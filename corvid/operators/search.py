@@ -20,14 +20,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, dl): how often each term stands in each text, and the text's length in terms.
+def postings(texts: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(term, key, tf, dl): how often each term (of ``only(term)``, if given) stands in each text, and the text's length in terms.
 
     The outer explode keeps Spark from inferring a filter that would find the terms of each text twice more. The length is
     taken before it, so that a row of a term doesn't carry all terms of its text.
     """
     terms = texts.select(key, T.query_terms(F.col(text)).alias("terms")).withColumn("dl", F.size("terms"))
-    return terms.select(key, "dl", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    rows = terms.select(key, "dl", F.explode_outer("terms").alias("term")).where("term is not null")
+    if only is not None:  # before anything is shuffled
+        rows = rows.join(small(only), "term", "left_semi")
+    return rows.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
 def keyword(queries: DataFrame, texts: DataFrame, key: str, folder: str, every_term: bool = True, text: str = "text") -> DataFrame:
@@ -274,7 +277,7 @@ def cover_density(queries: DataFrame, texts: DataFrame, key: str, text: str = "t
     """
     asked = queries.select("query_id", F.array_distinct(T.query_terms(F.col("text"))).alias("asked")).where("size(asked) > 0")
     terms = asked.withColumn("n_terms", F.size("asked")).select("query_id", "n_terms", F.explode("asked").alias("term"))
-    index = postings(texts, key, text)
+    index = postings(texts, key, text, terms.select("term").distinct())
     found = index.join(small(terms), "term").groupBy("query_id", key).agg(F.count("*").alias("found"), F.first("n_terms").alias("n_terms")).where("found = n_terms")
     rows = found.select("query_id", key).join(asked, "query_id").join(texts.select(key, T.query_terms(F.col(text)).alias("words")), key)
     places = F.transform("words", lambda w, i: F.struct(i.alias("pos"), F.array_position(F.col("asked"), w).alias("term")))
