@@ -205,7 +205,8 @@ def detect(docs: DataFrame, min_length: int = 6, min_exponent: int = 4, id_col:
     after its first period, joined by a space.
 
     Null and wordless texts have no runs and an empty ``collapsed``; null and repeated ids keep their rows. No row needs
-    another, so nothing is shuffled; a document's trees take some 500 bytes a word of what may hold runs.
+    another, so nothing is shuffled; a document's trees take some 900 bytes a word of what may hold runs, so a text of very many such
+    words needs an executor that can hold them.
     """
     if min_exponent < 2 or min_length < 2:
         raise ValueError("runs have two periods and two words or more")
