@@ -11,6 +11,7 @@ from corvid.operators import index as I
 from corvid.operators import models as M
 from corvid.operators import projection as P
 from corvid.operators import search as Q
+from corvid.operators import vectors as X
 from corvid.sinks import render as R
 from corvid.streaming import folds as D
 
@@ -59,12 +60,36 @@ def _(t):
     return Q.ranked(hits(t, m.select((c("conv_id") * 1000 + c("turn")).alias("msg_id"), "text"), "msg_id", False), 5, "msg_id")
 
 
-@query("l03_vector_top", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(e, embedding::DOUBLE[]), 6) AS score FROM q, embeddings) SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10")
+_NEAREST = "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(e, embedding::DOUBLE[]), 6) AS score FROM q, embeddings) SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10"
+
+
+@query("l03_vector_top", _NEAREST)
 def _(t):
     v = t("embeddings").select("vec_id", c("embedding").alias("v"))
     return Q.nearest(v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), v, 10).select("query_id", "vec_id", "rank")
 
 
+def kept_vectors(t):
+    """An index of all vectors, built for this query, and the queries whose id is divisible by 100."""
+    v = t("embeddings").select("vec_id", c("embedding").alias("v"))
+    index = X.VectorIndex(t.spark, R.shared_folder(t.spark, "vectors"), "vec_id", 64)
+    index.build(v)
+    return index, v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+
+
+@query("l03_index_top", _NEAREST)
+def _(t):
+    index, asked = kept_vectors(t)
+    return index.search(asked, 10).select("query_id", "vec_id", "rank")
+
+
+@query("l03_index_probed")
+def _(t):
+    """Approximate: half of the lists are read. tests/test_vectors.py measures what it finds."""
+    index, asked = kept_vectors(t)
+    return index.probe(asked, 10, 32).select("query_id", "vec_id", "rank")
+
+
 def scored(t):
     """Scored chunks of documents: line items of orders for each of a few suppliers."""
     return t("lineitem").select((c("l_suppkey") % 50).alias("query_id"), c("l_orderkey").alias("doc"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("chunk"), F.floor("l_extendedprice").cast("double").alias("score"))
