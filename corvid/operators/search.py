@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions import scalars as S
 from corvid.functions import text as T
+from corvid.sinks import render as R
 
 #: A table is broadcast up to so many rows, counted first; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
@@ -264,6 +265,54 @@ def traverse(links: DataFrame, start: DataFrame, max_depth: int = 5, max_nodes:
     return seen.orderBy("depth", "node").limit(max_nodes)
 
 
+def traverse_all(links: DataFrame, pages: DataFrame, starts: DataFrame, max_depth: int = 2, max_nodes: int = 100, allowed: list[str] | None = None) -> DataFrame:
+    """(start, node, depth, relation, via): breadth first from each of starts(start), along links(src, dst) both ways.
+
+    Pages(path, labels, deleted) that are deleted, or have a label that isn't among ``allowed`` (None: any), are not visited;
+    null labels are none, a null deletion flag is false. A start needn't be a page, and is never its own hit. Of several
+    first visits the least via counts, and of its relations 'backlink' before 'outbound'; a start's first ``max_nodes``
+    visits by depth, via, relation and node are its hits, and the walk ends with them.
+
+    A page leads to no more than its first 2 * max_nodes + 1 neighbours: of these at most max_nodes + 1 were visited
+    before, so the others come after the last hit. A page that everything links to is thus bounded exactly. Each round is
+    written, as are the links.
+    """
+    spark = links.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        folder = R.shared_folder(spark, name)
+        df.write.parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
+
+    labels = F.coalesce("labels", F.array().cast("array<string>"))
+    shown = F.lit(True) if allowed is None else F.size(F.array_except(labels, F.array(*map(F.lit, allowed)).cast("array<string>"))) == 0
+    live = pages.where("path is not null").where(~F.coalesce("deleted", F.lit(False))).select("path", shown.alias("shown")).groupBy("path").agg(F.bool_and("shown").alias("shown"))
+    ends = links.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct()
+    # A link counts while its source lives; a page is entered only if it may be shown.
+    held = ends.join(live.select(F.col("path").alias("src"), F.col("shown").alias("src_shown")), "src")
+    out = held.join(live.where("shown").select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst", F.lit("outbound").alias("relation"))
+    back = held.where("src_shown").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("backlink").alias("relation"))
+    ways = out.unionByName(back).groupBy("src", "dst").agg(F.min("relation").alias("relation"))
+    turn = F.row_number().over(W.partitionBy("src").orderBy("relation", "dst"))
+    ways = kept(ways.withColumn("turn", turn).where(F.col("turn") <= 2 * max_nodes + 1).drop("turn"), "ways")
+
+    hit = "start", "node", "depth", "relation", "via"
+    front = kept(starts.where("start is not null").select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast(starts.schema["start"].dataType).alias("via")), "front")
+    seen = front
+    for depth in range(1, max_depth + 1):
+        step = front.select("start", F.col("node").alias("src")).join(ways, "src").groupBy("start", F.col("dst").alias("node")).agg(F.min(F.struct(F.col("src").alias("via"), "relation")).alias("v"))
+        new = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(depth).alias("depth"), "v.relation", "v.via")
+        found = seen.groupBy("start").agg((F.count("*") - 1).alias("found"))
+        place = F.row_number().over(W.partitionBy("start").orderBy("via", "relation", "node"))
+        # The constant bound lets Spark cut before the shuffle; the second one takes off what the start has already.
+        new = new.withColumn("place", place).where(F.col("place") <= max_nodes).join(found, "start").where(F.col("place") + F.col("found") <= max_nodes)
+        front = kept(new.select(*hit), "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.where("depth > 0").select(*hit)
+
+
 def _let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once."""
     return F.transform(F.array(value), use)[0]

@@ -15,7 +15,7 @@ from corvid.operators import vectors as X
 from corvid.sinks import render as R
 from corvid.streaming import folds as D
 
-from .joins import _LINKS, links
+from .joins import _LINKS, links, path
 from .registry import query
 
 c = F.col
@@ -153,6 +153,23 @@ def _(t):
     return Q.traverse(links(t).select(c("path").alias("src"), c("target").alias("dst")), start)
 
 
+_WALK = f"""WITH RECURSIVE l AS ({_LINKS}), pages AS (SELECT path, doc_id % 13 <> 0 AS shown FROM l),
+w AS (SELECT path AS src, target AS dst, 'outbound' AS relation FROM l WHERE target IN (SELECT path FROM pages WHERE shown) UNION SELECT target, path, 'backlink' FROM l JOIN pages USING (path) WHERE shown),
+b(start, node, depth) AS (SELECT path, path, 0 FROM l WHERE doc_id % 100 = 0 UNION SELECT start, dst, depth + 1 FROM b JOIN w ON src = node WHERE depth < 4),
+d AS (SELECT start, node, min(depth)::INT AS depth FROM b GROUP BY 1, 2),
+v AS (SELECT n.start, n.node, n.depth, min((p.node, w.relation)) AS v FROM d n JOIN w ON w.dst = n.node JOIN d p ON p.start = n.start AND p.node = w.src AND p.depth = n.depth - 1 GROUP BY 1, 2, 3),
+f AS (SELECT start, node, depth, v[2] AS relation, v[1] AS via FROM v)
+SELECT start, node, depth, relation, via FROM f QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth, via, relation, node) <= 5"""
+
+
+@query("c12_walks_from_many", _WALK)
+def _(t):
+    """From every document whose id is divisible by 100: four steps both ways, five pages at most, past pages that may not be shown."""
+    d = t("documents")
+    pages = d.select(path(c("doc_id")).alias("path"), F.array(F.when(c("doc_id") % 13 == 0, "private").otherwise("open")).alias("labels"), F.lit(False).alias("deleted"))
+    return Q.traverse_all(links(t).select(c("path").alias("src"), c("target").alias("dst")), pages, d.where("doc_id % 100 = 0").select(path(c("doc_id")).alias("start")), 4, 5, ["open"])
+
+
 @query("c20_synthesis_prompt", "SELECT source, len(string_agg(substr(text, 1, 50), chr(10) ORDER BY doc_id))::BIGINT AS size FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 4 GROUP BY 1")
 def _(t):
     top = C_first(t)
