@@ -151,3 +151,50 @@ def _(t):
 @query("st07_sessions_stream", _SESSION)
 def _(t):
     return streamed(t, S.session(6 * HOUR, DAY), 6 * HOUR)
+
+
+#: Jobs are users: two workers claim, renew and complete them; a lease lasts six hours and a job is remembered for three days.
+_LEASES = f"""WITH RECURSIVE a AS (SELECT user_id::VARCHAR AS id, event_id, epoch_us(ts) // 1000 AS tm, 'w' || event_id % 2 AS worker, CASE WHEN event_id % 5 = 0 THEN 'complete' WHEN event_id % 5 < 3 THEN 'claim' ELSE 'renew' END AS action FROM events),
+u AS (SELECT max(tm) - 1000 AS until FROM a), e AS (SELECT a.*, row_number() OVER (PARTITION BY id ORDER BY tm, event_id) AS rn FROM a, u WHERE tm <= until),
+s AS (SELECT DISTINCT id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::BIGINT AS tm, NULL::VARCHAR AS who, NULL::VARCHAR AS outcome, NULL::VARCHAR AS worker, NULL::BIGINT AS ends, 0::BIGINT AS attempts, NULL::VARCHAR AS status FROM e
+UNION ALL SELECT id, rn, event_id, tm, who, outcome, CASE WHEN outcome IN ('claimed', 'renewed', 'completed') THEN who ELSE worker END, CASE WHEN outcome IN ('claimed', 'renewed') THEN tm + {6 * HOUR} WHEN outcome = 'completed' THEN tm ELSE ends END,
+attempts + (outcome = 'claimed')::BIGINT, CASE WHEN outcome IN ('claimed', 'renewed') THEN 'running' WHEN outcome = 'completed' THEN 'completed' ELSE status END FROM (
+SELECT *, CASE WHEN action = 'claim' AND (status IS NULL OR status = 'expired') THEN 'claimed' WHEN action = 'renew' AND status IN ('running', 'expired') AND worker = who THEN 'renewed' WHEN action = 'complete' AND status IN ('running', 'expired') AND worker = who THEN 'completed' ELSE 'refused' END AS outcome FROM (
+SELECT id, rn, event_id, tm, who, action, CASE WHEN NOT gone THEN worker END AS worker, CASE WHEN NOT gone THEN ends END AS ends, CASE WHEN gone THEN 0 ELSE attempts END AS attempts, CASE WHEN NOT gone THEN st END AS status FROM (
+SELECT *, coalesce(st <> 'running' AND tm - ends >= {3 * DAY}, false) AS gone FROM (
+SELECT s.id, e.rn, e.event_id, e.tm, e.worker AS who, e.action, s.worker, s.ends, s.attempts, CASE WHEN s.status = 'running' AND s.ends < e.tm THEN 'expired' ELSE s.status END AS st FROM s JOIN e ON e.id = s.id AND e.rn = s.rn + 1))))),
+n AS (SELECT *, lead(tm) OVER (PARTITION BY id ORDER BY rn) AS next FROM s)
+SELECT id, event_id, tm AS "at", who AS worker, outcome, attempts FROM s WHERE rn > 0 UNION ALL SELECT id, NULL, ends, worker, 'expired', attempts FROM n, u WHERE status = 'running' AND CASE WHEN next IS NULL THEN ends <= until ELSE ends < next END"""
+
+
+def lease_events(t):
+    action = F.when(c("event_id") % 5 == 0, "complete").when(c("event_id") % 5 < 3, "claim").otherwise("renew")
+    return t("events").select(c("user_id").cast("string").alias("id"), "event_id", F.unix_millis("ts").alias("at"), F.concat(F.lit("w"), c("event_id") % 2).alias("worker"), action.alias("action"), F.lit(6 * HOUR).cast("long").alias("lease_ms"))
+
+
+@query("st08_lease_outcomes", _LEASES)
+def _(t):
+    from corvid.streaming import leases
+
+    rows = lease_events(t)
+    return leases.batch(rows, (rows.agg(F.max("at")).first()[0] or 0) - 1000, 3 * DAY)
+
+
+@query("st08_lease_timers_stream", _LEASES)
+def _(t):
+    """The same by timers over a stream: two drops in time order, two runs from one checkpoint."""
+    from corvid.sinks import render
+    from corvid.streaming import leases
+
+    root, rows, provider = render.shared_folder(t.spark, "leases"), lease_events(t), "spark.sql.streaming.stateStore.providerClass"
+    middle, before = rows.agg(F.percentile_approx("at", 0.5)).first()[0], t.spark.conf.get(provider)
+    t.spark.conf.set(provider, leases.ROCKSDB)
+    try:
+        for drop in (c("at") < middle, c("at") >= middle):
+            rows.where(drop).write.mode("append").parquet(f"{root}/in")
+            source = t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+            out = leases.stream(source, 3 * DAY, "1 second").writeStream.format("parquet").option("path", f"{root}/out")
+            out.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        t.spark.conf.set(provider, before)
+    return t.spark.read.schema(leases.OUTCOME).parquet(f"{root}/out")
