@@ -34,6 +34,16 @@ def _(t):
     return R.jsonl_lines(files)[0].groupBy("file").agg(F.count("*").alias("n"))
 
 
+@query("s01_jsonl_ranges", "SELECT conv_id, turn::BIGINT AS turn, role, text FROM conversations")
+def _(t):
+    """All messages as files of JSON lines, read by ranges."""
+    folder = K.shared_folder(t.spark, "jsonl")
+    t("conversations").select("conv_id", "turn", "role", "text").write.json(folder)
+    records, _, _ = R.read_jsonl(t.spark, folder, "*.json")
+    field = lambda name, kind="string": R.get("record", f"$.{name}", kind).alias(name)
+    return records.select(field("conv_id", "long"), field("turn", "long"), field("role"), field("text"))
+
+
 @query("s03_agent_a", _TURNS)
 def _(t):
     content = F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text"), F.struct(F.lit("tool_use").alias("type"), F.lit("x").alias("text"))).alias("content"))

@@ -6,22 +6,30 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvid.functions import text as T
+from corvid.sinks import render as R
 
 
 def get(v, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(F.col(v) if isinstance(v, str) else v, path, kind)
 
 
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Lines(raw) with ``record``, null unless the line is a JSON object, and ``blank``, true if it holds white space alone."""
+    clean = F.regexp_replace("raw", "\r$", "")
+    return lines.withColumns({"record": F.when(clean.rlike(r"^\s*\{"), F.try_parse_json(clean)), "blank": ~clean.rlike(r"(?U)\S")})
+
+
 def jsonl_lines(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records, warnings and failures of files(file, value), one JSON object a line.
 
     A malformed last line without a line end is left out with a warning; a malformed line elsewhere fails its file.
     """
     lines = files.select("file", F.size(F.split("value", "\n", -1)).alias("n"), F.posexplode(F.split("value", "\n", -1)).alias("line", "raw"))
-    lines = lines.withColumn("raw", F.regexp_replace("raw", "\r$", "")).where(F.trim("raw") != "").withColumn("record", F.try_parse_json("raw"))
+    lines = _parsed(lines).where("not blank")
     bad = F.col("record").isNull()
     last = F.col("line") == F.col("n") - 1
     failed = lines.where(bad & ~last).select("file").distinct()
@@ -30,9 +38,33 @@ def jsonl_lines(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def read_jsonl(spark: SparkSession, root: str, suffix: str = "*.jsonl") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The same over all files under ``root``; a session is one file, read whole."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", suffix).text(root, wholetext=True)
-    return jsonl_lines(files.select(F.col("_metadata.file_path").alias("file"), "value"))
+    """The same over all files under ``root``, read by ranges, so a file of any size is many tasks. A leading byte order mark is
+    skipped; files must not be compressed.
+
+    A first pass leaves a row for each range: its lines and bytes, the malformed ones, and whether its last line is one.
+    From these come the number of a range's first line, whether a file's last line has an end, and which files fail.
+    """
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", suffix).option("lineSep", "\n").text(root)
+    # Rows of a range are numbered one after another, in a numbering by task.
+    at = {"file": F.col("_metadata.file_path"), "start": F.col("_metadata.file_block_start"), "bytes": F.col("_metadata.file_size"), "row": F.monotonically_increasing_id(), "raw": F.col("value")}
+    rows = text.select(*[v.alias(k) for k, v in at.items()])
+    parsed = _parsed(rows)
+    bad = ~F.col("blank") & F.col("record").isNull()
+    ranges = parsed.groupBy("file", "start").agg(
+        F.first("bytes").alias("bytes"), F.count("*").alias("n"), F.min("row").alias("first"), F.sum(F.octet_length("raw") + 1).alias("read"),
+        F.count_if(bad).alias("n_bad"), F.max_by(bad, "row").alias("last_bad"),
+    )
+    folder = R.shared_folder(spark, "ranges")
+    ranges.write.parquet(folder)
+    ranges = spark.read.schema(ranges.schema).parquet(folder)
+    # A line without end counts one byte that isn't there; a byte order mark is three that weren't counted.
+    no_end = (F.sum("read") - F.first("bytes")).isin(1, -2)
+    cut = no_end & F.max_by("last_bad", "start")
+    files = ranges.groupBy("file").agg((F.sum("n_bad") - cut.cast("int") > 0).alias("failed"), cut.alias("cut"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = ranges.withColumn("before", before).join(files.where("not failed").select("file"), "file").select("file", "start", "first", "before")
+    kept = parsed.where(~F.col("blank") & F.col("record").isNotNull()).join(places, ["file", "start"])
+    return kept.select("file", (F.col("row") - F.col("first") + F.col("before")).alias("line"), "record"), files.where("cut and not failed").select("file"), files.where("failed").select("file")
 
 
 def list_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
