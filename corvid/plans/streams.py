@@ -64,13 +64,33 @@ def _(t):
     return V.latest(t("events"), ["user_id"], F.struct("ts", "event_id")).select("user_id", c("event_type").alias("state"))
 
 
-@query("st10_change_log", "SELECT doc_id, CASE WHEN doc_id % 11 = 1 THEN 2 ELSE 1 END AS version FROM documents WHERE doc_id % 11 > 0")
+_CURRENT = "SELECT doc_id, CASE WHEN doc_id % 11 = 1 THEN 2 ELSE 1 END AS version FROM documents WHERE doc_id % 11 > 0"
+
+
+@query("st10_change_log", _CURRENT)
 def _(t):
     d = t("documents").select("doc_id", F.lit(1).alias("version"), F.lit(False).alias("deleted"))
     log = d.unionByName(d.where("doc_id % 11 < 2").withColumns({"version": F.lit(2), "deleted": c("doc_id") % 11 == 0}))
     return V.latest(log, ["doc_id"], c("version")).where("not deleted").select("doc_id", "version")
 
 
+@query("st10_compacted_view", _CURRENT)
+def _(t):
+    """The same log as a stream into a compacted view: two drops, of which the first has the second versions of odd documents."""
+    from corvid.sinks import render
+    from corvid.streaming.view import CompactedView
+
+    root, d = render.shared_folder(t.spark, "view"), t("documents").select("doc_id")
+    log = d.withColumns({"version": F.lit(1), "deleted": F.lit(False), "drop": c("doc_id") % 2})
+    log = log.unionByName(d.where("doc_id % 11 < 2").withColumns({"version": F.lit(2), "deleted": c("doc_id") % 11 == 0, "drop": 1 - c("doc_id") % 2}))
+    view, schema = CompactedView(t.spark, f"{root}/view", "doc_id", "version"), log.drop("drop").schema
+    for drop in (0, 1):
+        log.where(c("drop") == drop).drop("drop").write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema(schema).parquet(f"{root}/in").writeStream.foreachBatch(view.commit)
+        stream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return view.read().select("doc_id", "version")
+
+
 @query("st09_due_work", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'O' AND least(60000, floor(1000 * pow(2, l_linenumber - 1))) <= 4000")
 def _(t):
     from corvid.functions import scalars
