@@ -139,6 +139,27 @@ def _(t):
     return read("fresh", False).unionByName(read("late", True))
 
 
+_WATERMARK = """WITH e AS (SELECT event_id, ts, event_id % 3 AS drop_ FROM events), m AS (SELECT drop_, max(ts) AS m FROM e GROUP BY 1),
+w AS (SELECT a.drop_, max(b.m) - INTERVAL 10 DAY AS passed FROM m a LEFT JOIN m b ON b.drop_ < a.drop_ GROUP BY 1)
+SELECT event_id, coalesce(ts <= passed, false) AS late FROM e JOIN w USING (drop_)"""
+
+
+@query("st11_watermark_apart", _WATERMARK)
+def _(t):
+    """All events in three drops, three runs from one checkpoint: what is over ten days behind the newest event is set apart."""
+    from corvid.sinks import render
+    from corvid.streaming import ingest
+
+    root, rows = render.shared_folder(t.spark, "watermark"), t("events").select("event_id", "ts")
+    for drop in range(3):
+        rows.where(c("event_id") % 3 == drop).write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        write = ingest.apart(root, "ts", F.expr("INTERVAL 10 DAYS"))
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    read = lambda name, late: t.spark.read.schema(rows.schema).parquet(f"{root}/{name}").select("event_id", F.lit(late).alias("late"))
+    return read("fresh", False).unionByName(read("late", True))
+
+
 def streamed(t, step, hold_ms: int):
     """What ``step`` accepts of all events as a stream: two drops in time order, two runs from one checkpoint."""
     from corvid.sinks import render

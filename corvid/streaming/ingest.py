@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -61,9 +61,10 @@ def current(log: DataFrame, key: str = "external_id", order: str = "updated_at")
     return rows.where(~F.coalesce("deleted", F.lit(False))) if "deleted" in rows.columns else rows
 
 
-def apart(root: str, order: str = "updated_at"):
+def apart(root: str, order: str = "updated_at", delay: Column | None = None):
     """A foreachBatch function: rows that aren't newer than the checkpoint go to ``late``, the others to ``fresh``; then the
-    checkpoint moves to the newest ``order``. Rows without it are late. All is written under the batch's number, and a repeated
+    checkpoint moves to the newest ``order``, less ``delay`` if given (a number or an interval, as ``order`` is): rows that
+    come out of order within the delay are fresh, and later ones are kept, not dropped. Rows without ``order`` are late. All is written under the batch's number, and a repeated
     batch looks at the checkpoints of earlier ones alone, so it gives the same."""
 
     def write(batch: DataFrame, number: int) -> None:
@@ -72,7 +73,8 @@ def apart(root: str, order: str = "updated_at"):
         if number:
             held = spark.read.schema(held.schema).parquet(f"{root}/newest").where(F.col("batch") < number)
         at = held.agg(F.max("at")).first()[0]
-        late = F.col(order).isNull() | (F.lit(False) if at is None else F.col(order) <= F.lit(at))
+        passed = F.lit(at).cast(kind) if delay is None else F.lit(at).cast(kind) - delay
+        late = F.col(order).isNull() | (F.lit(False) if at is None else F.col(order) <= passed)
         rows = batch.withColumn("__late", late).persist()
         try:
             rows.where("__late").drop("__late").write.mode("overwrite").parquet(f"{root}/late/batch={number}")
