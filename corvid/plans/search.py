@@ -9,6 +9,7 @@ from corvid.operators import chunks as K
 from corvid.operators import conversations as C
 from corvid.operators import index as I
 from corvid.operators import models as M
+from corvid.operators import packing as G
 from corvid.operators import projection as P
 from corvid.operators import search as Q
 from corvid.operators import vectors as X
@@ -209,6 +210,13 @@ def _(t):
     return D.batch(pieces, D.packing(1000)).groupBy(c("key").alias("source")).agg((F.count_if("accepted") + 1).alias("groups"))
 
 
+@query("w13_packing_one_sequence", "WITH g AS (SELECT list(length(text) % 400 ORDER BY doc_id) AS l FROM documents) SELECT list_reduce(l, lambda a, x: CASE WHEN a % 10000 + x + 2 > 1000 THEN (a // 10000 + 1) * 10000 + x ELSE a + x + 2 END, 0::BIGINT) // 10000 + 1 AS groups, len(l) AS pieces FROM g")
+def _(t):
+    """All documents as one sequence, packed by ranges."""
+    pieces = t("documents").select(F.lit("all").alias("key"), c("doc_id").alias("event_id"), c("doc_id").alias("at"), (F.length("text") % 400).alias("units"))
+    return G.greedy(pieces, 1000, range_rows=4096).agg((F.count_if("accepted") + 1).alias("groups"), F.count("*").alias("pieces"))
+
+
 @query("w12_chunk_offsets", "SELECT doc_id::VARCHAR AS doc_id, true AS in_order FROM documents")
 def _(t):
     """Ordinals count up from 0 and no chunk begins before the end of the one before it."""
