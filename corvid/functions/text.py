@@ -205,6 +205,18 @@ def failure_kind(message: Column) -> Column:
     return F.when(m.rlike("invalid|unauthorized|forbidden|scope|quota"), "final").when(m.rlike("timeout|temporar|unavailable|connection|remote"), "retryable").otherwise("final")
 
 
+#: Parts of the names of event metadata that must not be kept, in either case.
+PRIVATE_NAMES = "content", "token", "secret", "cookie", "prompt", "body", "text"
+
+
+def redact_metadata(metadata: Column) -> Column:
+    """JSON text of an event's metadata without strings and without entries of a private name; 'occurredAt' always stays.
+    Null for text that isn't a JSON object."""
+    entries = F.from_json(metadata, "map<string,variant>")
+    private = lambda k: k.rlike(f"(?iu)({'|'.join(PRIVATE_NAMES)})")
+    return F.to_json(F.map_filter(entries, lambda k, v: (k == "occurredAt") | (~private(k) & (F.schema_of_variant(v) != "STRING"))))
+
+
 def safe_path(path: Column) -> Column:
     """True for relative paths without backslashes or empty, . or .. parts."""
     return F.coalesce((path != "") & ~F.contains(path, F.lit("\\")) & ~F.exists(F.split(path, "/"), lambda p: p.isin("", ".", "..")), F.lit(False))

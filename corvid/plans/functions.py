@@ -209,6 +209,14 @@ def _(t):
     return t("events").select("event_id", F.array_join(F.map_keys(kept), ",").alias("kept"), F.size(kept).alias("n"))
 
 
+@query("f38_metadata_redacted", """SELECT event_id, '{"k":' || (props::JSON->>'k') || CASE WHEN event_id % 3 > 0 THEN ',"' || event_type || '":' || user_id ELSE '' END || ',"flag":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'null' END || ',"occurredAt":"' || event_type || '"}' AS metadata FROM events""")
+def _(t):
+    name = F.concat("event_type", F.when(c("event_id") % 3 == 0, "_ToKen").otherwise(""))
+    flag = F.when(c("event_id") % 2 == 0, "true").otherwise("null")
+    rest = F.format_string(',"%s":%d,"flag":%s,"note":"%s","occurredAt":"%s","bodySize":4}', name, c("user_id"), flag, c("event_type"), c("event_type"))
+    return t("events").select("event_id", T.redact_metadata(F.concat(F.rtrim(c("props"), F.lit("}")), rest)).alias("metadata"))
+
+
 @query("f39_chunk_id", "SELECT doc_id, sha256(doc_id || ':0:' || sha256(text) || ':1') AS id FROM documents")
 def _(t):
     return t("documents").select("doc_id", F.sha2(F.concat_ws(":", "doc_id", F.lit(0), F.sha2("text", 256), F.lit(1)), 256).alias("id"))

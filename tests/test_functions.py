@@ -176,3 +176,10 @@ def test_filesystem_documents(spark, tmp_path):
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
     got = {r.path: r.content for r in documents.filesystem(files, str(tmp_path)).collect()}
     assert got == {"files/a/n.md": "# n.TXT\n\nhi", "files/b.markdown": "# B\n"}
+
+
+def test_metadata_redaction(spark):
+    rows = ['{"a":1,"b":"x","Cookies":2,"occurredAt":"now","d":{"text":"kept inside"},"e":[1],"f":null}', "[1]", "no", "{}", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, m string")
+    got = [r.m for r in df.select("i", T.redact_metadata(F.col("m")).alias("m")).orderBy("i").collect()]
+    assert got == ['{"a":1,"occurredAt":"now","d":{"text":"kept inside"},"e":[1],"f":null}', None, None, "{}", None]
