@@ -80,7 +80,11 @@ def archive(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.select("path", F.col("f.header").alias("header"), F.col("f.body").alias("body"), F.col("f.header")["id"].alias("id"), F.concat_ws("/", F.col("f.header")["provider"], F.col("f.header")["source_id"]).alias("source"))
     from pyspark.sql import Window as W
 
-    rank = lambda k: F.when(F.col(k).isNotNull() & (F.col(k) != ""), F.row_number().over(W.partitionBy(k).orderBy("path"))).otherwise(1)
+    def rank(k: str):
+        """Place of a path in its group; rows without a value are groups of their own, or one task would sort them all."""
+        held = F.col(k).isNotNull() & (F.col(k) != "")
+        return F.when(held, F.row_number().over(W.partitionBy(k, F.when(~F.coalesce(held, F.lit(False)), F.col("path"))).orderBy("path"))).otherwise(1)
+
     rows = rows.withColumns({"n_id": rank("id"), "n_source": rank("source")})
     issue = F.when(F.col("header").isNull(), "no header").when(F.col("id").isNull(), "no id").when(F.col("n_id") > 1, "duplicate id").when(F.col("n_source") > 1, "duplicate source")
     rows = rows.withColumn("issue", issue)

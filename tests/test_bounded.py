@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvid.operators import conversations as C
 from corvid.operators import search as Q
+from corvid.sources.documents import archive
 
 
 def plan(df):
@@ -48,3 +49,15 @@ def test_shared_facts_of_one_target_are_many_tasks(spark):
     assert sorted((r.doc, r.other, r.target) for r in got) == sorted(want)
     held = Counter(r.part for r in got)
     assert max(held.values()) < len(want) / 4
+
+
+def test_files_without_a_source_are_not_one_group(spark):
+    head = lambda i: f"id: d{i % 190}\n" + (f"provider: p\nsource_id: s{i // 2}\n" if i < 20 else "")
+    files = [(f"n/{i:03}.md", f"---\n{head(i)}---\n\nbody {i}") for i in range(200)] + [("n/900.md", "no header"), ("n/901.md", None)]
+    kept, issues = archive(spark.createDataFrame(files, "path string, value string"))
+    # Ids 0 to 9 come again as 190 to 199, and every second one of the first 20 has the source of the one before.
+    assert sorted(r.path for r in kept.collect()) == [f"n/{i:03}.md" for i in range(190) if i >= 20 or i % 2 == 0]
+    found = {r.path: r.issue for r in issues.collect()}
+    assert found == {f"n/{i:03}.md": "duplicate source" for i in range(1, 20, 2)} | {f"n/{i}.md": "duplicate id" for i in range(190, 200)} | {"n/900.md": "no header", "n/901.md": "no header"}
+    windows = [x for x in plan(kept).splitlines() if "Window [" in x]
+    assert windows and all("_w" in x.split("], [")[1] for x in windows)  # the group of a row without a value is its path
