@@ -99,3 +99,19 @@ def test_blocks_that_cannot_reach_the_best_are_not_read(spark, index):
     assert got == [(i, pytest.approx(s, abs=2e-6)) for i, s in brute({i: (t, n) for i, t, n in docs}, "common", 3)]
     bounds, early, late = index.visits
     assert early.count() == 2 and early.count() + late.count() < bounds.count()
+
+
+def test_postings_are_rows_of_blocks(spark, index):
+    docs = {i: (" ".join(f"w{(i * 7 + j * j) % 211}" for j in range(40)), f"t{i % 3}") for i in range(64)}
+    frame = lambda d: spark.createDataFrame([(i, *f) for i, f in d.items()], SCHEMA)
+    index.upsert(frame(docs))
+    index.upsert(frame({i: docs[i] for i in range(0, 64, 2)}))
+    read = lambda s: spark.read.parquet(f"{index.root}/segments/{s.segment}/postings")
+    # Blocks of 8 documents, and one more a task, not a row for each of some 200 terms of a block.
+    assert [read(s).count() <= n // 8 + 4 for s, n in zip(index._segments(), (64, 32), strict=True)] == [True, True]
+    index.compact()
+    (only,) = index._segments()
+    assert read(only).count() <= 64 // 8 + 8 and only.docs == 64
+    for query in ("w1 w5 t1", "w100", "t2 w3 w3"):
+        got = rows(index.search(ask(spark, query), 64, False))
+        assert got == [(i, pytest.approx(s, abs=2e-6)) for i, s in brute(docs, query, 64, False)]
