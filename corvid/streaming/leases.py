@@ -84,7 +84,11 @@ def batch(events: DataFrame, until: int, hold_ms: int) -> DataFrame:
 
 
 class _Leases(StatefulProcessor):
-    """Events wait in state until the watermark has passed them, so they count in time order however they arrive."""
+    """Events wait in state until the watermark has passed them, so they count in time order however they arrive.
+
+    A job has a timer for the first event that waits, kept as ``first``, and one for its lease; when one is due all events
+    that are due are read. So a job wakes as often as the watermark moves past something of it, not for each event.
+    """
 
     def __init__(self, hold_ms: int):
         self.hold_ms = hold_ms
@@ -93,14 +97,16 @@ class _Leases(StatefulProcessor):
         self.handle = handle
         self.lease = handle.getValueState("lease", STATE)
         self.waiting = handle.getListState("waiting", WAITING)
+        self.first = handle.getValueState("first", "at long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        events = []
         for frame in rows:
-            whole = frame[["event_id", "at", "worker", "action", "lease_ms"]].astype(object)
-            events = list(whole.where(whole.notna(), None).itertuples(index=False, name=None))
-            self.waiting.appendList([(e[0] if e[0] is None else int(e[0]), int(e[1]), e[2], e[3], e[4] if e[4] is None else int(e[4])) for e in events])
-            for at in {int(e[1]) for e in events}:
-                self.handle.registerTimer(at)
+            columns = [[None if v is None or v != v else k(v) for v in frame[c].tolist()] for c, k in (("event_id", int), ("at", int), ("worker", str), ("action", str), ("lease_ms", int))]
+            events += zip(*columns, strict=True)
+        if events:
+            self.waiting.appendList(events)
+            self._wait(min(e[1] for e in events))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
@@ -120,12 +126,15 @@ class _Leases(StatefulProcessor):
             left = [e for e in held if e[1] > passed]
             if left:
                 self.waiting.put(left)
+                self.first.clear()
+                self._wait(min(e[1] for e in left))
             else:
                 self.waiting.clear()
+                self.first.clear()
         if state != before:
             if before is not None and self._wakes(before) > passed:
                 self.handle.deleteTimer(self._wakes(before))
-                if any(e[1] == self._wakes(before) for e in held):
+                if self.first.exists() and self.first.get()[0] == self._wakes(before):
                     self.handle.registerTimer(self._wakes(before))
             if state is None:
                 self.lease.clear()
@@ -136,6 +145,12 @@ class _Leases(StatefulProcessor):
         if out:
             yield pd.DataFrame([(key[0], *r) for r in out], columns=names, dtype=object)
 
+    def _wait(self, at: int) -> None:
+        """Sees that the job wakes for an event at ``at``; a later timer that stands is no more than a look at the state."""
+        if not self.first.exists() or at < self.first.get()[0]:
+            self.first.update((at,))
+            self.handle.registerTimer(at)
+
     def _wakes(self, state: tuple) -> int:
         """When time alone next changes a state."""
         return state[1] if state[3] == "running" else state[1] + self.hold_ms
