@@ -20,6 +20,8 @@ from corvid.sinks import render as R
 #: Scores are rounded to 6 digits; a block whose bound is this far below the score to reach can't change a result.
 SLACK = 1e-6
 SAMPLE_SLOTS = 1 << 20
+#: Queries of a pack, and bytes of blocks and packs that a task of a search gets on average.
+PACK, TASK_BYTES = 512, 32 << 20
 
 
 def _unit(v: Column, dimensions: int) -> Column:
@@ -235,11 +237,16 @@ class VectorIndex:
 
     def _scores(self, asked: DataFrame, visits: DataFrame, k: int) -> DataFrame:
         """The ``k`` best of each query in the blocks it visits. Queries of a block come in packs, dealt by block and by a
-        hash of the query, so a block that all queries visit is several tasks."""
+        hash of the query, so a block that many queries visit is several tasks. A block is copied as often as all queries
+        make packs, and tasks are counted by what stands beside each other then, which is what their Python holds."""
         key, kind, d = self.key, asked.schema["query_id"].dataType.simpleString(), self.dimensions
         blocks = self._table("blocks").select("block", "keys", F.col("x").alias("m"))
         own = blocks.schema["keys"].dataType.elementType.simpleString()
 
+        deals = max(1, -(-asked.count() // PACK))
+        n = self._table("blocks").agg(F.sum("n")).first()[0] or 0
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-8 * d * (n * deals + visits.count()) // TASK_BYTES))
+
         def pack(batches) -> Iterator:
             import numpy as np
             import pyarrow as pa
@@ -247,11 +254,11 @@ class VectorIndex:
             for b in batches:
                 if not b.num_rows:
                     continue
-                names, x, ids = np.array(b.column("block").to_pylist()), _matrix(b.column("x"), b.num_rows), b.column("query_id")
-                for edge in np.split(np.arange(len(names)), np.nonzero(names[1:] != names[:-1])[0] + 1):
-                    for lo in range(0, len(edge), 512):
-                        at = edge[lo : lo + 512]
-                        yield pa.RecordBatch.from_arrays([pa.array([names[at[0]]], pa.string()), pa.array([ids.take(pa.array(at)).to_pylist()], pa.list_(ids.type)), pa.array([x[at].tobytes()], pa.binary())], names=["block", "ids", "q"])
+                names, deal, x, ids = np.array(b.column("block").to_pylist()), b.column("deal").to_numpy(), _matrix(b.column("x"), b.num_rows), b.column("query_id")
+                for edge in np.split(np.arange(len(names)), np.nonzero((names[1:] != names[:-1]) | (deal[1:] != deal[:-1]))[0] + 1):
+                    for lo in range(0, len(edge), PACK):
+                        at = edge[lo : lo + PACK]
+                        yield pa.RecordBatch.from_arrays([pa.array([names[at[0]]], pa.string()), pa.array(deal[at[:1]]), pa.array([ids.take(pa.array(at)).to_pylist()], pa.list_(ids.type)), pa.array([x[at].tobytes()], pa.binary())], names=["block", "deal", "ids", "q"])
 
         def best(batches) -> Iterator:
             import numpy as np
@@ -266,9 +273,14 @@ class VectorIndex:
                     a, c = np.nonzero(score >= least[:, None])
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), keys.take(pa.array(c)), pa.array(score[a, c])], names=["query_id", key, "score"])
 
-        dealt = visits.join(asked, "query_id").repartition("block", F.pmod(F.xxhash64("query_id"), F.lit(16))).sortWithinPartitions("block")
-        packs = dealt.select("block", "query_id", "x").mapInArrow(pack, f"block string, ids array<{kind}>, q binary")
-        found = packs.join(blocks, "block").mapInArrow(best, f"query_id {kind}, {key} {own}, score double")
+        key_ = "block", "deal"
+        dealt = visits.join(asked, "query_id").withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(deals)).cast("int"))
+        dealt = dealt.repartition(tasks, *key_).sortWithinPartitions(*key_)
+        packs = dealt.select(*key_, "query_id", "x").mapInArrow(pack, f"block string, deal int, ids array<{kind}>, q binary")
+        wide = blocks.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+        # Both sides are dealt by count, so Spark doesn't join the small tasks that their bytes before the join suggest.
+        pairs = packs.repartition(tasks, *key_).join(wide.repartition(tasks, *key_).hint("shuffle_hash"), [*key_])
+        found = pairs.mapInArrow(best, f"query_id {kind}, {key} {own}, score double")
         return ranked(found.withColumn("score", F.round("score", 6)), k, key)
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:

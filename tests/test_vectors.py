@@ -69,3 +69,20 @@ def test_empty_tables_and_a_build_that_fails(spark, tmp_path):
     assert hits(index.search(q, 3)) == [(1, 1, 1, 1.0)]
     assert spark.read.text(f"file://{tmp_path}/index/CURRENT").first().value == version
     assert hits(index.search(q.limit(0), 3)) == []
+
+
+def test_a_task_of_a_search_holds_a_bounded_share(spark, tmp_path, monkeypatch):
+    from corvid.operators import vectors
+
+    v = spark.createDataFrame(clustered(), SCHEMA)
+    index = VectorIndex(spark, f"file://{tmp_path}/index", "vec_id", 12, lists=8, block_rows=16)
+    index.build(v)
+    q = v.where("vec_id % 10 = 7").withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(vectors, "PACK", 16)
+    monkeypatch.setattr(vectors, "TASK_BYTES", 1 << 14)
+    visits = q.select("query_id").crossJoin(index._table("blocks").select("block"))
+    got = index._scores(index._asked(q), visits, 5)
+    assert hits(got) == hits(nearest(q, v, 5))
+    # 60 queries make 4 packs: 4 copies of 600 vectors, and 60 queries for each block, 96 bytes each.
+    tasks = -(-96 * (4 * 600 + visits.count()) // (1 << 14))
+    assert tasks > 4 and f", {tasks}" in got._jdf.queryExecution().optimizedPlan().toString()
