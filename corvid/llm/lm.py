@@ -24,6 +24,10 @@ KNOWN = "block long, doc_ids array<long>, held array<boolean>, lengths array<int
 ANSWER = "part int, block long, sums binary, totals array<double>"
 #: (block, word) pairs that a part has on average, at most; a task holds 4 bytes a pair.
 PART_PAIRS = 1 << 20
+#: Tokens of the sequences that both recursions take at once, at most but for the last one; some 120 bytes each.
+GROUP_TOKENS = 1 << 20
+#: Tokens of whole steps whose emissions are looked up at once, so that they stay in the processor's cache.
+RUN_TOKENS = 1 << 13
 
 
 def held_out(doc_id) -> bool:
@@ -256,65 +260,80 @@ class Model:
 
 
 def posteriors(model: Model, rows, relative=None):
-    """For groups of whole symbol sequences: (symbols, their posteriors by state, expected starts, expected transitions).
+    """For groups of whole symbol sequences: (symbols, their posteriors, a row a state, expected starts, expected transitions).
 
-    Sequences are taken longest first. Of long ones more tokens make a group, so that a step, which is one product over
-    all sequences still going on, is wide. The backward recursion runs over the reversed sequences in the same steps as
-    the forward one. Each position's posteriors are divided by their own sum, hence rows of both recursions may have any
-    scale; every 16th step brings them back to 1. ``relative``: (symbols, states) emissions.
+    Sequences are taken longest first and laid out by steps: those still going on at a step stand beside each other, and
+    are the first ones of the step before. So both recursions run over the same rows, a product over all of them a step,
+    and a group has enough tokens that a step is wide. Every 16th step is brought to a sum of 1 in the forward recursion,
+    and divided by the same in the backward one, which begins with 1 / the forward sum of the last step; so the products
+    of both are the posteriors as they are. ``relative``: (symbols, states) emissions.
     """
     import numpy as np
 
     s = len(model.start)
     relative = np.ascontiguousarray((model.emit / model.emit.mean(0)).T) if relative is None else relative
-    moves, one = np.stack([model.move, model.move.T]), np.ones(s)
+    move, back, one = np.ascontiguousarray(model.move), np.ascontiguousarray(model.move.T), np.ones(s)
     rows = sorted(rows, key=len, reverse=True)
     size = np.array([len(r) for r in rows], np.int64)
-    weight = np.where(size > 1024, size, 8 * size)
-    of_group = (np.cumsum(weight) - weight) // (1 << 19)
+    of_group = (np.cumsum(size) - size) // GROUP_TOKENS
     for g in np.unique(of_group):
         lo, hi = np.searchsorted(of_group, [g, g + 1])
-        part, n_part = size[lo:hi], hi - lo
+        part = size[lo:hi]
         alive = np.searchsorted(-part, -np.arange(1, part[0] + 1), side="right") if part[0] else np.zeros(0, np.int64)
         if not len(alive):
             continue
         at = np.cumsum(alive) - alive
-        step = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
-        own, symbols = np.repeat(np.arange(n_part), part), np.concatenate(rows[lo:hi])
-        place, turned = at[step] + own, at[np.repeat(part, part) - 1 - step] + own
-        seen, opposite = np.empty((2, len(step)), symbols.dtype), np.empty(len(step), np.int64)
-        seen[0, place], seen[1, turned], opposite[place] = symbols, symbols, turned
-        fits = np.take(relative, seen, axis=0)
-        both, scale = np.empty_like(fits), np.ones(len(step))
-        n = alive[0]
-        both[0, :n], both[1, :n] = model.start * fits[0, :n], fits[1, :n]
-        places = list(zip(at.tolist(), alive.tolist(), strict=True))
+        own = np.arange(part.sum(), dtype=np.int32) - np.repeat(at.astype(np.int32), alive)
+        begun = (np.cumsum(part) - part).astype(np.int32)
+        seen = np.concatenate(rows[lo:hi])[begun[own] + np.repeat(np.arange(len(alive), dtype=np.int32), alive)]
+        ahead, post, moved, scales = np.empty((len(seen), s)), np.empty((s, len(seen))), np.zeros((s, s)), {}
+        places = list(zip(at.tolist(), (at + alive).tolist(), strict=True))
+        of_run = at // RUN_TOKENS
+        runs = np.append(np.flatnonzero(np.diff(of_run, prepend=-1)), len(alive)).tolist()
+        runs = list(zip(runs, runs[1:], strict=False))
         before = 0
-        for t, (o, n) in enumerate(places[1:], 1):
-            now = both[:, o : o + n]
-            np.matmul(both[:, before : before + n], moves, out=now)
-            np.multiply(now, fits[:, o : o + n], out=now)
-            if t % 16 == 0:
-                total = now @ one
-                scale[o : o + n] = total[0]
-                now /= total[:, :, None]
-            before = o
-        # after: what follows a position and its own emission. Arrays that are done with are written over.
-        ahead, after = both[0], np.take(both[1], opposite, axis=0, out=fits[1])
-        post = np.multiply(ahead, after, out=both[1])
-        post /= fits[0]
-        total = post @ one
-        post /= total[:, None]
-        after /= (total * scale)[:, None]
-        moved = np.zeros((s, s))
-        begin = np.flatnonzero(np.diff(alive, prepend=-1)).tolist()  # steps that are less wide than the one before
-        for t, end in zip(begin, [*begin[1:], len(alive)], strict=True):
-            (o, n), last = places[t], places[end - 1][0]
-            if t:
-                before = places[t - 1][0]
-                moved += ahead[before : before + n].T @ after[o : o + n]
-            moved += ahead[o:last].T @ after[o + n : last + n]
-        yield seen[0], post, post[: alive[0]].sum(0), model.move * moved
+        for first, until in runs:
+            base = places[first][0]
+            fits = np.take(relative, seen[base : places[until - 1][1]], axis=0)
+            for t in range(first, until):
+                a, b = places[t]
+                now = ahead[a:b]
+                if t:
+                    np.dot(ahead[before : before + b - a], move, out=now)
+                else:
+                    now[:] = model.start
+                np.multiply(now, fits[a - base : b - base], out=now)
+                if t and t % 16 == 0:
+                    scales[t] = (now @ one)[:, None]
+                    now /= scales[t]
+                before = a
+        last = np.sort(at[part[: alive[0]] - 1] + np.arange(alive[0]))
+        ends = (1 / (ahead[last] @ one))[:, None]
+        carried = np.empty((0, s))  # the first step of the run that was done before
+        for first, until in reversed(runs):
+            base, stop = places[first][0], places[until - 1][1]
+            fits = np.take(relative, seen[base:stop], axis=0)
+            behind, after = np.empty_like(fits), np.empty_like(fits)  # after: the next step and all that follows, by its state
+            x, y = np.searchsorted(last, (base, stop))
+            behind[last[x:y] - base], after[last[x:y] - base] = ends[x:y], 0
+            for t in range(until - 1, first - 1, -1):
+                a, b = places[t][0] - base, places[t][1] - base
+                n = len(carried) if t == until - 1 else places[t + 1][1] - places[t + 1][0]
+                if t == until - 1:
+                    after[a : a + n] = carried
+                np.dot(after[a : a + n], back, out=behind[a : a + n])
+                if t > first:
+                    o = places[t - 1][0] - base
+                    now = after[o : o + b - a]
+                else:
+                    now = carried = np.empty((b - a, s))
+                np.multiply(behind[a:b], fits[a:b], out=now)
+                if t in scales:
+                    now /= scales[t]
+            for i in range(s):
+                np.multiply(ahead[base:stop, i], behind[:, i], out=post[i, base:stop])
+            moved += ahead[base:stop].T @ after
+        yield seen, post, post[:, : alive[0]].sum(1), model.move * moved
 
 
 def expected_counts(model: Model, rows):
@@ -327,7 +346,7 @@ def expected_counts(model: Model, rows):
         start += begun
         moved += went
         for i in range(s):
-            emit[i] += np.bincount(seen, post[:, i], k)
+            emit[i] += np.bincount(seen, post[i], k)
     return np.concatenate([start, moved.ravel(), emit.ravel()])
 
 
@@ -419,7 +438,7 @@ def word_posteriors(known: DataFrame, model: Model, states: int, classes: int) -
             rows = [x for x, out in zip(np.split(flat, np.cumsum(sizes)[:-1]), held, strict=True) if not out]
             for symbols, post, _, _ in posteriors(model, rows, relative[np.append(of, classes)]):
                 for i in range(states):
-                    seen[i] += np.bincount(symbols, post[:, i], end + 1)
+                    seen[i] += np.bincount(symbols, post[i], end + 1)
             often = np.flatnonzero(places[:, 1] >= 0)
             for i in range(states):
                 totals[0, i] += np.bincount(of, seen[i, :end], classes)

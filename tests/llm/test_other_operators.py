@@ -201,6 +201,24 @@ def test_expected_counts_of_whole_sequences():
     assert not lm.expected_counts(model, []).any()
 
 
+def test_short_sequences_make_wide_steps():
+    rng = np.random.default_rng(9)
+    model = lm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(9), 3))
+    made = list(lm.posteriors(model, [rng.integers(0, 9, 200) for _ in range(600)]))
+    assert len(made) == 1  # one group, so 200 steps for all of them
+    assert made[0][1].sum(0) == pytest.approx(np.ones(120_000), rel=1e-9)
+
+
+@pytest.mark.parametrize(("group", "run"), [(1, 1), (50, 1), (300, 40), (1 << 20, 1), (1 << 20, 64)])
+def test_counts_are_the_same_however_steps_are_cut(monkeypatch, group, run):
+    monkeypatch.setattr(lm, "GROUP_TOKENS", group)
+    monkeypatch.setattr(lm, "RUN_TOKENS", run)
+    rng = np.random.default_rng(10)
+    rows = [rng.integers(0, 9, n) for n in (90, 90, 61, 33, 32, 17, 16, 16, 2, 1, 1, 0)]
+    model = lm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.full(9, 0.1), 3) + 1e-9)
+    assert lm.expected_counts(model, rows) == pytest.approx(brute_round(model, [r for r in rows if len(r)]), rel=1e-8, abs=1e-9)
+
+
 def test_every_round_sees_all_documents_whole(spark, monkeypatch):
     kept, real = {}, lm.train
     monkeypatch.setattr(lm, "train", lambda *a: kept.setdefault("model", real(*a)))
